@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe_pair_index
+from .packing import op2_best_fit_linear_grouping
 from .quality import op10_quality_bradley_terry
 from .toxicity import op5_toxicity_subword_bag
 from .url_filter import OP7_SQL, op7_url_temporal_list_join
 
-QUERIES = {f.__name__: f for f in (op5_toxicity_subword_bag, op7_url_temporal_list_join, op10_quality_bradley_terry)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_linear_grouping, op5_toxicity_subword_bag, op7_url_temporal_list_join, op9_bpe_pair_index, op10_quality_bradley_terry)}
 ORACLE_SQL = {"op7_url_temporal_list_join": OP7_SQL}
