@@ -46,17 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, let_go: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors.
 
-    Afterwards the shuffle files of what led to it are let go.
+    let_go: afterwards the shuffle files of what led to it are dropped.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    df.write.parquet(path)
     schema = df.schema
     del df
-    release(spark)
+    if let_go:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -66,15 +67,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def by_block(text: Column, key: Column, blocks: int) -> Column:
+def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def per_batch(fn: Callable) -> Callable:
-    """Wraps a function of one pandas frame for mapInPandas."""
-
-    def run(batches):
-        for batch in batches:
-            yield fn(batch)
-
-    return run
+def text_blocks(docs: DataFrame, block_bytes: int = 16 << 20, least: int = 64) -> int:
+    """In how many blocks to deal out docs, so that one has about block_bytes of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-total // block_bytes))
