@@ -5,9 +5,10 @@ from __future__ import annotations
 from .bpe import op9_bpe_pair_index
 from .jaccard import op8_jaccard_adaptive_prefix
 from .packing import op2_best_fit_linear_grouping
+from .ppm import op6_ppm_code_length
 from .quality import op10_quality_bradley_terry
 from .toxicity import op5_toxicity_subword_bag
 from .url_filter import OP7_SQL, op7_url_temporal_list_join
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_linear_grouping, op5_toxicity_subword_bag, op7_url_temporal_list_join, op8_jaccard_adaptive_prefix, op9_bpe_pair_index, op10_quality_bradley_terry)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_linear_grouping, op5_toxicity_subword_bag, op6_ppm_code_length, op7_url_temporal_list_join, op8_jaccard_adaptive_prefix, op9_bpe_pair_index, op10_quality_bradley_terry)}
 ORACLE_SQL = {"op7_url_temporal_list_join": OP7_SQL}

@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 
 from .common import fold, read
 
-#: Bounds of the labelled sample: rows (those with the smallest hashes), of which half are toxic where there are enough.
-SAMPLE_ROWS = 3_000
+#: Bounds of the labelled sample: rows (those with the smallest hashes), of which a quarter are toxic where there are enough.
+SAMPLE_ROWS = 6_000
 BUCKETS = 1 << 20
-DIM = 4
+DIM = 2
 NGRAMS = (3, 4)
 #: A subword has a vector if the sample's documents name it so often at least; others are zero.
-MIN_DOCS = 20
+MIN_DOCS = 40
 #: Documents with this score or more are predicted toxic.
 CUT = 0.7
 #: Distinct words whose number a worker keeps before it starts anew.
@@ -121,7 +121,7 @@ def _matrices(bags: list[Counter]) -> tuple[_Sparse, _Sparse, np.ndarray]:
     return of_docs, _Sparse(of_word[keep], flat_used, (1 / lengths)[of_word[keep]], (len(pieces), len(used))), used
 
 
-def fit(bags: list[Counter], y: np.ndarray, epochs: int = 40, rate: float = 0.05, decay: float = 1e-5, steep: float = 40.0, seed: int = 7) -> Bag:
+def fit(bags: list[Counter], y: np.ndarray, epochs: int = 80, rate: float = 0.1, decay: float = 1e-4, steep: float = 400.0, seed: int = 7) -> Bag:
     """Adam on the mean cross-entropy, classes weighted alike; vectors and softmax weights move together.
 
     steep: size of the first softmax weights; a text's average moves little by one word in hundreds.
@@ -159,8 +159,8 @@ def _bags(batches):
 def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 3, held_out: int = 1) -> Bag:
     """Fits on at most SAMPLE_ROWS labelled rows outside the held-out fold (crc32 of doc_id mod 3 is 1)."""
     rows = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", held_out_of) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    pick = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS // 2)
-    sample = docs.select("doc_id", "text").join(F.broadcast(pick(0).union(pick(1))), "doc_id")  # bounded by SAMPLE_ROWS
+    pick = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    sample = docs.select("doc_id", "text").join(F.broadcast(pick(0, SAMPLE_ROWS * 3 // 4).union(pick(1, SAMPLE_ROWS // 4))), "doc_id")  # bounded by SAMPLE_ROWS
     found = sample.mapInPandas(_bags, "doc_id long, y int, w array<string>, c array<int>").toPandas().sort_values("doc_id", kind="stable")
     return fit([Counter(dict(zip(w, c, strict=True))) for w, c in zip(found.w, found.c, strict=True)], found.y.to_numpy())
 
