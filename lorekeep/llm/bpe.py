@@ -16,6 +16,7 @@ is replaced.
 
 from __future__ import annotations
 
+import gc
 import json
 from heapq import heapify, heappop, heappush
 
@@ -33,7 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pre-tokens that a worker remembers, and the longest of them.
 CACHE_WORDS, CACHE_LENGTH = 400_000, 64
 #: Characters of text handled at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 _LATER_SPACE = regex.compile(r"\s ").search
 
 
@@ -75,6 +76,9 @@ class PairIndex:
             self.rank[ids[a] * self.width + ids[b]] = len(self.made)
             self.made.append(ids[a + b])
             self.parts.append((ids[a], ids[b]))
+        self.pair_keys = np.array(list(self.rank), np.int64)
+        self.pair_ranks = np.argsort(self.pair_keys, kind="stable")
+        self.pair_keys = self.pair_keys[self.pair_ranks]
         self.byte_ids = np.array(self.of_byte, np.int64)
         pairs = (self.byte_ids[:, None] * self.width + self.byte_ids).ravel().tolist()
         self.byte_ranks = np.array([self.rank.get(p, -1) for p in pairs], np.int64)
@@ -100,42 +104,60 @@ class PairIndex:
         places = np.flatnonzero(ranks >= 0)
         places = places[np.argsort(ranks[places], kind="stable")]
         used, starts = np.unique(ranks[places], return_index=True)
-        at: dict[int, list[int]] = dict(zip(used.tolist(), (x.tolist() for x in np.split(places, starts[1:])), strict=True)) if len(places) else {}
-        symbols: list[int] = ids.tolist()
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        width, made, find, held = self.width, self.made, self.rank.get, at.get
+        at: dict[int, list[np.ndarray]] = dict(zip(used.tolist(), ([x] for x in np.split(places, starts[1:])), strict=True)) if len(places) else {}
+        symbols, after, before = ids, np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
         active = list(at)
         heapify(active)
         while active:
             r = heappop(active)
-            new = made[r]
+            lists = at.pop(r)
+            i = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
             left, right = self.parts[r]
-            for i in sorted(at.pop(r)):
-                if symbols[i] != left or symbols[j := after[i]] != right:
-                    continue  # one of the two has gone into another token
-                symbols[i], symbols[j] = new, -2
-                k = after[i] = after[j]
-                before[k] = i
-                h = before[i]
-                if (c := symbols[h]) >= 0 and (s := find(c * width + new)) is not None:
-                    if (places := held(s)) is None:
-                        at[s] = [h]
-                        heappush(active, s)
-                    else:
-                        places.append(h)
-                if (c := symbols[k]) >= 0 and (s := find(new * width + c)) is not None:
-                    if (places := held(s)) is None:
-                        at[s] = [i]
-                        heappush(active, s)
-                    else:
-                        places.append(i)
-        flat = np.array(symbols, np.int64)
+            i = i[symbols[i] == left]
+            j = after[i]
+            live = symbols[j] == right  # else one of the two has gone into another token
+            i, j = i[live], j[live]
+            if left == right and len(i) > 1:
+                i = self._apart(i, j)
+                j = after[i]
+            if not len(i):
+                continue
+            symbols[i], symbols[j] = self.made[r], -2
+            k = after[j]
+            after[i], before[k] = k, i
+            h = before[i]
+            # the pairs that the new token is in, to the left and to the right
+            pairs = np.concatenate([symbols[h] * self.width + self.made[r], self.made[r] * self.width + symbols[k]])
+            starts = np.concatenate([h, i])
+            inside = np.concatenate([symbols[h] >= 0, symbols[k] >= 0])
+            pairs, starts = pairs[inside], starts[inside]
+            place = np.minimum(np.searchsorted(self.pair_keys, pairs), len(self.pair_keys) - 1)
+            known = self.pair_keys[place] == pairs
+            ranks, starts = self.pair_ranks[place[known]], starts[known]
+            if not len(ranks):
+                continue
+            order = np.argsort(ranks, kind="stable")
+            ranks, starts = ranks[order], starts[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for s, found in zip(ranks[np.r_[0, cuts]].tolist(), np.split(starts, cuts) if len(cuts) else (starts,), strict=True):
+                if (held := at.get(s)) is None:
+                    at[s] = [found]
+                    heappush(active, s)
+                else:
+                    held.append(found)
+        flat = symbols
         keep = flat >= 0
         bounds = 4 * np.r_[0, np.cumsum(keep)[ends]]
         packed = flat[keep].astype("<u4").tobytes()
         return [packed[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
+    @staticmethod
+    def _apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of overlapping pairs of one symbol with itself, every other one from the left of each run."""
+        follows = np.r_[False, i[1:] == j[:-1]]
+        run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(i))))
+        return i[(np.arange(len(i)) - run) % 2 == 0]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, packed."""
         out: list[bytes] = []
@@ -162,6 +184,13 @@ class PairIndex:
         return [*([first] if first else []), *map(" ".__add__, others)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # millions of short lists without cycles
+        try:
+            return self._encode_slice(texts)
+        finally:
+            gc.enable()
+
+    def _encode_slice(self, texts: list[str]) -> list[bytes]:
         runs = [self._runs(t) for t in texts]
         wanted = {r for rs in runs for r in rs}
         new = [r for r in wanted if r not in self.cache]
@@ -169,12 +198,14 @@ class PairIndex:
             self.cache.clear()
             new = list(wanted)
         special = {r: r[0] for r in new if isinstance(r, tuple)}
-        cut = {r: self.findall(r) for r in new if r not in special}
-        words = {w for ws in cut.values() for w in ws}
-        whole = {w: self.cache[w] for w in words if w in self.cache}
-        fresh = [w for w in words if w not in whole]
-        whole.update(zip(fresh, self.merge([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
-        ids = {r: b"".join(map(whole.__getitem__, ws)) for r, ws in cut.items()} | special
+        # a run of letters is one pre-token
+        plain = [r for r in new if r not in special and (r.isalpha() or r[1:].isalpha() and r[0] == " ")]
+        cut = {r: self.findall(r) for r in {*new}.difference(plain, special)}
+        fresh = {w for ws in cut.values() for w in ws}.difference(self.cache).union(plain)
+        ids = dict(zip(fresh, self.merge([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
+        held = self.cache
+        ids.update([(r, b"".join([ids[w] if w in ids else held[w] for w in ws])) for r, ws in cut.items()])
+        ids.update(special)
         known = self.cache
         known.update((r, i) for r, i in ids.items() if len(r) <= CACHE_LENGTH)
         long = {r: i for r, i in ids.items() if len(r) > CACHE_LENGTH}
