@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ from .common import fold, read
 
 #: Bounds of the labelled sample: rows (those with the smallest hashes), of which a quarter are toxic where there are enough.
 SAMPLE_ROWS = 6_000
+#: Longer texts are not learned from (they are scored).
+SAMPLE_BYTES = 1 << 18
 BUCKETS = 1 << 20
 DIM = 2
 NGRAMS = (3, 4)
@@ -103,25 +107,36 @@ class _Sparse:
         return self._product(self.cols, self.rows, x, self.shape[1])
 
 
-def _matrices(bags: list[Counter]) -> tuple[_Sparse, _Sparse, np.ndarray]:
-    """Documents by words, words by the subwords of MIN_DOCS documents or more, and those subwords' buckets."""
+def _matrices(texts: Iterable[str | None]) -> tuple[_Sparse, _Sparse, np.ndarray]:
+    """Documents by words, words by the subwords that have vectors, and those subwords' buckets."""
     vocabulary: dict[str, int] = {}
-    cols = np.array([vocabulary.setdefault(w, len(vocabulary)) for bag in bags for w in bag], np.int64)
-    rows = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
-    weight = np.array([c / bag.total() for bag in bags for c in bag.values()])
-    pieces = [subwords(w) for w in vocabulary]
-    lengths = np.array([len(p) for p in pieces], np.int64)
-    flat = np.array([b for p in pieces for b in p], np.int64)
-    of_word = np.repeat(np.arange(len(pieces)), lengths)
-    # document mentions by any of its words
-    seen = np.bincount(flat, np.bincount(cols, minlength=len(pieces))[of_word], BUCKETS)
-    keep = seen[flat] >= MIN_DOCS
-    used, flat_used = np.unique(flat[keep], return_inverse=True)
-    of_docs = _Sparse(rows, cols, weight, (len(bags), len(pieces)))
-    return of_docs, _Sparse(of_word[keep], flat_used, (1 / lengths)[of_word[keep]], (len(pieces), len(used))), used
-
-
-def fit(bags: list[Counter], y: np.ndarray, epochs: int = 80, rate: float = 0.1, decay: float = 1e-4, steep: float = 400.0, seed: int = 7) -> Bag:
+    cols, sizes, weight = array("q"), array("q"), array("d")
+    for text in texts:
+        bag = Counter(tokens(text))
+        total = bag.total()
+        sizes.append(len(bag))
+        for w, c in bag.items():
+            cols.append(vocabulary.setdefault(w, len(vocabulary)))
+            weight.append(c / total)
+    flat, lengths = array("q"), array("q")
+    for w in vocabulary:
+        found = subwords(w)
+        lengths.append(len(found))
+        flat.extend(found)
+    n_words = len(vocabulary)
+    del vocabulary
+    cols, sizes, weight, flat, lengths = (np.frombuffer(x, x.typecode) if len(x) else np.zeros(0, x.typecode) for x in (cols, sizes, weight, flat, lengths))
+    of_word = np.repeat(np.arange(n_words), lengths)
+    mentions = np.bincount(flat, np.bincount(cols, minlength=n_words)[of_word], BUCKETS)
+    keep = mentions[flat] >= MIN_DOCS
+    used = np.flatnonzero(mentions >= MIN_DOCS)
+    place = np.zeros(BUCKETS, np.int64)
+    place[used] = np.arange(len(used))
+    of_docs = _Sparse(np.repeat(np.arange(len(sizes)), sizes), cols, weight, (len(sizes), n_words))
+    return of_docs, _Sparse(of_word[keep], place[flat[keep]], (1 / lengths)[of_word[keep]], (n_words, len(used))), used
+
+
+def fit(texts: Iterable[str | None], y: np.ndarray, epochs: int = 80, rate: float = 0.1, decay: float = 1e-4, steep: float = 400.0, seed: int = 7) -> Bag:
     """Adam on the mean cross-entropy, classes weighted alike; vectors and softmax weights move together.
 
     steep: size of the first softmax weights; a text's average moves little by one word in hundreds.
@@ -129,7 +144,7 @@ def fit(bags: list[Counter], y: np.ndarray, epochs: int = 80, rate: float = 0.1,
     y = np.asarray(y)
     if not len(y) or y.min() == y.max():
         return Bag(np.zeros(BUCKETS, np.float32), -60.0)
-    of_docs, of_words, used = _matrices(bags)
+    of_docs, of_words, used = _matrices(texts)
     rng = np.random.default_rng(seed)
     # a softmax of two classes: the weights of the second minus those of the first
     p = [rng.uniform(-0.5, 0.5, (len(used), DIM)) / DIM, steep * rng.normal(0, 1, (DIM, 1)), np.zeros(1)]
@@ -150,19 +165,14 @@ def fit(bags: list[Counter], y: np.ndarray, epochs: int = 80, rate: float = 0.1,
     return Bag(value, float(p[2][0]))
 
 
-def _bags(batches):
-    for batch in batches:
-        counts = [Counter(tokens(t)) for t in batch.text]
-        yield pd.DataFrame({"doc_id": batch.doc_id, "y": batch.y, "w": [list(c) for c in counts], "c": [list(c.values()) for c in counts]})
-
-
 def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 3, held_out: int = 1) -> Bag:
     """Fits on at most SAMPLE_ROWS labelled rows outside the held-out fold (crc32 of doc_id mod 3 is 1)."""
     rows = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", held_out_of) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     pick = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    sample = docs.select("doc_id", "text").join(F.broadcast(pick(0, SAMPLE_ROWS * 3 // 4).union(pick(1, SAMPLE_ROWS // 4))), "doc_id")  # bounded by SAMPLE_ROWS
-    found = sample.mapInPandas(_bags, "doc_id long, y int, w array<string>, c array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit([Counter(dict(zip(w, c, strict=True))) for w, c in zip(found.w, found.c, strict=True)], found.y.to_numpy())
+    docs = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    sample = docs.join(F.broadcast(pick(0, SAMPLE_ROWS * 3 // 4).union(pick(1, SAMPLE_ROWS // 4))), "doc_id")  # bounded by SAMPLE_ROWS
+    found = sample.toPandas().sort_values("doc_id", kind="stable")
+    return fit(found.text, found.y.to_numpy())
 
 
 def score(docs: DataFrame, model: Bag) -> DataFrame:
