@@ -8,15 +8,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of bytes outside this set, after lower-casing A-Z only.
-WORD_BREAKS = "\x20\x09\x0a\x0b\x0c\x0d"
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACES = str.maketrans(dict.fromkeys("\x09\x0a\x0b\x0c\x0d", " "))
-
-
 _shipped: set[str] = set()
 
 
@@ -37,11 +34,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def words(text: str | None) -> list[str]:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text whose letters A-Z are made lower case."""
-    if not text:
-        return []
-    return [w for w in text.translate(_LOWER).translate(_SPACES).split(" ") if w]
+def words(text: str | None) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text whose letters A-Z are made lower case, in UTF-8."""
+    return raw_text(text).split()  # bytes know no other white space, and no other letters
+
+
+def raw_text(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+class WordHashes:
+    """64-bit hashes of words; a worker remembers those of ``most`` words."""
+
+    def __init__(self, most: int = 500_000):
+        self.known: dict[bytes, int] = {}
+        self.most = most
+
+    def __call__(self, found: list[bytes]) -> list[int]:
+        ids = list(map(self.known.get, found))
+        if None in ids:
+            if len(self.known) > self.most:
+                self.known.clear()
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i] = self.known[found[i]] = xxhash.xxh3_64_intdigest(found[i])
+        return ids
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Byte planes of an array, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def unpacked(b: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_sorted(x: np.ndarray) -> bytes:
+    """An ascending array of 64-bit integers by its differences."""
+    return packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpacked_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, np.uint64), dtype=np.uint64)
 
 
 def fold(column: str, n: int) -> Column:
@@ -79,6 +114,14 @@ def written(df: DataFrame, name: str, let_go: bool = True) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a written table that is no longer needed."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Spark's cleaner drops shuffle files once nothing refers to them; ask for that now."""
     gc.collect()

@@ -1,37 +1,37 @@
 """Similarity join of word 5-shingle sets (Jaccard >= 0.8) by adaptive multi-match prefixes.
 
-Equal sets are made one, by a hash of the whole set. A set's shingles are ordered from rare to
-frequent. If two sets overlap enough, then for every l >= 1 the first l shingles they share stand in
-the first |x| - ceil(0.8 |x|) + l places of either; so a set may choose its l: a longer prefix has
-more postings to read, but its partners must share l of them. Each set takes the l of least
-estimated cost, from the frequencies in its prefix; a pair is held to the smaller l of its two.
+Equal texts are made one. A set's shingles are ordered from rare to frequent. If two sets overlap
+enough, then for every l >= 1 the first l shingles they share stand in the first
+|x| - ceil(0.8 |x|) + l places of either; so a set may choose its l: a longer prefix has more
+postings to read, but its partners must share l of them. Each set takes the l of least estimated
+cost, from the frequencies in its prefix; a pair is held to the smaller l of its two.
 
-Frequencies are exact over all sets (of 48 bits of a shingle's hash, which only orders): blocks of
-documents send each distinct shingle with its count to the bucket of its hash, and get back the
-counts of those that more than one set has. A shingle of one set only can have no partner and sends
-no posting.
+Frequencies are exact over all sets, of features: so many leading bits of a shingle's hash as tell
+the corpus's shingles apart (they only order). Blocks of documents, kept compressed in a shared
+table, send their distinct features with counts to the bucket of the feature, and get the counts
+over all back. A shingle of one set only can have no partner and sends no posting.
 
 The result is classes, not pairs. So groups of near copies are joined first to one leader per set,
 by verified links; the full prefix join then only asks about pairs that are not yet in one class.
 Every candidate is verified on the whole sets.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; fewer than five
-words are one shingle; repeated ids are repeated rows, each counted; an empty table gives no rows;
-other columns are left out.
+words are one shingle; repeated ids are repeated rows; rows without an id are counted and linked
+with nothing; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_of, read, text_blocks, words, written
+from .common import WordHashes, dropped, packed, packed_sorted, read, unpacked, unpacked_sorted, words, written
 from .components import components
 
 SHINGLE = 5
@@ -41,9 +41,11 @@ PERCENT = 80
 MOST_MATCHES = 8
 #: Cost of verifying a candidate, per shingle, in postings read.
 VERIFY = 0.1
-_WORD_CACHE = 500_000
+#: Text in a block, and blocks' worth of text that a bucket's features come from.
+BLOCK_BYTES = 8 << 20
+#: Odd factors of the words of a shingle.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_hashes: dict[str, int] = {}
+_hashes = WordHashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,19 +56,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles of a whole text as sorted 64-bit hashes."""
-    found = words(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    known = _hashes.get
-    ids = [known(w) for w in found]
-    if None in ids:
-        if len(_hashes) > _WORD_CACHE:
-            _hashes.clear()
-        ids = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found]
-        _hashes.update(zip(found, ids, strict=True))
-    h = np.array(ids, np.uint64)
+    h = np.array(_hashes(words(text)), np.uint64)
     if len(h) < SHINGLE:
-        return _mix((h * _FACTORS[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
+        return _mix((h * _FACTORS[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h))) if len(h) else h
     n = len(h) - SHINGLE + 1
     total = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
@@ -74,69 +66,74 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = [shingles(t) for t in batch.text]
-        yield pd.DataFrame({"doc_id": batch.doc_id, "n_shingles": [len(s) for s in sets], "set_key": [set_key(s) for s in sets]})
+_BLOCKS = "block string, ids binary, lengths binary, sizes binary, texts binary, features binary, counts binary"
 
 
-def set_key(s: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+def _blocks(bits: int):
+    """Rows of documents as blocks: ids, numbers of shingles, texts, and the distinct features with counts."""
+    shift = np.uint64(64 - bits)
 
+    def block(name, ids, texts):
+        sets = [shingles(t) for t in texts]
+        features, counts = np.unique(np.concatenate(sets) >> shift, return_counts=True)
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        lengths = np.array([len(s) for s in sets], np.int64)
+        return (
+            name, packed(np.array(ids, np.int64)), packed(lengths), packed(np.array([len(r) for r in raw], np.int64)), zstandard.compress(b"".join(raw), 3),
+            packed_sorted(features), packed(counts.astype(np.uint32)),
+        )
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's distinct sets: of copies that it meets one after another the first is enough, as any stands for the set."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        rows = []
-        for text in batch.text:
-            s = shingles(text)
-            key = set_key(s)
-            if key is not None and key not in seen:
-                seen.add(key)
-                rows.append((key, s.tobytes()))
-        yield pd.DataFrame(rows, columns=["set_key", "tokens"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in _BLOCKS.split(", ")]
+        at, number, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        for batch in batches:
+            for i, t in zip(batch.id.tolist(), batch.text.tolist(), strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t or "")
+                if size >= BLOCK_BYTES:
+                    yield pd.DataFrame([block(f"{at}-{number}", ids, texts)], columns=columns)
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield pd.DataFrame([block(f"{at}-{number}", ids, texts)], columns=columns)
 
+    return run
 
-def _distinct(part: pd.DataFrame) -> pd.DataFrame:
-    return part.drop_duplicates("set_key")
 
+def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for ids, lengths in zip(batch.ids, batch.lengths, strict=True):
+            yield pd.DataFrame({"id": unpacked(ids, np.int64), "n_shingles": unpacked(lengths, np.int64)})
 
-def _feature(tokens: np.ndarray) -> np.ndarray:
-    return tokens >> np.uint64(16)
 
+def _bounds(features: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Where each bucket's features begin in an ascending array, and its end."""
+    edges = np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(features, edges), len(features))
 
-def _counts(buckets: int):
-    """Each block's distinct features and counts, cut by bucket."""
+
+def _dealt(buckets: int, bits: int):
+    """Each block's features and counts, cut by bucket."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for block, part in batch.groupby("block"):
-                features, counts = np.unique(_feature(np.frombuffer(b"".join(part.tokens), np.uint64)), return_counts=True)
-                bucket = (features % np.uint64(buckets)).astype(int)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.diff(bucket[order])) + 1
-                for at in np.split(order, edges):
-                    if len(at):
-                        rows.append((int(bucket[at[0]]), block, features[at].tobytes(), counts[at].astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "block", "features", "counts"])
+            for block, f, n in zip(batch.block, batch.features, batch.counts, strict=True):
+                f, n = unpacked_sorted(f), unpacked(n, np.uint32)
+                at = _bounds(f, buckets, bits)
+                rows = [(b, block, packed_sorted(f[i:j]), packed(n[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+                yield pd.DataFrame(rows, columns=["bucket", "block", "features", "counts"])
 
     return run
 
 
-def _shared(part: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's features that two sets or more have, back to their blocks with the counts over all."""
-    features = [np.frombuffer(f, np.uint64) for f in part.features]
+def _totals(part: pd.DataFrame) -> pd.DataFrame:
+    """The counts over all blocks of a bucket's features, in the order of each block's."""
+    features = [unpacked_sorted(f) for f in part.features]
     every, back = np.unique(np.concatenate(features), return_inverse=True)
-    total = np.bincount(back, np.concatenate([np.frombuffer(c, np.uint32) for c in part.counts])).astype(np.int64)
-    rows, start = [], 0
-    for block, f in zip(part.block.tolist(), features, strict=True):
-        df = total[back[start : start + len(f)]]
-        start += len(f)
-        if (keep := df > 1).any():
-            rows.append((block, f[keep].tobytes(), df[keep].tobytes()))
-    return pd.DataFrame(rows, columns=["block", "features", "df"])
+    total = np.bincount(back, np.concatenate([unpacked(c, np.uint32) for c in part.counts])).astype(np.int64)
+    ends = np.cumsum([len(f) for f in features])
+    cells = np.split(total[back], ends[:-1])
+    return pd.DataFrame({"bucket": part.bucket, "block": part.block, "df": [packed(c) for c in cells]})
 
 
 def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
@@ -150,26 +147,29 @@ def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
     return best + 1, int(reach[best])
 
 
-def _prefixes(sets: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-    """The sets that can have a partner: l, prefix (features, places) and all shingles."""
-    rows = []
-    if len(sets) and len(shared):
-        features = np.concatenate([np.frombuffer(f, np.uint64) for f in shared.features])
-        df = np.concatenate([np.frombuffer(d, np.int64) for d in shared.df])
-        order = np.argsort(features)
-        features, df = features[order], df[order]
-        for key, packed in zip(sets.set_key, sets.tokens, strict=True):
-            tokens = np.frombuffer(packed, np.uint64)
-            mine = _feature(tokens)
-            at = np.minimum(np.searchsorted(features, mine), len(features) - 1)
-            held = np.flatnonzero(features[at] == mine)
-            by = np.lexsort((tokens[held], df[at[held]]))
-            held = held[by]
-            least, reach = prefix(df[at[held]], len(tokens))
-            if reach:
-                alone = len(tokens) - len(held)
-                rows.append((key, len(tokens), least, tokens[held[:reach]].view(np.int64), np.arange(alone, alone + reach, dtype=np.int32), tokens.view(np.int64)))
-    return pd.DataFrame(rows, columns=["set_key", "n", "l", "prefix", "places", "tokens"])
+def _prefixes(bits: int):
+    """The sets of a block that can have a partner: l, prefix, its places, and all shingles."""
+    shift = np.uint64(64 - bits)
+
+    def run(blocks: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for block in blocks.itertuples():
+            features = unpacked_sorted(block.features)
+            df = np.concatenate([unpacked(d, np.int64) for d in totals.sort_values("bucket").df] or [np.zeros(0, np.int64)])
+            raw, at = zstandard.decompress(block.texts), 0
+            for i, size in zip(unpacked(block.ids, np.int64).tolist(), unpacked(block.sizes, np.int64).tolist(), strict=True):
+                tokens = shingles(raw[at : at + size].decode("utf-8", "surrogatepass"))
+                at += size
+                mine = df[np.searchsorted(features, tokens >> shift)] if len(tokens) else np.zeros(0, np.int64)
+                held = np.flatnonzero(mine > 1)
+                held = held[np.lexsort((tokens[held], mine[held]))]
+                least, reach = prefix(mine[held], len(tokens))
+                if reach:
+                    alone = len(tokens) - len(held)
+                    rows.append((i, len(tokens), least, tokens[held[:reach]].view(np.int64), np.arange(alone, alone + reach, dtype=np.int32), tokens.view(np.int64)))
+        return pd.DataFrame(rows, columns=["id", "n", "l", "prefix", "places", "tokens"])
+
+    return run
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,21 +188,24 @@ def _sizes_fit(n: str, m: str):
     return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
 
 
-def near_classes(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+def near_classes(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = docs.select("doc_id", "text")
-    blocks = blocks or text_blocks(docs)
-    members = written(docs.mapInPandas(_members, "doc_id long, n_shingles long, set_key binary"), "members")
-    ids = written(members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "ids")
-
-    sets = docs.mapInPandas(_sets, "set_key binary, tokens binary").withColumn("block", block_of(F.col("set_key"), blocks))
-    sets = written(sets.groupBy("block").applyInPandas(_distinct, "set_key binary, tokens binary, block int"), "sets")
-    counts = sets.mapInPandas(_counts(blocks), "bucket int, block int, features binary, counts binary")
-    shared = counts.groupBy("bucket").applyInPandas(_shared, "block int, features binary, df binary")
-    active = sets.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(
-        _prefixes, "set_key binary, n int, l int, prefix array<long>, places array<int>, tokens array<long>"
+    docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(64, total // (2 * BLOCK_BYTES))
+    bits = min(64, max(32, int(total).bit_length() + 12))
+    one = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
+    one = one.where("first is not null").select(F.col("first").alias("id"), "text")
+    blocks = written(one.mapInPandas(_blocks(bits), _BLOCKS), "blocks")
+    lengths = written(blocks.select("ids", "lengths").mapInPandas(_lengths, "id long, n_shingles long"), "lengths", let_go=False)
+
+    cells = blocks.select("block", "features", "counts").mapInPandas(_dealt(buckets, bits), "bucket long, block string, features binary, counts binary")
+    totals = cells.groupBy("bucket").applyInPandas(_totals, "bucket long, block string, df binary")
+    active = blocks.select("block", "ids", "sizes", "texts", "features").groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(
+        _prefixes(bits), "id long, n int, l int, prefix array<long>, places array<int>, tokens array<long>"
     )
-    active = written(written(active, "active").join(ids, "set_key").drop("set_key"), "active")
+    active = written(active, "active")
+    dropped(blocks)
     postings = active.select("id", "n", "l", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("id", "n", "l", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
     postings = written(postings, "postings")
 
@@ -231,8 +234,14 @@ def near_classes(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     )
     second = written(_alike(written(pairs, "pairs"), active), "second")
     found = components(first.unionByName(second))
-    named = written(ids.join(found, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("class")), "named")
-    return members.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
+    named = written(lengths.join(found, "id", "left").select(F.col("id").alias("first"), "n_shingles", F.coalesce("component_id", "id").alias("class")), "named", let_go=False)
+    members = docs.select("doc_id", "digest")
+    firsts = members.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")).join(named, "first")
+    firsts = written(firsts.select("digest", "n_shingles", "class"), "firsts", let_go=False)
+    out = members.where("doc_id is not null").join(firsts, "digest").select("doc_id", "n_shingles", F.col("class").alias("component_id"))
+    count = F.pandas_udf(lambda ts: ts.map(lambda t: len(shingles(t))), "long")
+    alone = docs.where("doc_id is null").select("doc_id", count("text").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(alone)
 
 
 def op8_jaccard_adaptive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,13 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, fold, read, words, written
+from .common import WordHashes, fold, packed, packed_sorted, raw_text, read, unpacked, unpacked_sorted, words, written
 
 ORDER = 4
 #: Bytes that no UTF-8 text has: before it, and after it.
@@ -39,24 +38,13 @@ BLOCK_BYTES = 12 << 20
 BUCKETS = 64
 #: Smoothing of the baseline.
 ADD = 0.1
-_WORD_CACHE = 500_000
 _END_WORD = 1
-_hashes: dict[str, int] = {}
-
-
-def packed(x: np.ndarray) -> bytes:
-    """Byte planes of an array, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
-
-
-def unpacked(b: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
+_hashes = WordHashes()
 
 
 def grams(text: str | None) -> np.ndarray:
     """A gram per byte of the text and one for its end: ORDER context bytes and the byte."""
-    raw = (text or "").translate(_LOWER).encode("utf-8", "surrogatepass")
+    raw = raw_text(text)
     line = np.frombuffer(bytes([START]) * ORDER + raw + bytes([END]), np.uint8).astype(np.uint64)
     n = len(raw) + 1
     out = np.zeros(n, np.uint64)
@@ -68,15 +56,7 @@ def grams(text: str | None) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash per word of the text and one for its end."""
-    found = words(text)
-    known = _hashes.get
-    ids = [known(w) for w in found]
-    if None in ids:
-        if len(_hashes) > _WORD_CACHE:
-            _hashes.clear()
-        ids = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found]
-        _hashes.update(zip(found, ids, strict=True))
-    return np.array([*ids, _END_WORD], np.uint64)
+    return np.array([*_hashes(words(text)), _END_WORD], np.uint64)
 
 
 def _block(name: str, rows: list[tuple[int, bool, str]]) -> tuple:
@@ -86,7 +66,9 @@ def _block(name: str, rows: list[tuple[int, bool, str]]) -> tuple:
         known, counts = np.unique(np.concatenate([make(t) for _, learn, t in rows if learn] or [np.zeros(0, np.uint64)]), return_counts=True)
         others = np.unique(np.concatenate([make(t) for _, learn, t in rows if not learn] or [np.zeros(0, np.uint64)]))
         others = others[~np.isin(others, known)]
-        found += [packed(np.r_[known, others]), packed(np.r_[counts, np.zeros(len(others), int)].astype(np.uint32))]
+        every = np.r_[known, others]
+        order = np.argsort(every, kind="stable")
+        found += [packed_sorted(every[order]), packed(np.r_[counts, np.zeros(len(others), int)][order].astype(np.uint32))]
     raw = [t.encode("utf-8", "surrogatepass") for _, _, t in rows]
     ids = np.array([d for d, _, _ in rows], np.int64)
     return name, packed(ids), packed(np.array([len(r) for r in raw], np.int64)), zstandard.compress(b"".join(raw), 3), *found
@@ -115,11 +97,11 @@ def _dealt(features: str, counts: str, bucket):
     def run(batches):
         for batch in batches:
             for block, f, n in zip(batch.block, batch[features], batch[counts], strict=True):
-                f, n = unpacked(f, np.uint64), unpacked(n, np.uint32)
+                f, n = unpacked_sorted(f), unpacked(n, np.uint32)
                 to = bucket(f)
                 order = np.argsort(to, kind="stable")
                 parts = [p for p in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(p)]
-                yield pd.DataFrame([(int(to[p[0]]), block, packed(f[p]), packed(n[p])) for p in parts], columns=["bucket", "block", "features", "counts"])
+                yield pd.DataFrame([(int(to[p[0]]), block, packed_sorted(f[p]), packed(n[p])) for p in parts], columns=["bucket", "block", "features", "counts"])
 
     return run
 
@@ -129,7 +111,7 @@ _DEALT = "bucket int, block string, features binary, counts binary"
 
 def _gathered(part: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Each block's features, the distinct ones, where a block's stand among them, their counts."""
-    features = [unpacked(f, np.uint64) for f in part.features]
+    features = [unpacked_sorted(f) for f in part.features]
     every, back = np.unique(np.concatenate(features), return_inverse=True)
     total = np.bincount(back, np.concatenate([unpacked(c, np.uint32) for c in part.counts]), len(every)).astype(np.int64)
     return features, every, back, total
@@ -138,7 +120,7 @@ def _gathered(part: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndar
 def _returned(part: pd.DataFrame, features: list[np.ndarray], back: np.ndarray, value: np.ndarray) -> pd.DataFrame:
     bounds = np.cumsum([0, *map(len, features)])
     return pd.DataFrame(
-        [(b, packed(f), packed(value[back[i:j]])) for b, f, i, j in zip(part.block, features, bounds, bounds[1:], strict=False)],
+        [(b, packed_sorted(f), packed(value[back[i:j]])) for b, f, i, j in zip(part.block, features, bounds, bounds[1:], strict=False)],
         columns=["block", "features", "value"],
     )
 
@@ -208,7 +190,7 @@ def log_probabilities(want: np.ndarray, grams_: np.ndarray, counts: np.ndarray,
 
 def _scored(texts: pd.DataFrame, grams_: pd.DataFrame, words_: pd.DataFrame) -> pd.DataFrame:
     def table(parts):
-        f = np.concatenate([unpacked(x, np.uint64) for x in parts.features])
+        f = np.concatenate([unpacked_sorted(x) for x in parts.features])
         v = np.concatenate([unpacked(x, np.float64) for x in parts.value])
         order = np.argsort(f)
         return f[order], v[order]
@@ -242,7 +224,7 @@ def language_model_scores(docs: DataFrame, learn) -> DataFrame:
         total = np.zeros(1 << 16)
         for batch in batches:
             for f, n in zip(batch.gram, batch.gram_n, strict=True):
-                total += np.bincount((unpacked(f, np.uint64) & np.uint64(0xFFFF)).astype(np.int64), unpacked(n, np.uint32), 1 << 16)
+                total += np.bincount((unpacked_sorted(f) & np.uint64(0xFFFF)).astype(np.int64), unpacked(n, np.uint32), 1 << 16)
         pairs = np.flatnonzero(total)
         yield pd.DataFrame({"pair": pairs.astype(np.int32), "n": total[pairs].astype(np.int64)})
 
