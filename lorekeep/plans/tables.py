@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import chunk_id, iso_time, search_terms
-from lorekeep.operators import bm25, retrieval, supersede
 from lorekeep.functions.vectors import cosine
+from lorekeep.operators import bm25, retrieval, supersede
 from lorekeep.schema import KINDS
+from lorekeep.session import ship
 
 #: Terms of the standing keyword query.
 QUERY = "erin thing ndea the schung"
@@ -17,6 +18,7 @@ CANDIDATES, RRF_K, LIMIT, BUDGET = 50, 30, 5, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
