@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 
 from lorekeep.session import ship
 
+#: Stands for a missing id where pandas would turn a column of integers with nulls into floats.
+MISSING = -(1 << 63)
+
+
+def filled(c: Column) -> Column:
+    return F.coalesce(c, F.lit(MISSING))
+
+
+def restored(c: Column) -> Column:
+    return F.when(c != MISSING, c)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

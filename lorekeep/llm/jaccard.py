@@ -238,7 +238,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members = docs.select("doc_id", "digest")
     firsts = members.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")).join(named, "first")
     firsts = written(firsts.select("digest", "n_shingles", "class"), "firsts", let_go=False)
-    out = members.where("doc_id is not null").join(firsts, "digest").select("doc_id", "n_shingles", F.col("class").alias("component_id"))
+    out = members.where("doc_id is not null").join(firsts, "digest").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id")
+    )
     count = F.pandas_udf(lambda ts: ts.map(lambda t: len(shingles(t))), "long")
     alone = docs.where("doc_id is null").select("doc_id", count("text").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(alone)

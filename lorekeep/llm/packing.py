@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import read, written
+from .common import filled, read, restored, written
 
 CAPACITY, CLOSE = 1024, 2
 #: Pieces of up to this share of the capacity are small.
@@ -52,7 +52,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, close: in
                     start, piece = start + size, piece + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    docs = docs.select(filled(F.col("doc_id")).alias("doc_id"), "text")
+    found = docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return found.withColumn("doc_id", restored(F.col("doc_id")))
 
 
 def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 1000) -> list[tuple[np.ndarray, float]]:
@@ -171,8 +173,9 @@ def _pack_shards(pieces: DataFrame, shards: int, first: int, capacity: int) -> D
         part = part.assign(sequence_id=sequence + ((first + int(key[0])) << 32), offset=offset, used=used[sequence])
         return part[[c.split()[0] for c in _PACKED.split(", ")]]
 
+    pieces = pieces.withColumn("doc_id", filled(F.col("doc_id")))
     shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit(first)), F.lit(shards)).cast("int")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(run, _PACKED)
+    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(run, _PACKED).withColumn("doc_id", restored(F.col("doc_id")))
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fold, packed, packed_sorted, raw_text, read, unpacked, unpacked_sorted, words, written
+from .common import WordHashes, filled, fold, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, words, written
 
 ORDER = 4
 #: Bytes that no UTF-8 text has: before it, and after it.
@@ -216,7 +216,7 @@ def language_model_scores(docs: DataFrame, learn) -> DataFrame:
     -> doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    blocks = written(docs.select("doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInPandas(_blocks, _BLOCKS), "blocks")
+    blocks = written(docs.select(filled(F.col("doc_id")).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInPandas(_blocks, _BLOCKS), "blocks")
     gram_parts = blocks.select("block", "gram", "gram_n").mapInPandas(_dealt("gram", "gram_n", _gram_bucket), _DEALT)
     word_parts = blocks.select("block", "word", "word_n").mapInPandas(_dealt("word", "word_n", _word_bucket), _DEALT)
 
@@ -257,7 +257,7 @@ def language_model_scores(docs: DataFrame, learn) -> DataFrame:
     )
     each = F.log10(F.col("train_tokens") + ADD * (F.col("v") + 1))
     return scores.crossJoin(F.broadcast(sums)).select(  # one row
-        "doc_id", "n_tokens", "n_known", "train_tokens", (F.col("log_counts") - F.col("n_tokens") * each).alias("base_score"), "score"
+        restored(F.col("doc_id")).alias("doc_id"), "n_tokens", "n_known", "train_tokens", (F.col("log_counts") - F.col("n_tokens") * each).alias("base_score"), "score"
     )
 
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, written
+from .common import MISSING, filled, read, shared_dir, written
 
 #: Smaller payloads are always written in full.
 LEAST_BYTES = 100
@@ -187,8 +187,7 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One range: its slices of the runs, merged."""
     runs: dict[str, list[tuple]] = {}
     for batch in batches:
-        refers = [None if pd.isna(x) else int(x) for x in batch.refers_to]
-        ids = [None if pd.isna(x) else int(x) for x in batch.page_id]
+        refers, ids = ([None if x == MISSING else x for x in batch[c].tolist()] for c in ("refers_to", "page_id"))
         for row in zip(batch.run, batch.url_key, batch.captured, ids, batch.payload_bytes.tolist(), batch.payload_digest, batch.record_type, refers, strict=True):
             runs.setdefault(row[0], []).append(row)
     # a shuffle may hand over a run's blocks in any order
@@ -208,6 +207,7 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """The captures of the archives under path, in order of URL key, time and id over all partitions."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     runs = written(files.mapInPandas(_runs, _CAPTURE), "runs")
+    runs = runs.withColumns({c: filled(F.col(c)) for c in ("page_id", "refers_to")})
     return runs.repartitionByRange("url_key", "captured", "page_id").mapInPandas(_merged, _CAPTURE)
 
 
