@@ -10,8 +10,8 @@ The vocabulary file is that of a public tokenizer (``tokenizers`` JSON, byte-lev
 normalizer); its special tokens are found in the text first, as that library does.
 
 Defined results: a null text is an empty one, which has no ids; texts of any length are encoded
-whole; repeated rows are encoded each; an empty table gives no rows; a column of an output's name
-is replaced.
+whole; repeated rows are encoded each; an empty table gives no rows; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import read
+from .common import filled, read, restored
 
 #: The pattern of the vocabulary's pre-tokenizer; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -228,32 +227,35 @@ def encoder(path: str) -> PairIndex:
     return _ENCODERS[path]
 
 
-def encode(text: Column, path: str) -> Column:
-    """The ids of whole texts, packed as little-endian unsigned 32-bit integers in a binary."""
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, ids: of whole texts, packed as little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf(T.BinaryType())
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(encoder(path).encode(texts.tolist()), dtype=object)
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch.doc_id, "ids": pd.Series(encoder(path).encode(batch.text.tolist()), dtype=object)})
 
-    return run(text)
+    # a step of its own: expressions over a Python function's result would have it computed once for each
+    found = docs.select(filled(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary")
+    return found.withColumn("doc_id", restored(F.col("doc_id")))
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The text of packed ids."""
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded(doc_id, ids) -> doc_id, ids, text."""
 
-    @F.pandas_udf(T.StringType())
-    def run(packed: pd.Series) -> pd.Series:
-        return pd.Series([encoder(path).decode(p) for p in packed], dtype=object)
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(text=pd.Series([encoder(path).decode(p) for p in batch.ids], dtype=object))
 
-    return run(ids)
+    found = encoded.select(filled(F.col("doc_id")).alias("doc_id"), "ids").mapInPandas(run, "doc_id long, ids binary, text string")
+    return found.withColumn("doc_id", restored(F.col("doc_id")))
 
 
 def op9_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    docs = read(spark, sf_dir, "documents").select("doc_id", encode(F.col("text"), path).alias("ids"))
-    return docs.select(
+    found = decode(encode(read(spark, sf_dir, "documents"), path), path)
+    return found.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
     )

@@ -184,8 +184,14 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _sizes_fit(n: str, m: str):
-    return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
+def _enough(overlap, n: str, m: str):
+    """Whether sets of these sizes with such an overlap are alike enough."""
+    return overlap * (100 + PERCENT) >= (F.col(n) + F.col(m)) * PERCENT
+
+
+def _can_overlap(n: str, n_alone: str, m: str, m_alone: str):
+    """Whether they may be, by what of each set some other set has (their sizes fit then too)."""
+    return _enough(F.col(n) - F.col(n_alone), n, m) & _enough(F.col(m) - F.col(m_alone), n, m)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -206,13 +212,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
     active = written(active, "active")
     dropped(blocks)
-    postings = active.select("id", "n", "l", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("id", "n", "l", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
+    # alone: shingles that no other set has, the first in the order
+    postings = active.select("id", "n", "l", F.col("places")[0].alias("alone"), F.explode(F.arrays_zip("prefix", "places")).alias("p"))
+    postings = postings.select("id", "n", "l", "alone", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
     postings = written(postings, "postings")
 
-    leaders = written(postings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("leader")), "leaders", let_go=False)
+    leaders = written(postings.groupBy("token").agg(F.min(F.struct("alone", "id", "n")).alias("leader")), "leaders", let_go=False)
     star = (
-        postings.join(leaders, "token").select("id", "n", F.col("leader.id").alias("b"), F.col("leader.n").alias("m"))
-        .where((F.col("id") != F.col("b")) & _sizes_fit("n", "m"))
+        postings.join(leaders, "token").select("id", "n", "alone", F.col("leader.id").alias("b"), F.col("leader.n").alias("m"), F.col("leader.alone").alias("other"))
+        .where((F.col("id") != F.col("b")) & _can_overlap("n", "alone", "m", "other"))
         .groupBy("id", "b").count().groupBy("id").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
         .select(F.col("id").alias("a"), "b")
     )
@@ -224,13 +232,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
     known = written(known, "known", let_go=False)
     mixed = written(known.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token"), "mixed", let_go=False)
     known = written(known.join(mixed, "token"), "mixed", let_go=False)
-    x, y = (known.select(F.col("token"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "l", "place", "class"))) for s in "xy")
+    x, y = (known.select(F.col("token"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "l", "alone", "place", "class"))) for s in "xy")
     least = F.least("x_l", "y_l")
     within = lambda s: F.col(f"{s}_place") < F.col(f"{s}_n") - F.ceil(F.col(f"{s}_n") * PERCENT / 100) + least
     pairs = (
-        x.join(y, "token").where((F.col("x_class") < F.col("y_class")) & _sizes_fit("x_n", "y_n") & within("x") & within("y"))
-        .groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.count("*").alias("matches"), F.max(least).alias("least"))
-        .where("matches >= least").select("a", "b")
+        x.join(y, "token").where((F.col("x_class") < F.col("y_class")) & _can_overlap("x_n", "x_alone", "y_n", "y_alone") & within("x") & within("y"))
+        .groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b"), "x_n", "y_n")
+        .agg(F.count("*").alias("matches"), F.max(least).alias("least"), F.min("x_place").alias("i"), F.min("y_place").alias("j"))
+        # from the first shared shingle on, no more can be shared than the shorter rest
+        .where((F.col("matches") >= F.col("least")) & _enough(F.least(F.col("x_n") - F.col("i"), F.col("y_n") - F.col("j")), "x_n", "y_n"))
+        .select("a", "b")
     )
     second = written(_alike(written(pairs, "pairs"), active), "second")
     found = components(first.unionByName(second))

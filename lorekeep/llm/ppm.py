@@ -34,7 +34,7 @@ from .common import WordHashes, filled, fold, packed, packed_sorted, raw_text, r
 ORDER = 4
 #: Bytes that no UTF-8 text has: before it, and after it.
 START, END = 0xFE, 0xFF
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 BUCKETS = 64
 #: Smoothing of the baseline.
 ADD = 0.1

@@ -39,7 +39,15 @@ def test_small_cache(monkeypatch):
     assert bpe.PairIndex(PATH).encode(CASES) == [library(t) for t in CASES]
 
 
-DOCS = [(1, "hello world"), (2, None), (3, ""), (4, "many words here " * 900), (5, "hello world"), (5, "hello world"), (6, "x " * 1023), (7, "x " * 1022 + "x")]
+def test_frames(spark):
+    rows = [(1, "hello"), (None, None), (1 << 60, "x"), (1, "hello")]
+    df = spark.createDataFrame([(*r, b"z") for r in rows], "doc_id long, text string, ids binary")
+    out = bpe.decode(bpe.encode(df, PATH), PATH).collect()
+    assert sorted(map(str, ((r["doc_id"], bytes(r["ids"]), r["text"]) for r in out))) == sorted(map(str, ((i, library(t or ""), t or "") for i, t in rows)))
+    assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+DOCS = [(1, "hello world"), (2, None), (3, ""), (4, "many words here " * 900), (5, "hello world"), (5, "hello world"), (6, "x " * 1023), (7, "x " * 1022 + "x"), (None, "no id"), (1 << 60, "large id")]
 
 
 def pieces_of(docs):
