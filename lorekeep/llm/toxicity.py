@@ -33,8 +33,8 @@ SAMPLE_BYTES = 1 << 18
 BUCKETS = 1 << 20
 DIM = 2
 NGRAMS = (3, 4)
-#: A subword has a vector if the sample's documents name it so often at least; others are zero.
-MIN_DOCS = 40
+#: A subword has a vector if the sample names it so often at least, and LEAST_MENTIONS times; others are zero.
+MENTIONS_PER_TEXT, LEAST_MENTIONS = 1 / 150, 3
 #: Documents with this score or more are predicted toxic.
 CUT = 0.7
 #: Distinct words whose number a worker keeps before it starts anew.
@@ -128,8 +128,9 @@ def _matrices(texts: Iterable[str | None]) -> tuple[_Sparse, _Sparse, np.ndarray
     cols, sizes, weight, flat, lengths = (np.frombuffer(x, x.typecode) if len(x) else np.zeros(0, x.typecode) for x in (cols, sizes, weight, flat, lengths))
     of_word = np.repeat(np.arange(n_words), lengths)
     mentions = np.bincount(flat, np.bincount(cols, minlength=n_words)[of_word], BUCKETS)
-    keep = mentions[flat] >= MIN_DOCS
-    used = np.flatnonzero(mentions >= MIN_DOCS)
+    enough = max(LEAST_MENTIONS, MENTIONS_PER_TEXT * len(sizes))
+    keep = mentions[flat] >= enough
+    used = np.flatnonzero(mentions >= enough)
     place = np.zeros(BUCKETS, np.int64)
     place[used] = np.arange(len(used))
     of_docs = _Sparse(np.repeat(np.arange(len(sizes)), sizes), cols, weight, (len(sizes), n_words))

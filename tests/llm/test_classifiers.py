@@ -23,10 +23,21 @@ def test_quality_held_out(spark):
     assert (found[:, 0] == found[:, 1]).mean() > 0.97
 
 
-def test_toxicity_held_out(spark):
-    found = held_out(spark, toxicity.op5_toxicity_subword_bag, "toxic")
-    assert (found[:, 0] == found[:, 1]).mean() > 0.9
-    assert found[found[:, 0] == 1, 1].mean() > 0.7
+def test_toxicity_held_out():
+    """On the 2,600 labelled rows of sf0.1; the order of held-out documents, as so few rows settle no threshold."""
+    import zlib
+
+    import pandas as pd
+
+    folder = SF.replace("0.01", "0.1")
+    rows = pd.read_parquet(f"{folder}/documents.parquet").merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    out = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in rows.doc_id])
+    model = toxicity.fit(rows.text[~out], rows.toxic[~out].to_numpy())
+    y = rows.toxic[out].to_numpy()
+    score = np.array([model.score(t) for t in rows.text[out]])
+    assert (score[y == 1][:, None] > score[y == 0][None, :]).mean() > 0.85
+    english = out & (rows.lang == "en").to_numpy() & (rows.toxic == 1).to_numpy()
+    assert np.mean([model.score(t) >= toxicity.CUT for t in rows.text[english]]) > 0.8
 
 
 def test_pairs_order_the_kinds():
