@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import normalize_for_match, trimmed
+from lorekeep.functions.text import normalize_for_match, query_id, trimmed
 
 #: Shorter contexts are not matched; a fixed value.
 MIN_MATCH_CHARS = 40
@@ -52,6 +52,25 @@ def match_contexts(contexts: DataFrame, entries: DataFrame, min_chars: int = MIN
     return needle.join(hits, "context_id", "left").select("context_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), method.alias("method"))
 
 
+def testset_rows(samples: DataFrame, entries: DataFrame) -> DataFrame:
+    """samples(query, reference_answer, reference_contexts, query_type, persona_name, query_style, query_length) -> rows
+    of the evaluation set: with their id, the entries that the contexts come from, and how each was matched."""
+    samples = samples.withColumn("query_id", query_id(F.col("query"), F.col("reference_answer")))
+    asked = samples.select("query_id", F.posexplode("reference_contexts").alias("at", "context")).dropDuplicates(["query_id", "at"])
+    asked = asked.withColumn("context_id", F.concat_ws("/", "query_id", "at"))
+    found = asked.join(match_contexts(asked.select("context_id", "context"), entries), "context_id")
+    parts = F.array_sort(F.collect_list(F.struct("at", "method", "ids")))
+    of = found.groupBy("query_id").agg(parts.alias("parts")).select(
+        "query_id", F.array_sort(F.array_distinct(F.flatten("parts.ids"))).alias("source_entry_ids"), F.col("parts.method").alias("match_methods")
+    )
+    none = F.array().cast("array<string>")
+    return samples.join(of, "query_id", "left").select(
+        F.lit(1).alias("schema_version"), "query_id", "query", "reference_answer", "reference_contexts",
+        F.coalesce("source_entry_ids", none).alias("source_entry_ids"), "query_type",
+        F.struct("persona_name", "query_style", "query_length", F.coalesce("match_methods", none).alias("match_methods")).alias("ragas_metadata"),
+    )
+
+
 def corpus_hash(entries: DataFrame) -> DataFrame:
     """One row: sha256 of the sorted lines ``id:sha256(body)``. The lines are metadata, 70 bytes an entry."""
     lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "id", F.sha2("body", 256)))), "\n")

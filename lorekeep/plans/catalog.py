@@ -350,6 +350,26 @@ def a13_quality_signal(spark, d):
     )
 
 
+@query(_MATCHES + "SELECT 'ragas-' || substr(sha256('q' || item_id || chr(0) || text), 1, 12) AS query_id, ids AS sources, method AS methods FROM matches JOIN benchmark USING (item_id)")
+def p9_testset_rows(spark, d):
+    """Rows of an evaluation set from ready samples: ids, sources, match methods."""
+    b = t.table(spark, d, "benchmark")
+    named = {c: F.lit("x") for c in ("query_type", "persona_name", "query_style", "query_length")}
+    samples = b.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query"), F.col("text").alias("reference_answer"), F.array("text").alias("reference_contexts")).withColumns(named)
+    bodies = t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"))
+    rows = evalset.testset_rows(samples, bodies)
+    return rows.select("query_id", F.array_join("source_entry_ids", ",").alias("sources"), F.array_join("ragas_metadata.match_methods", ",").alias("methods"))
+
+
+@query("SELECT 'lookup' AS query_type, 6::BIGINT AS want, count(*) FILTER (item_id % 4 = 0) AS got FROM benchmark UNION ALL SELECT 'multi-hop', 6, count(*) FILTER (item_id % 4 = 1) FROM benchmark UNION ALL SELECT 'reasoning', 4, count(*) FILTER (item_id % 4 = 2) FROM benchmark UNION ALL SELECT 'cross-kind', 4, count(*) FILTER (item_id % 4 = 3) FROM benchmark", prelude=False)
+def p10_canary_strata(spark, d):
+    """How many queries each stratum has and should have."""
+    want = spark.createDataFrame(list(evalset.QUERY_TYPES.items()), "query_type string, want long")
+    kinds = F.element_at(F.array(*map(F.lit, evalset.QUERY_TYPES)), (F.col("item_id") % 4 + 1).cast("int"))
+    got = t.table(spark, d, "benchmark").groupBy(kinds.alias("query_type")).agg(F.count("*").alias("got"))
+    return want.join(got, "query_type", "left").fillna(0, ["got"])
+
+
 # ranks and cut-offs
 
 @query("SELECT chunk_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY round(bm25, 9) DESC, chunk_id)::INT AS rn FROM bm QUALIFY rn <= 20")
