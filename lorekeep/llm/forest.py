@@ -16,8 +16,11 @@ repeated vec_ids count as rows each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +46,25 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _project(batches):
+def _matrix(lists: pa.Array) -> np.ndarray | None:
+    """Lists of one length as the rows of a matrix, without objects in between; None if their lengths differ."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    if len(sizes) and (sizes == sizes[0]).all():
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), sizes[0]).astype(np.float64)
+    return None
+
+
+def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the projection of each vector on the direction of its node."""
     for batch in batches:
-        p = np.zeros(len(batch))
-        for (tree, node), at in batch.groupby(["tree", "node"]).indices.items():
-            x = _unit(batch.v.iloc[at])
-            direction = np.random.default_rng([int(tree), int(node) % (1 << 64)]).normal(size=x.shape[1])
-            p[at] = x @ (direction / np.linalg.norm(direction))
-        yield batch.assign(p=p)
+        tree, node, lists = (batch.column(c) for c in ("tree", "node", "v"))
+        whole = _matrix(lists)
+        p = np.zeros(batch.num_rows)
+        for (t, n), at in pd.DataFrame({"t": tree.to_numpy(), "n": node.to_numpy()}).groupby(["t", "n"]).indices.items():
+            x = whole[at] if whole is not None else np.array(lists.take(pa.array(at)).to_pylist(), np.float64)  # of a node's, lengths are equal
+            direction = np.random.default_rng([int(t), int(n) % (1 << 64)]).normal(size=x.shape[1])
+            p[at] = x @ direction / (np.linalg.norm(x, axis=1) * np.linalg.norm(direction))
+        yield batch.append_column("p", pa.array(p))
 
 
 def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, margin: float = MARGIN) -> DataFrame:
@@ -60,7 +74,7 @@ def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, margin: flo
     )
     found = []
     while True:
-        rows = written(rows.mapInPandas(_project, "tree int, node long, id long, weight long, v array<float>, p double"), "level")
+        rows = written(rows.mapInArrow(_project, "tree int, node long, id long, weight long, v array<float>, p double"), "level")
         stats = rows.groupBy("tree", "node").agg(F.count("*").alias("n"), F.percentile_approx("p", [0.2, 0.5, 0.8], 1000).alias("q"))
         dense = (F.col("q")[1] + margin >= F.col("q")[2]) | (F.col("q")[1] - margin <= F.col("q")[0])
         stats = written(stats.select("tree", "node", "n", F.col("q")[1].alias("cut"), ((F.col("n") <= leaf) | dense).alias("done")), "nodes", let_go=False)
