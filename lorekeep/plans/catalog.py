@@ -42,8 +42,9 @@ def hybrid_search(spark, d):
     """Keyword and vector legs, fusion, best chunk per entry, token budget, limit, confidence."""
     best = retrieval.best_per_entry(t.candidates(spark, d), "rrf").drop("rn")
     found = retrieval.within_budget(retrieval.top_k(best, "rrf", CANDIDATES), BUDGET).where(F.col("rn") <= LIMIT)
-    signal = retrieval.quality(found, "rrf").select("confidence")
-    return rounded(found.select(F.col("rn").alias("rank"), F.col("entry_id").alias("id"), "chunk_id", "kind", F.col("rrf").alias("score")), "score").crossJoin(F.broadcast(signal))
+    every = Window.partitionBy()  # LIMIT rows at most
+    signal = retrieval.confidence(F.max("rrf").over(every), F.count("*").over(every)).alias("confidence")
+    return rounded(found.select(F.col("rn").alias("rank"), F.col("entry_id").alias("id"), "chunk_id", "kind", F.col("rrf").alias("score"), signal), "score")
 
 
 # sources and sinks
