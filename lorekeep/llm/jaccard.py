@@ -2,9 +2,10 @@
 
 Equal texts are made one. A set's shingles are ordered from rare to frequent. If two sets overlap
 enough, then for every l >= 1 the first l shingles they share stand in the first
-|x| - ceil(0.8 |x|) + l places of either; so a set may choose its l: a longer prefix has more
-postings to read, but its partners must share l of them. Each set takes the l of least estimated
-cost, from the frequencies in its prefix; a pair is held to the smaller l of its two.
+|x| - ceil(0.8 |x|) + l places of either; so a set may choose its l, up to the ceil(0.8 |x|) that
+it must share with any partner: a longer prefix has more postings to read, but its partners must
+share l of them. Each set takes the l of least estimated cost, from the frequencies in its prefix;
+a pair is held to the smaller l of its two.
 
 Frequencies are exact over all sets, of features: so many leading bits of a shingle's hash as tell
 the corpus's shingles apart (they only order). Blocks of documents, kept compressed in a shared
@@ -139,10 +140,11 @@ def _totals(part: pd.DataFrame) -> pd.DataFrame:
 def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
     """From ascending frequencies of a set's shared shingles: the l of least cost, and how many of them its prefix has."""
     alone = n - len(df)
-    base = n - (n * PERCENT + 99) // 100
-    reach = np.clip(np.arange(1, MOST_MATCHES + 1) + base - alone, 0, len(df))
+    shared = (n * PERCENT + 99) // 100  # the least that a partner shares: no l may ask for more
+    matches = np.arange(1, max(1, min(MOST_MATCHES, shared)) + 1)
+    reach = np.clip(matches + n - shared - alone, 0, len(df))
     reads = np.r_[0, np.cumsum(df - 1)][reach]
-    cost = reads * (1 + VERIFY * n / np.arange(1, MOST_MATCHES + 1))
+    cost = reads * (1 + VERIFY * n / matches)
     best = int(cost.argmin())
     return best + 1, int(reach[best])
 

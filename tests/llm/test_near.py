@@ -95,6 +95,30 @@ def test_multi_match_prefix():
             assert len(cut(x) & cut(y)) >= min(most, len(x & y))
 
 
+def test_short_sets(spark):
+    """A set must not ask for more matches than a partner can share with it."""
+    for n in range(1, 12):
+        for df in (np.full(n, 2), np.full(n, 50), np.arange(2, n + 2)):
+            assert jaccard.prefix(df, n)[0] <= -(-n * 4 // 5)
+    # ten and eleven are one shingle, whose leader is the longer text with id 1
+    docs = [(10, "alpha beta gamma delta eps"), (11, "Alpha beta gamma delta eps"), (1, "alpha beta gamma delta eps x y")]
+    docs += [(100 + i, f"q{i} beta gamma delta eps x y") for i in range(8)]
+    # the same with sets of two to eight shingles
+    for n in range(2, 9):
+        text = " ".join(f"w{n}x{k}" for k in range(n + 4))
+        docs += [(1000 * n + 10, text), (1000 * n + 11, text.upper())]
+        for k in range(n):
+            part = " ".join(text.split()[k : k + 5])
+            docs += [(1000 * n + k, part + f" a{n} b{n} c{n}")]
+            docs += [(1000 * n + 100 + 10 * k + i, f"q{i} " + " ".join(part.split()[1:]) + f" a{n} b{n} c{n}") for i in range(6)]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = shingle_sets(docs)
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    of = classes(ids, links)
+    assert found == {i: (len(sets[i]), of[i]) for i in ids}
+
+
 def vectors():
     rng = np.random.default_rng(2)
     rows = []
