@@ -454,6 +454,16 @@ def t1_strip_frontmatter(spark, d):
     return docs.select("id", tx.strip_frontmatter(wrapped).alias("body"))
 
 
+@query("""SELECT id, length(body)::INT AS n, sha256(body) AS body_sha FROM (SELECT id, CASE WHEN doc_id % 3 = 1 THEN '+++ id = ' || id || ' ' || body ELSE body END AS body FROM (
+  SELECT doc_id, id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM docs))""")
+def t1_strip_frontmatter_of_whole_texts(spark, d):
+    """Whole texts, some without a closing mark, some with front matter of over 200 characters."""
+    at, text = F.col("doc_id") % 3, tx.trimmed(F.col("text"))
+    wrapped = F.when(at == 0, F.col("text")).when(at == 1, F.concat(F.lit("  +++ id = "), F.col("id"), F.lit(" "), text)).otherwise(F.concat(F.lit(f"+++\nid = {'1' * 300}\n+++\n\n"), F.col("text")))
+    docs = t.table(spark, d, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    return docs.select("id", tx.strip_frontmatter(wrapped).alias("body")).select("id", F.length("body").alias("n"), F.sha2("body", 256).alias("body_sha"))
+
+
 @query("""SELECT id, len(list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''))::INT AS n FROM docs""")
 def t2_sentences(spark, d):
     docs = t.table(spark, d, "documents")
@@ -493,6 +503,18 @@ def t8_tail_overlap(spark, d):
     return pairs.select("id", tx.tail_overlap(F.col("b"), F.col("a"), 8).alias("n"))
 
 
+@query("""SELECT id, i::INT - 1 AS at, list_max([0] || list_filter(range(1, least(len(a), len(b), 64) + 1), lambda n: a[len(a) - n + 1:] = b[1:n]))::INT AS n FROM (
+  SELECT id, i, ws[(i - 1) * 448 + 1:(i - 1) * 448 + 512] AS a, CASE WHEN i = k THEN ws[1:512] ELSE ws[i * 448 + 1:i * 448 + 512] END AS b FROM (
+    SELECT id, ws, k, unnest(range(1, 1 + k)) AS i FROM (SELECT id, ws, greatest(1, CAST(ceil((len(ws) - 512) / 448.0) AS BIGINT) + 1) AS k
+      FROM (SELECT id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM docs) WHERE len(ws) > 0)))""")
+def t8_tail_overlap_of_windows(spark, d):
+    """The end of every window of a text against the start of the next; after the last comes the first."""
+    windows = tx.word_windows(tx.words(F.col("text")), 512, 64)
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), windows.alias("windows")).where(F.size("windows") > 0)
+    pairs = docs.select("id", F.posexplode(F.arrays_zip(F.col("windows").alias("a"), F.concat(F.slice("windows", F.lit(2), F.size("windows")), F.slice("windows", 1, 1)).alias("b"))).alias("at", "p"))
+    return pairs.select("id", "at", tx.tail_overlap(F.split("p.b", " "), F.split("p.a", " "), 64).alias("n"))
+
+
 @query("SELECT id, CAST(trunc(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.33) AS INT) AS est FROM docs")
 def t9_token_estimate(spark, d):
     return t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), tx.estimated_tokens(tx.word_count(F.col("text"))).alias("est"))
