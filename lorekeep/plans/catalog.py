@@ -271,6 +271,15 @@ def j12_expected_entries(spark, d):
     return asked.join(known, "expected", "left").select("canary", (F.col("rank") + 1).alias("rank"), "kind")
 
 
+@query("SELECT p.doc_id AS canary, p.pos::INT AS rank, x.kind FROM (SELECT doc_id, unnest([1, 2, 3]) AS pos FROM docs) p LEFT JOIN docs x ON x.doc_id = p.doc_id * 2 + p.pos")
+def j12_expected_entries_of_all(spark, d):
+    """Every document asks for three entries; those of the later half are missing."""
+    docs = t.table(spark, d, "documents").select("doc_id")
+    asked = docs.select(F.col("doc_id").alias("canary"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")).withColumn("expected", F.col("canary") * 2 + F.col("rank"))
+    known = docs.select(F.col("doc_id").alias("expected"), t.kind_of(F.col("doc_id")).alias("kind"))
+    return asked.join(known, "expected", "left").select("canary", "rank", "kind")
+
+
 @query("SELECT user_id, min(event_id) AS root, count(*) - 1 AS children FROM events GROUP BY user_id")
 def j13_root_to_children(spark, d):
     e = t.table(spark, d, "events")
@@ -444,6 +453,17 @@ def l10_sorted_ids(spark, d):
     return e.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("entry_id")), ",").alias("ids"))
 
 
+@query("SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS rank FROM docs")
+def l10_ranked_ids(spark, d):
+    """All ids with their rank within the kind: ranks within ranges of leading characters, and the sizes of the ranges before."""
+    e = t.chunks(spark, d).select("kind", F.col("entry_id").alias("id"), F.substring("entry_id", 1, 4).alias("range"))
+    before = Window.partitionBy("kind").orderBy(F.asc_nulls_last("range")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = e.groupBy("kind", "range").agg(F.count("*").alias("size"))
+    sizes = sizes.select(F.col("kind").alias("of"), F.col("range").alias("from"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    found = e.withColumn("at", F.row_number().over(Window.partitionBy("kind", "range").orderBy("id")))
+    return found.join(sizes, F.col("kind").eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("from"))).select("kind", "id", (F.col("before") + F.col("at")).alias("rank"))
+
+
 # text
 
 @query("""SELECT id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(substr(text, 1, 200), '^\\s+|\\s+$', '', 'g') WHEN doc_id % 3 = 1 THEN '+++ id = ' || id ELSE regexp_replace(substr(text, 1, 200), '^\\s+|\\s+$', '', 'g') END AS body FROM docs""")
