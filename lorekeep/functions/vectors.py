@@ -39,6 +39,10 @@ def from_bytes(raw: bytes) -> list[float]:
     return list(struct.unpack(f"<{len(raw) // 4}f", raw))
 
 
+#: Queries whose similarities to a batch are held at once.
+_ROWS = 256
+
+
 def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
     """vectors(chunk_id, embedding) against queries(query_id, embedding) -> query_id, chunk_id, sim.
 
@@ -65,10 +69,17 @@ def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int, most_queries
                 continue
             x = np.array(batch.embedding.tolist(), np.float64)
             size = np.linalg.norm(x, axis=1, keepdims=True)
-            sims = q @ np.divide(x, size, out=np.zeros_like(x), where=size > 0).T
+            x = np.divide(x, size, out=np.zeros_like(x), where=size > 0).T
             names = batch.chunk_id.to_numpy()
-            rows = [(i, names[j], sims[n, j]) for n, i in enumerate(ids) for j in np.lexsort((names, -np.round(sims[n], 9)))[:k]]
-            yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "sim"])
+            for at in range(0, len(ids), _ROWS):
+                sims = q[at : at + _ROWS] @ x
+                near = np.round(sims, 9)
+                least = np.partition(near, -k, axis=1)[:, -k] if k < len(names) else np.full(len(near), -np.inf)
+                rows = []
+                for n, i in enumerate(ids[at : at + _ROWS]):
+                    some = np.flatnonzero(near[n] >= least[n])  # the k best and what ties with the last
+                    rows += [(i, names[j], sims[n, j]) for j in some[np.lexsort((names[some], -near[n, some]))[:k]]]
+                yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "sim"])
 
     found = vectors.select("chunk_id", "embedding").mapInPandas(best, f"query_id {kind}, chunk_id string, sim double")
     near = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("sim", 9)).alias("near"), "chunk_id", "sim"))), 1, k)

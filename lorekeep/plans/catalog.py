@@ -226,6 +226,14 @@ def j7_many_queries_by_vectors(spark, d):
     return rounded(top_k_per_query(v, asked, 5), "sim")
 
 
+@query("""SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM vecs a, vecs b
+QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.chunk_id) <= 5""")
+def j7_all_queries_by_vectors(spark, d):
+    """Every vector asks, block by block; exact, so the work is the square of the vectors."""
+    v = t.vectors(spark, d)
+    return rounded(top_k_per_query(v, v.select(F.col("chunk_id").alias("query_id"), "embedding"), 5), "sim")
+
+
 @query("SELECT chunk_id, entry_id, round(sim, 6) AS sim FROM sims WHERE round(sim, 9) >= 0.3")
 def j8_content_by_vectors(spark, d):
     v = t.vectors(spark, d).crossJoin(F.broadcast(t.query_vector(spark, d)))
@@ -654,14 +662,26 @@ def v8_elapsed_ms(spark, d):
 
 # extensions for evaluation
 
-@query("SELECT label, round(avg(hit), 6) AS recall_at_5 FROM (SELECT q.label, (e.label = q.label)::INT AS hit FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 30) q, (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e WHERE e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 5) GROUP BY label", prelude=False)
-def x1_precision_by_label(spark, d):
-    """Share of a query's five nearest that have its label."""
-    v = t.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
-    asked = v.where(F.col("chunk_id").cast("long") < 30)
+def _precision(v, asked):
+    """Share of a query's five nearest that have its label, by the query's label."""
     found = top_k_per_query(v, asked.select(F.col("chunk_id").alias("query_id"), "embedding"), 6).where("query_id <> chunk_id")
     w = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "chunk_id")
     found = found.withColumn("rn", F.row_number().over(w)).where("rn <= 5")
     own = asked.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own"))
     hits = found.join(own, "query_id").join(v.select("chunk_id", "label"), "chunk_id")
     return hits.groupBy(F.col("own").alias("label")).agg(F.round(F.avg((F.col("label") == F.col("own")).cast("int")), 6).alias("recall_at_5"))
+
+
+@query("SELECT label, round(avg(hit), 6) AS recall_at_5 FROM (SELECT q.label, (e.label = q.label)::INT AS hit FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 30) q, (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e WHERE e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 5) GROUP BY label", prelude=False)
+def x1_precision_by_label(spark, d):
+    """Share of a query's five nearest that have its label."""
+    v = t.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
+    asked = v.where(F.col("chunk_id").cast("long") < 30)
+    return _precision(v, asked)
+
+
+@query("SELECT label, round(avg(hit), 6) AS recall_at_5 FROM (SELECT q.label, (e.label = q.label)::INT AS hit FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) q, (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e WHERE e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 5) GROUP BY label", prelude=False)
+def x1_precision_by_label_of_all(spark, d):
+    """The same with every vector as a query."""
+    v = t.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
+    return _precision(v, v)
