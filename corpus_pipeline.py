@@ -26,12 +26,23 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id; of rows with that id one, the least."""
-    kept = written(near_classes(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = docs.join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    """Of each class of near duplicates the document with the smallest id; of rows with that id and text one, the least.
+
+    Rows that share an id but not the text are documents of their own.
+    """
+    known = docs.where("doc_id is not null").select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.struct(*docs.columns).alias("row"))
+    repeated = known.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("doc_id", "least")
+    repeated = written(repeated, "repeated")
+    # the least text of an id keeps the id, the others are named by hashes
+    first = F.col("least").isNull() | (F.col("digest") == F.col("least"))
+    known = known.join(repeated, "doc_id", "left").withColumn("row_id", F.when(first, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "digest")))
+    others = written(known.where(~first).select("row_id", "doc_id", "digest").distinct(), "others")
+    classes = near_classes(known.select(F.col("row_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_id"), "component_id").join(others, "row_id", "left")
+    order = F.struct(F.coalesce("doc_id", "row_id"), F.coalesce("digest", F.lit("")))
+    kept = written(classes.groupBy("component_id").agg(F.min_by("row_id", order).alias("row_id")).select("row_id"), "kept")
+    found = known.select("row_id", "row").join(kept, "row_id").groupBy("row_id").agg(F.min("row").alias("row"))
     # rows without an id are in no class of others: they stay
-    return found.select("doc_id", "row.*").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return found.select("row.*").unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
