@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import gc
 import json
+import re
+import string
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -30,11 +33,15 @@ from .common import filled, read, restored
 
 #: The pattern of the vocabulary's pre-tokenizer; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens that a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Runs of text that a worker remembers from slice to slice, and the longest of them.
+CACHE_WORDS, CACHE_LENGTH = 500_000, 64
 #: Characters of text handled at once.
-SLICE_CHARS = 8_000_000
-_LATER_SPACE = regex.compile(r"\s ").search
+SLICE_CHARS = 4_000_000
+#: Characters that are neither letters, numbers nor white space; a run of them is one pre-token.
+_MARKS = string.punctuation
+#: A space that white space or the end follows, and one that white space precedes as well.
+_TRAILING_SPACE = re.compile(r" (?!\S)").search
+_SPACE_IN_A_RUN = re.compile(r"(?<=\s) (?!\S)").search
 
 
 def vocabulary_path() -> str:
@@ -84,7 +91,9 @@ class PairIndex:
         self.special = {t: i.to_bytes(4, "little") for t, i in special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.findall = regex.compile(PATTERN).findall
-        self.cache: dict[str, bytes] = {}
+        #: Ids of runs of text, as they stand and after a space.
+        self.bare: dict[str, bytes] = {"": b""}
+        self.spaced: dict[str, bytes] = {}
 
     def __reduce__(self):
         return encoder, (self.path,)
@@ -159,58 +168,83 @@ class PairIndex:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, packed."""
-        out: list[bytes] = []
+        return [ids for found in self.slices(texts) for ids in found]
+
+    def slices(self, texts: list[str | None]) -> Iterator[list[bytes]]:
+        """The ids of whole texts, packed, for as many texts at once as SLICE_CHARS allow."""
         held: list[str] = []
         size = 0
         for t in texts:
             held.append(t or "")
             size += len(held[-1])
             if size >= SLICE_CHARS:
-                out += self._encode(held)
+                yield self._slice(held)
                 held, size = [], 0
-        return out + self._encode(held)
+        if held:
+            yield self._slice(held)
 
-    def _runs(self, text: str) -> list:
-        """The text cut where no pre-token goes over: at special tokens (as a tuple of their ids) and
-        before a space that follows no white space."""
-        if self.split_special is not None and any(map(text.__contains__, self.special)):
-            return [run for part in self.split_special(text) for run in ([(self.special[part],)] if part in self.special else self._runs(part))]
-        if not text:
-            return []
-        if _LATER_SPACE(text):
-            return self.findall(text)
-        first, *others = text.split(" ")
-        return [*([first] if first else []), *map(" ".__add__, others)]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # millions of short lists without cycles
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # many short lists without cycles
         try:
-            return self._encode_slice(texts)
+            return self._encode(texts)
         finally:
             gc.enable()
 
-    def _encode_slice(self, texts: list[str]) -> list[bytes]:
-        runs = [self._runs(t) for t in texts]
-        wanted = {r for rs in runs for r in rs}
-        new = [r for r in wanted if r not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(wanted)
-        special = {r: r[0] for r in new if isinstance(r, tuple)}
-        # a run of letters is one pre-token
-        plain = [r for r in new if r not in special and (r.isalpha() or r[1:].isalpha() and r[0] == " ")]
-        cut = {r: self.findall(r) for r in {*new}.difference(plain, special)}
-        fresh = {w for ws in cut.values() for w in ws}.difference(self.cache).union(plain)
-        ids = dict(zip(fresh, self.merge([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
-        held = self.cache
-        ids.update([(r, b"".join([ids[w] if w in ids else held[w] for w in ws])) for r, ws in cut.items()])
-        ids.update(special)
-        known = self.cache
-        known.update((r, i) for r, i in ids.items() if len(r) <= CACHE_LENGTH)
-        long = {r: i for r, i in ids.items() if len(r) > CACHE_LENGTH}
-        if long:
-            known = {r: long[r] if r in long else known[r] for r in wanted}
-        return [b"".join(map(known.__getitem__, r)) for r in runs]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        # special tokens part a text, spaces part the rest; (special, None) or (first run, those after a space)
+        laid_out = [self._runs(t) for t in texts]
+        first = {bare for parts in laid_out for bare, after in parts if after is not None}.difference(self.bare)
+        later = set().union(*(after for parts in laid_out for _, after in parts if after)).difference(self.spaced)
+        self._learn(first, later)
+        bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
+        out = []
+        for parts in laid_out:
+            ids = []
+            for run, after in parts:
+                ids.append(bare(run) if after is not None else self.special[run])
+                if after:
+                    ids += map(spaced, after)
+            out.append(b"".join(ids))
+        if len(self.bare) + len(self.spaced) > CACHE_WORDS:
+            # what this slice did not ask for goes, and what is long
+            asked = set().union(*(after for parts in laid_out for _, after in parts if after))
+            self.spaced = {r: i for r, i in self.spaced.items() if r in asked and len(r) <= CACHE_LENGTH}
+            self.bare = {"": b""}
+            if len(self.spaced) > CACHE_WORDS // 2:
+                self.spaced.clear()
+        return out
+
+    def _runs(self, text: str) -> list[tuple[str, list[str] | None]]:
+        """The text cut where no pre-token goes over: at special tokens, and before a space with something
+        else than white space to its left or right."""
+        if self.split_special is not None and any(map(text.__contains__, self.special)):
+            return [run for part in self.split_special(text) for run in ([(part, None)] if part in self.special else self._runs(part))]
+        if _TRAILING_SPACE(text) and _SPACE_IN_A_RUN(text):
+            return [(text, [])]  # cut by the pattern alone
+        first, *after = text.split(" ")
+        return [(first, after)]
+
+    def _learn(self, first: set[str], later: set[str]) -> None:
+        """Remembers the ids of runs at a start (``bare``) and of runs that follow a space (``spaced``)."""
+        bare, spaced, findall = self.bare, self.spaced, self.findall
+        letters, marked, cut = [], [], []
+        for r in later:
+            if r.isalpha():  # a run of letters is one pre-token
+                letters.append(r)
+            elif (core := r.rstrip(_MARKS)).isalpha():  # and so are the marks behind it
+                marked.append((r, core, r[len(core) :]))
+            else:
+                cut.append((r, findall(" " + r)))
+        cut_first = [(r, findall(r)) for r in first]
+        pieces = {w for ws in (cut, cut_first) for _, found in ws for w in found}
+        alone = {m for _, _, m in marked}.union(w for w in pieces if w[0] != " ").difference(bare)
+        after = {c for _, c, _ in marked}.union(w[1:] for w in pieces if w[0] == " ").difference(spaced).union(letters)
+        ids = self.merge([w.encode("utf-8", "surrogatepass") for w in [*map(" ".__add__, after), *alone]])
+        spaced.update(zip(after, ids, strict=False))
+        bare.update(zip(alone, ids[len(after) :], strict=True))
+        spaced.update([(r, spaced[c] + bare[m]) for r, c, m in marked])
+        for ws, known in ((cut, spaced), (cut_first, bare)):
+            known.update([(r, b"".join([spaced[w[1:]] if w[0] == " " else bare[w] for w in found])) for r, found in ws])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -227,15 +261,23 @@ def encoder(path: str) -> PairIndex:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, ids: of whole texts, packed as little-endian unsigned 32-bit integers."""
+def _batches(batches, path: str, decoded: bool):
+    for batch in batches:
+        at, own = 0, encoder(path)
+        for ids in own.slices(batch.text.tolist()):
+            found = pd.DataFrame({"doc_id": batch.doc_id.iloc[at : at + len(ids)].to_numpy(), "ids": pd.Series(ids, dtype=object)})
+            at += len(ids)
+            yield found.assign(text=pd.Series(list(map(own.decode, ids)), dtype=object)) if decoded else found
 
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "ids": pd.Series(encoder(path).encode(batch.text.tolist()), dtype=object)})
 
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, ids: of whole texts, packed as little-endian unsigned 32-bit integers.
+
+    decoded: also text, what the ids decode to, in the same pass.
+    """
     # a step of its own: expressions over a Python function's result would have it computed once for each
-    found = docs.select(filled(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", text string" * decoded
+    found = docs.select(filled(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(lambda batches: _batches(batches, path, decoded), schema)
     return found.withColumn("doc_id", restored(F.col("doc_id")))
 
 
@@ -251,8 +293,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op9_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    found = decode(encode(read(spark, sf_dir, "documents"), path), path)
+    found = encode(read(spark, sf_dir, "documents"), vocabulary_path(), decoded=True)
     return found.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
