@@ -3,18 +3,22 @@
 Pieces above a share of the capacity are sorted and cut into groups of equal cardinality; each is
 rounded up to the largest of its group, so only a few sizes are left. A linear programme over the
 configurations of those sizes is solved by column generation (a revised simplex whose pricing is a
-knapsack over the capacity); the whole parts of its solution are opened as sequences, the actual
-pieces are put in place of the rounded ones, and what remains - the pieces of the fractional part
-and all small ones - goes best fit, longest first, into the space left.
-
-Pieces are dealt at random (a hash of document and piece) into shards of bounded size which are
-packed apart, so that memory is bounded and a lost executor costs a shard; a shard loses about one
-sequence. Then the sequences that are not full enough are taken up and packed once more, by shards
-of shards.
-
-Defined results: a null text is an empty one, whose only id is the closing one; pieces of equal
-length are told apart by document and piece number; repeated documents are packed each; an empty
-table gives no rows; other columns of the input are left out.
+knapsack over the capacity). The whole parts of its solution are opened as sequences with actual
+pieces in place of the rounded ones: the longest of each group, and last the longest of all that
+fits, so that what rounding up would waste is used. A configuration is opened as often as actual
+pieces fill each place from its own group or a longer one. What remains - pieces of the fractional
+part, of configurations no longer filled, and all small ones - goes best fit, longest first, into
+the space left.
+
+Pieces are dealt at random (by the row's place in the written table, so that no id or text is hot)
+into shards of bounded size which are packed apart: memory is bounded, a lost executor costs a
+shard. Then the sequences that are not full enough are taken up and packed once more, by shards of
+shards.
+
+Defined results: a null text is an empty one, whose only id is the closing one; a text of any length
+is cut into pieces, all of them packed; pieces of equal length are told apart by document, piece,
+start and digest; repeated documents are packed each; an empty table gives no rows; other columns of
+the input are left out.
 """
 
 from __future__ import annotations
@@ -31,9 +35,11 @@ from .common import filled, read, restored, written
 
 CAPACITY, CLOSE = 1024, 2
 #: Pieces of up to this share of the capacity are small.
-SMALL_SHARE = 1 / 8
+SMALL_SHARE = 1 / 5
 GROUPS = 96
 SHARD_ROWS = 32_768
+#: Sequences filled less than this are packed once more, with those of other shards.
+FULL = 0.98
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, close: int = CLOSE) -> DataFrame:
@@ -41,28 +47,31 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, close: in
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.doc_id.tolist(), encoder(path).encode(batch.text.tolist()), strict=True):
-                ids += close.to_bytes(4, "little")
-                n = len(ids) // 4
-                start, piece = 0, 0
-                while start < n:
-                    size = (n - start) % capacity or capacity
-                    rows.append((doc_id, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
-                    start, piece = start + size, piece + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            doc_ids = iter(batch.doc_id.tolist())
+            for found in encoder(path).slices(batch.text.tolist()):
+                rows = []
+                for ids in found:
+                    ids += close.to_bytes(4, "little")
+                    doc_id, n = next(doc_ids), len(ids) // 4
+                    start, piece = 0, 0
+                    while start < n:
+                        size = (n - start) % capacity or capacity
+                        rows.append((doc_id, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
+                        start, piece = start + size, piece + 1
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     docs = docs.select(filled(F.col("doc_id")).alias("doc_id"), "text")
     found = docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return found.withColumn("doc_id", restored(F.col("doc_id")))
 
 
-def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 1000) -> list[tuple[np.ndarray, float]]:
+def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Basic solution of: cover ``need`` of each size by as few configurations as can be."""
     k = len(sizes)
+    need = need + 1e-7 * np.arange(1, k + 1) / k  # no two ratios tie, so the simplex can't cycle
     basis = np.diag(capacity // sizes).astype(float)  # a column is a configuration, or minus one of a size: a surplus
     cost = np.ones(k)
-    for _ in range(rounds):
+    for _ in range(1000 * k):
         inverse = np.linalg.inv(basis)
         dual = cost @ inverse
         if dual.min() < -1e-9:
@@ -76,9 +85,9 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: i
         step = np.full(k, np.inf)
         np.divide(amount, direction, out=step, where=direction > 1e-9)
         out = int(step.argmin())
-        if not np.isfinite(step[out]):
-            break
         basis[:, out], cost[out] = enter, price
+    else:
+        raise RuntimeError(f"the programme over {k} sizes did not converge")
     amount = np.linalg.solve(basis, need)
     return [(basis[:, i].astype(int), float(amount[i])) for i in range(k) if cost[i]]
 
@@ -103,61 +112,83 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray
     return found
 
 
+class _Shelf:
+    """Pieces by length, and sequences; bit r of ``left`` is set where a piece of length r is left."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int):
+        self.pieces: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for i, size in enumerate(lengths.tolist()[::-1]):  # the first of a length is taken first
+            self.pieces[size].append(len(lengths) - 1 - i)
+        self.left = sum(1 << r for r, p in enumerate(self.pieces) if p)
+        self.sequence, self.offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        self.fill: list[int] = []
+
+    def longest(self, room: int, taken: list[int]) -> int:
+        """The length of the longest piece left that fits, besides those taken; 0: none."""
+        while (found := (self.left & ((1 << (room + 1)) - 1)).bit_length() - 1) > 0 and taken.count(found) >= len(self.pieces[found]):
+            room = found - 1
+        return max(found, 0)
+
+    def put(self, size: int, to: int) -> None:
+        i = self.pieces[size].pop()
+        if not self.pieces[size]:
+            self.left &= ~(1 << size)
+        self.sequence[i], self.offset[i] = to, self.fill[to]
+        self.fill[to] += size
+
+    def open(self, sizes: list[int]) -> None:
+        self.fill.append(0)
+        for size in sizes:
+            self.put(size, len(self.fill) - 1)
+
+
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the offset of each piece."""
-    n = len(lengths)
-    sequence, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    fill: list[int] = []
-
-    def put(i: int, to: int) -> None:
-        sequence[i], offset[i] = to, fill[to]
-        fill[to] += int(lengths[i])
-
-    order = np.argsort(-lengths, kind="stable")
-    whole = order[lengths[order] >= capacity]
-    large = order[(lengths[order] < capacity) & (lengths[order] > capacity * SMALL_SHARE)]
-    rest = order[lengths[order] <= capacity * SMALL_SHARE].tolist()
-    for i in whole.tolist():
-        fill.append(0)
-        put(i, len(fill) - 1)
+    shelf = _Shelf(lengths, capacity)
+    small = int(capacity * SMALL_SHARE)
+    while shelf.pieces[capacity]:
+        shelf.open([capacity])
+    large = -np.sort(-lengths[(lengths < capacity) & (lengths > small)])
     if len(large):
-        members: dict[int, list[int]] = {}
+        need: dict[int, int] = {}
         for part in np.array_split(large, min(groups, len(large))):
-            members.setdefault(int(lengths[part[0]]), []).extend(part.tolist())  # groups of one size are one
-        sizes = np.array(sorted(members, reverse=True))
-        queues = [members[s][::-1] for s in sizes.tolist()]
-        need = np.array([len(q) for q in queues], float)
-        for config, amount in configurations(sizes, need, capacity):
-            for _ in range(int(amount + 1e-9)):
-                if not any(c and q for c, q in zip(config, queues, strict=True)):
-                    break
-                fill.append(0)
-                for c, q in zip(config.tolist(), queues, strict=True):
-                    for _ in range(min(c, len(q))):
-                        put(q.pop(), len(fill) - 1)
-        left = [i for q in queues for i in q]
-        rest = sorted(left, key=lambda i: -lengths[i]) + rest
+            need[int(part[0])] = need.get(int(part[0]), 0) + len(part)  # groups of one size are one
+        sizes = sorted(need, reverse=True)
+        longer_than = dict(zip(sizes, [*sizes[1:], small], strict=True))  # the members of a size's group are
+        solved = configurations(np.array(sizes), np.array(list(need.values()), float), capacity)
+        planned = [([s for s, c in zip(sizes, config.tolist(), strict=True) for _ in range(c)], int(amount + 1e-6)) for config, amount in solved]
+        for places, times in sorted(planned, reverse=True):
+            for _ in range(times):
+                taken: list[int] = []
+                for k, size in enumerate(places):
+                    found = shelf.longest(capacity - sum(taken) if k == len(places) - 1 else size, taken)
+                    if found <= longer_than[size]:
+                        break
+                    taken.append(found)
+                if len(taken) < len(places):
+                    break  # no longer filled
+                shelf.open(taken)
     # best fit: bit r of ``open_`` is set where a sequence with r places left is on that stack
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for to, used in enumerate(fill):
+    for to, used in enumerate(shelf.fill):
         stacks[capacity - used].append(to)
     open_ = sum(1 << r for r in range(1, capacity + 1) if stacks[r])
-    for i in rest:
-        size = int(lengths[i])
-        fit = open_ >> size
-        if fit:
-            r = size + (fit & -fit).bit_length() - 1
-            to = stacks[r].pop()
-            if not stacks[r]:
-                open_ &= ~(1 << r)
-        else:
-            r, to = capacity, len(fill)
-            fill.append(0)
-        put(i, to)
-        if r > size:
-            stacks[r - size].append(to)
-            open_ |= 1 << (r - size)
-    return sequence, offset
+    for size in range(capacity - 1, 0, -1):
+        for _ in range(len(shelf.pieces[size])):
+            fit = open_ >> size
+            if fit:
+                r = size + (fit & -fit).bit_length() - 1
+                to = stacks[r].pop()
+                if not stacks[r]:
+                    open_ &= ~(1 << r)
+            else:
+                r, to = capacity, len(shelf.fill)
+                shelf.fill.append(0)
+            shelf.put(size, to)
+            if r > size:
+                stacks[r - size].append(to)
+                open_ |= 1 << (r - size)
+    return shelf.sequence, shelf.offset
 
 
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used long"
@@ -167,26 +198,26 @@ def _pack_shards(pieces: DataFrame, shards: int, first: int, capacity: int) -> D
     """Packs each shard apart; its sequences are numbered from (first + shard) * 2^32."""
 
     def run(key, part):
-        part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").drop(columns="shard")
+        order = ["length", "doc_id", "piece", "start", "ids_crc32"]
+        part = part.sort_values(order, ascending=[False, True, True, True, True], kind="stable").drop(columns="shard")
         sequence, offset = pack(part.length.to_numpy(), capacity)
         used = np.bincount(sequence, part.length.to_numpy()).astype(np.int64)
         part = part.assign(sequence_id=sequence + ((first + int(key[0])) << 32), offset=offset, used=used[sequence])
         return part[[c.split()[0] for c in _PACKED.split(", ")]]
 
-    pieces = pieces.withColumn("doc_id", filled(F.col("doc_id")))
-    shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit(first)), F.lit(shards)).cast("int")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(run, _PACKED).withColumn("doc_id", restored(F.col("doc_id")))
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(first)), F.lit(shards)).cast("int")
+    return (
+        pieces.withColumn("doc_id", filled(F.col("doc_id"))).withColumn("shard", shard)
+        .groupBy("shard").applyInPandas(run, _PACKED).withColumn("doc_id", restored(F.col("doc_id")))
+    )
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """pieces(doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    rows = pieces.count()
-    shards = max(1, -(-rows // shard_rows))
-    if shards == 1:
-        return _pack_shards(pieces, 1, 0, capacity).drop("used")
+    """pieces(doc_id, piece, start, length, ids_crc32), a written table, with sequence_id and offset."""
+    shards = max(1, -(-pieces.count() // shard_rows))
     once = written(_pack_shards(pieces, shards, 0, capacity), "packed")
     # what a shard couldn't fill is packed again with that of others
-    loose = F.col("used") < capacity * 0.98
+    loose = F.col("used") < capacity * FULL
     again = once.where(loose).drop("sequence_id", "offset", "used")
     few = max(1, -(-again.count() // (2 * shard_rows)))
     return once.where(~loose).unionByName(_pack_shards(again, few, shards, capacity)).drop("used")

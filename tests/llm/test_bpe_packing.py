@@ -106,3 +106,84 @@ def test_pack(lengths):
     # first fit decreasing needs at most 11/9 of the optimum and a bit; so much is allowed over the bound here
     bound = max(-(-sum(lengths) // 1024), sum(n > 512 for n in lengths))
     checked(rows, bound * 1.5 + 2)
+
+
+def plain_best_fit(lengths, capacity):
+    """Best fit decreasing: how many sequences it takes."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in room if r >= n]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - n)
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences by trying all placements."""
+    best = [len(lengths)]
+
+    def place(k, room):
+        if len(room) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(room)
+            return
+        for i in range(len(room)):
+            if room[i] >= lengths[k]:
+                place(k + 1, [*room[:i], room[i] - lengths[k], *room[i + 1 :]])
+        place(k + 1, [*room, capacity - lengths[k]])
+
+    place(0, [])
+    return best[0] if lengths else 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=8))
+def test_pack_against_all_placements(lengths):
+    sequence, _ = packing.pack(np.array(lengths, np.int64), 40)
+    assert len(set(sequence.tolist())) <= fewest(lengths, 40) + 1
+
+
+def test_pack_against_plain_best_fit():
+    rng = np.random.default_rng(4)
+    kinds = [rng.integers(1, 1025, 3000), np.minimum(1024, rng.geometric(1 / 300, 3000)), rng.integers(250, 520, 3000), rng.integers(300, 700, 3000), np.full(900, 400), np.r_[np.full(500, 600), np.full(500, 424)]]
+    for lengths in kinds:
+        sequence, _ = packing.pack(lengths)
+        assert len(set(sequence.tolist())) <= plain_best_fit(lengths.tolist(), 1024) * 1.002 + 1
+    # three to a sequence: the configurations beat plain best fit
+    sequence, _ = packing.pack(kinds[2])
+    assert len(set(sequence.tolist())) < 0.97 * plain_best_fit(kinds[2].tolist(), 1024)
+
+
+def test_equal_rows_are_dealt(spark):
+    df = spark.createDataFrame([(None, 0, 0, 300, 7)] * 4000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack_pieces(df, shard_rows=500).collect()
+    checked(out, 4000 / 3 + 8)
+    assert len({r["sequence_id"] >> 32 for r in out}) == 4  # all are loose, and packed again by 1,000
+
+
+def test_op2(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = packing.op2_best_fit_linear_grouping(spark, sf).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]): 1 for r in rows} == pieces_of(docs)
+    checked(rows, plain_best_fit([r["length"] for r in rows], 1024) + 1)
+
+
+def test_op9(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = bpe.op9_bpe_pair_index(spark, sf).collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = {i: (len(library(t)) // 4, sha(library(t)), sha(LIB.decode(LIB.encode(t, add_special_tokens=False).ids, skip_special_tokens=False).encode())) for i, t in docs.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows} == want
+
+
+def test_spaces_in_a_row():
+    texts = ["a   b", " a", "  a", "a ", "a  ", "a \n b", "a\n  b", "\n a", "x,\t y..", "don't... he'll' 12ab, a'b's", " é — ß!", "a b　 c", "... ...", "'s 's", "word' word's'"]
+    assert OWN.encode(texts) == [library(t) for t in texts]
