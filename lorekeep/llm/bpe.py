@@ -36,7 +36,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Runs of text that a worker remembers from slice to slice, and the longest of them.
 CACHE_WORDS, CACHE_LENGTH = 500_000, 64
 #: Characters of text handled at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 #: Characters that are neither letters, numbers nor white space; a run of them is one pre-token.
 _MARKS = string.punctuation
 #: A space that white space or the end follows, and one that white space precedes as well.
@@ -116,11 +116,14 @@ class PairIndex:
         symbols, after, before = ids, np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
         active = list(at)
         heapify(active)
+        made_by = np.full(len(ids), -1, np.int32)  # the rank that made the token here
         while active:
             r = heappop(active)
             lists = at.pop(r)
-            i = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            i = lists[0] if len(lists) == 1 else np.concatenate(lists)
             left, right = self.parts[r]
+            if left == right:
+                i = np.sort(i)
             i = i[symbols[i] == left]
             j = after[i]
             live = symbols[j] == right  # else one of the two has gone into another token
@@ -130,15 +133,17 @@ class PairIndex:
                 j = after[i]
             if not len(i):
                 continue
-            symbols[i], symbols[j] = self.made[r], -2
+            new = self.made[r]
+            symbols[i], symbols[j] = new, -2
+            made_by[i] = r
             k = after[j]
             after[i], before[k] = k, i
             h = before[i]
-            # the pairs that the new token is in, to the left and to the right
-            pairs = np.concatenate([symbols[h] * self.width + self.made[r], self.made[r] * self.width + symbols[k]])
-            starts = np.concatenate([h, i])
-            inside = np.concatenate([symbols[h] >= 0, symbols[k] >= 0])
-            pairs, starts = pairs[inside], starts[inside]
+            # the pairs that the new token is in, to the left (unless that is to the right of another one) and to the right
+            before_it, after_it = symbols[h], symbols[k]
+            on_left, on_right = (before_it >= 0) & (made_by[h] != r), after_it >= 0
+            pairs = np.concatenate([before_it[on_left] * self.width + new, new * self.width + after_it[on_right]])
+            starts = np.concatenate([h[on_left], i[on_right]])
             place = np.minimum(np.searchsorted(self.pair_keys, pairs), len(self.pair_keys) - 1)
             known = self.pair_keys[place] == pairs
             ranks, starts = self.pair_ranks[place[known]], starts[known]
@@ -199,12 +204,8 @@ class PairIndex:
         bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
         out = []
         for parts in laid_out:
-            ids = []
-            for run, after in parts:
-                ids.append(bare(run) if after is not None else self.special[run])
-                if after:
-                    ids += map(spaced, after)
-            out.append(b"".join(ids))
+            ids = [self.special[run] if after is None else bare(run) + b"".join(map(spaced, after)) for run, after in parts]
+            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
         if len(self.bare) + len(self.spaced) > CACHE_WORDS:
             # what this slice did not ask for goes, and what is long
             asked = set().union(*(after for parts in laid_out for _, after in parts if after))
