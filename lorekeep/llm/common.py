@@ -123,13 +123,3 @@ def release(spark: SparkSession) -> None:
     """Spark's cleaner drops shuffle files once nothing refers to them; ask for that now."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def block_of(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def text_blocks(docs: DataFrame, block_bytes: int = 16 << 20, least: int = 64) -> int:
-    """In how many blocks to deal out docs, so that one has about block_bytes of text."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(least, -(-total // block_bytes))

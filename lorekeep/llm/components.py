@@ -4,10 +4,23 @@ with partial aggregation, so that a hub's links are split over tasks."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
+
+
+def roots(close: np.ndarray) -> np.ndarray:
+    """Of a symmetric matrix of links: the smallest index of each one's component."""
+    n = len(close)
+    root = np.arange(n)
+    while True:
+        told = np.minimum(root, np.where(close, root[None, :], n).min(1, initial=n))
+        told = told[told]
+        if (told == root).all():
+            return root
+        root = told
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +34,10 @@ def components(links: DataFrame) -> DataFrame:
             labels.join(heard, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("label")),
             "told", let_go=False,
         )
+        dropped(labels)
         if told.where("label <> was").isEmpty():
+            dropped(both)
             return told.select("id", F.col("label").alias("component_id"))
         at = told.select(F.col("id").alias("label"), F.col("label").alias("next"))
         labels = written(told.select("id", "label").join(at, "label").select("id", F.least("label", "next").alias("label")), "labels", let_go=False)
+        dropped(told)

@@ -7,17 +7,25 @@ it must share with any partner: a longer prefix has more postings to read, but i
 share l of them. Each set takes the l of least estimated cost, from the frequencies in its prefix;
 a pair is held to the smaller l of its two.
 
-Frequencies are exact over all sets, of features: so many leading bits of a shingle's hash as tell
-the corpus's shingles apart (they only order). Blocks of documents, kept compressed in a shared
-table, send their distinct features with counts to the bucket of the feature, and get the counts
-over all back. A shingle of one set only can have no partner and sends no posting.
-
-The result is classes, not pairs. So groups of near copies are joined first to one leader per set,
-by verified links; the full prefix join then only asks about pairs that are not yet in one class.
-Every candidate is verified on the whole sets.
+Frequencies are exact over all sets. Blocks of documents send their shingles, packed, to the bucket
+of the shingle; a bucket sends back to each block those that several sets have, with their number.
+A shingle of one set only can have no partner, counts in no overlap and is not kept: a set is its
+shared shingles and its size. A posting goes where no set of its shingle has a size that could fit.
+
+The result is classes, not pairs. So near copies are first joined to a leader, the set of fewest
+shingles of its own among those with a shingle; sets with the same leader are a family. Then only
+shingles with sets of several classes ask on, and they ask for pairs of families: two families (or
+one with itself, if it has several classes) are compared in chunks of bounded size, where sets of
+different classes that share enough prefix shingles are verified on the whole sets. A group of
+copies, linked or just not alike enough to link, so makes no row for each of its pairs, and chunks
+of a family's main class are not compared with each other.
+
+Shingles are 64-bit hashes; a collision between two of the corpus's shingles could change one
+overlap by one. Texts are taken as equal by their SHA-256.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; fewer than five
-words are one shingle; repeated ids are repeated rows; rows without an id are counted and linked
+words are one shingle; a text of any length is read whole; repeated ids are repeated rows, in the
+class of each one's text if ids repeat with other texts; rows without an id are counted and linked
 with nothing; an empty table gives no rows; other columns are left out.
 """
 
@@ -27,23 +35,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, dropped, packed, packed_sorted, read, unpacked, unpacked_sorted, words, written
-from .components import components
+from .common import MISSING, WordHashes, dropped, filled, packed, packed_sorted, read, restored, unpacked, unpacked_sorted, words, written
+from .components import components, roots
 
 SHINGLE = 5
 #: Links at 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: The longest multi-match that a set may choose.
-MOST_MATCHES = 8
 #: Cost of verifying a candidate, per shingle, in postings read.
 VERIFY = 0.1
-#: Text in a block, and blocks' worth of text that a bucket's features come from.
-BLOCK_BYTES = 8 << 20
+#: Characters of text in a block; bytes of text whose shingles a bucket takes.
+BLOCK_CHARS, BUCKET_BYTES = 16 << 20, 16 << 20
+#: Sets in a chunk of a family, columns of a matrix that are multiplied at once.
+CHUNK, COLUMNS = 256, 4096
 #: Odd factors of the words of a shingle.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _hashes = WordHashes()
@@ -67,81 +74,78 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-_BLOCKS = "block string, ids binary, lengths binary, sizes binary, texts binary, features binary, counts binary"
+_CELLS = "bucket int, block string, of_block boolean, a binary, b binary, c binary"
 
 
-def _blocks(bits: int):
-    """Rows of documents as blocks: ids, numbers of shingles, texts, and the distinct features with counts."""
-    shift = np.uint64(64 - bits)
+def _cells(buckets: int):
+    """Rows of documents as blocks: a row of ids, numbers of shingles and digests; and by bucket the shingles with their documents' places."""
+    columns = [c.split()[0] for c in _CELLS.split(", ")]
 
-    def block(name, ids, texts):
+    def block(name, number, ids, texts, digests):
         sets = [shingles(t) for t in texts]
-        features, counts = np.unique(np.concatenate(sets) >> shift, return_counts=True)
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        lengths = np.array([len(s) for s in sets], np.int64)
-        return (
-            name, packed(np.array(ids, np.int64)), packed(lengths), packed(np.array([len(r) for r in raw], np.int64)), zstandard.compress(b"".join(raw), 3),
-            packed_sorted(features), packed(counts.astype(np.uint32)),
-        )
+        sizes = np.array([len(x) for x in sets], np.int64)
+        rows = [(number % buckets, name, True, packed(np.array(ids, np.int64)), packed(sizes), b"".join(digests))]
+        sets = [x if i != MISSING else x[:0] for i, x in zip(ids, sets, strict=True)]  # without an id: linked with nothing
+        tokens = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(x) for x in sets])
+        order = np.argsort(tokens)
+        tokens, owner = tokens[order], owner[order]
+        edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+        at = np.append(np.searchsorted(tokens, edges), len(tokens))
+        rows += [(b, name, False, packed_sorted(tokens[i:j]), packed(owner[i:j]), b"") for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+        return pd.DataFrame(rows, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _BLOCKS.split(", ")]
-        at, number, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        at, number, held, size = TaskContext.get().partitionId(), 0, ([], [], []), 0
         for batch in batches:
-            for i, t in zip(batch.id.tolist(), batch.text.tolist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                size += len(t or "")
-                if size >= BLOCK_BYTES:
-                    yield pd.DataFrame([block(f"{at}-{number}", ids, texts)], columns=columns)
-                    number, ids, texts, size = number + 1, [], [], 0
-        if ids:
-            yield pd.DataFrame([block(f"{at}-{number}", ids, texts)], columns=columns)
+            for row in zip(batch.id.tolist(), batch.text.tolist(), batch.digest.tolist(), strict=True):
+                for column, x in zip(held, row, strict=True):
+                    column.append(x)
+                size += len(row[1] or "")
+                if size >= BLOCK_CHARS:
+                    yield block(f"{at}-{number}", at + number, *held)
+                    number, held, size = number + 1, ([], [], []), 0
+        if held[0]:
+            yield block(f"{at}-{number}", at + number, *held)
 
     return run
 
 
-def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for ids, lengths in zip(batch.ids, batch.lengths, strict=True):
-            yield pd.DataFrame({"id": unpacked(ids, np.int64), "n_shingles": unpacked(lengths, np.int64)})
-
-
-def _bounds(features: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Where each bucket's features begin in an ascending array, and its end."""
-    edges = np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(features, edges), len(features))
-
-
-def _dealt(buckets: int, bits: int):
-    """Each block's features and counts, cut by bucket."""
+_SHARED = "block string, of_block boolean, a binary, b binary, c binary, d binary"
 
-    def run(batches):
-        for batch in batches:
-            for block, f, n in zip(batch.block, batch.features, batch.counts, strict=True):
-                f, n = unpacked_sorted(f), unpacked(n, np.uint32)
-                at = _bounds(f, buckets, bits)
-                rows = [(b, block, packed_sorted(f[i:j]), packed(n[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "features", "counts"])
 
-    return run
+def _shared(part: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's shingles that several sets have, for each block: with places and numbers of sets; rows of blocks pass."""
+    rows = [(x.block, True, x.a, x.b, x.c, b"") for x in part[part.of_block].itertuples()]
+    cells = part[~part.of_block]
+    if len(cells):
+        tokens = [unpacked_sorted(x) for x in cells.a]
+        every = np.concatenate(tokens)
+        order = np.argsort(every)
+        ends = np.flatnonzero(np.append(every[order][1:] != every[order][:-1], True))
+        df = np.empty(len(every), np.uint32)
+        df[order] = np.repeat(np.diff(ends, prepend=-1), np.diff(ends, prepend=-1))
+        at = 0
+        for block, token, owner in zip(cells.block, tokens, cells.b, strict=True):
+            n = df[at : at + len(token)]
+            keep = n > 1
+            at += len(token)
+            if keep.any():
+                rows.append((block, False, packed_sorted(token[keep]), packed(unpacked(owner, np.uint32)[keep]), packed(n[keep]), b""))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _SHARED.split(", ")])
 
 
-def _totals(part: pd.DataFrame) -> pd.DataFrame:
-    """The counts over all blocks of a bucket's features, in the order of each block's."""
-    features = [unpacked_sorted(f) for f in part.features]
-    every, back = np.unique(np.concatenate(features), return_inverse=True)
-    total = np.bincount(back, np.concatenate([unpacked(c, np.uint32) for c in part.counts])).astype(np.int64)
-    ends = np.cumsum([len(f) for f in features])
-    cells = np.split(total[back], ends[:-1])
-    return pd.DataFrame({"bucket": part.bucket, "block": part.block, "df": [packed(c) for c in cells]})
+def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a, b, c in zip(batch.a, batch.b, batch.c, strict=True):
+            yield pd.DataFrame({"id": unpacked(a, np.int64), "n_shingles": unpacked(b, np.int64), "digest": [c[i : i + 32] for i in range(0, len(c), 32)]})
 
 
 def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
     """From ascending frequencies of a set's shared shingles: the l of least cost, and how many of them its prefix has."""
     alone = n - len(df)
     shared = (n * PERCENT + 99) // 100  # the least that a partner shares: no l may ask for more
-    matches = np.arange(1, max(1, min(MOST_MATCHES, shared)) + 1)
+    matches = np.arange(1, max(1, shared) + 1)
     reach = np.clip(matches + n - shared - alone, 0, len(df))
     reads = np.r_[0, np.cumsum(df - 1)][reach]
     cost = reads * (1 + VERIFY * n / matches)
@@ -149,114 +153,158 @@ def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
     return best + 1, int(reach[best])
 
 
-def _prefixes(bits: int):
-    """The sets of a block that can have a partner: l, prefix, its places, and all shingles."""
-    shift = np.uint64(64 - bits)
-
-    def run(blocks: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for block in blocks.itertuples():
-            features = unpacked_sorted(block.features)
-            df = np.concatenate([unpacked(d, np.int64) for d in totals.sort_values("bucket").df] or [np.zeros(0, np.int64)])
-            raw, at = zstandard.decompress(block.texts), 0
-            for i, size in zip(unpacked(block.ids, np.int64).tolist(), unpacked(block.sizes, np.int64).tolist(), strict=True):
-                tokens = shingles(raw[at : at + size].decode("utf-8", "surrogatepass"))
-                at += size
-                mine = df[np.searchsorted(features, tokens >> shift)] if len(tokens) else np.zeros(0, np.int64)
-                held = np.flatnonzero(mine > 1)
-                held = held[np.lexsort((tokens[held], mine[held]))]
-                least, reach = prefix(mine[held], len(tokens))
-                if reach:
-                    alone = len(tokens) - len(held)
-                    rows.append((i, len(tokens), least, tokens[held[:reach]].view(np.int64), np.arange(alone, alone + reach, dtype=np.int32), tokens.view(np.int64)))
-        return pd.DataFrame(rows, columns=["id", "n", "l", "prefix", "places", "tokens"])
+_ACTIVE = "id long, n int, l int, alone int, prefix array<long>, tokens array<long>"
+
+
+def _prefixes(part: pd.DataFrame) -> pd.DataFrame:
+    """The sets of a block that can have a partner: size, l, shingles of their own, prefix, and all shared shingles."""
+    own, cells = part[part.of_block], part[~part.of_block]
+    rows = []
+    if len(cells):
+        ids, sizes = unpacked(own.a.iloc[0], np.int64), unpacked(own.b.iloc[0], np.int64)
+        tokens = np.concatenate([unpacked_sorted(x) for x in cells.a])
+        owner = np.concatenate([unpacked(x, np.uint32) for x in cells.b])
+        df = np.concatenate([unpacked(x, np.uint32) for x in cells.c]).astype(np.int64)
+        held = np.bincount(owner, minlength=len(ids))
+        can = (held * 100 >= sizes * PERCENT) & (sizes > 0)
+        keep = can[owner]
+        tokens, owner, df = tokens[keep], owner[keep], df[keep]
+        order = np.lexsort((tokens, df, owner))
+        tokens, df = tokens[order].view(np.int64), df[order]
+        at = 0
+        for k in np.flatnonzero(can).tolist():
+            n, m = int(sizes[k]), int(held[k])
+            mine = tokens[at : at + m]
+            least, reach = prefix(df[at : at + m], n)
+            at += m
+            if reach:
+                rows.append((int(ids[k]), n, least, n - m, mine[:reach], mine))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _ACTIVE.split(", ")])
+
+
+def _enough(overlap, n, m):
+    """Whether sets of these sizes with such an overlap are alike enough."""
+    return overlap * (100 + PERCENT) >= (n + m) * PERCENT
 
-    return run
+
+def _can_overlap(n, n_alone, m, m_alone):
+    """Whether they may be, by what of each set some other set has (their sizes fit then too)."""
+    return _enough(n - n_alone, n, m) & _enough(m - m_alone, n, m)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike enough."""
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens"))
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("tokens").alias(f"{side}_tokens"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return (
-        pairs.join(of("a"), "a").join(of("b"), "b")
-        .withColumn("both", both)
-        .where(100 * F.col("both") >= PERCENT * (F.size("a_tokens") + F.size("b_tokens") - F.col("both")))
-        .select("a", "b")
-    )
-
-
-def _enough(overlap, n: str, m: str):
-    """Whether sets of these sizes with such an overlap are alike enough."""
-    return overlap * (100 + PERCENT) >= (F.col(n) + F.col(m)) * PERCENT
-
-
-def _can_overlap(n: str, n_alone: str, m: str, m_alone: str):
-    """Whether they may be, by what of each set some other set has (their sizes fit then too)."""
-    return _enough(F.col(n) - F.col(n_alone), n, m) & _enough(F.col(m) - F.col(m_alone), n, m)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_enough(both, F.col("a_n"), F.col("b_n"))).select("a", "b")
+
+
+def _in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of these sets of distinct integers share."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    place = np.cumsum(several) - 1
+    keep = several[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(several.sum()), COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[i:j], column[i:j] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _compare(key, part: pd.DataFrame) -> pd.DataFrame:
+    """Two chunks: the sets of different classes that share enough of their prefixes are verified; each linked set with its part's least."""
+    part = part.sort_values("id", kind="stable")
+    ids, n, least, own_class = (part[c].to_numpy() for c in ("id", "n", "l", "class"))
+    ask = _in_common(part.prefix.tolist()) >= np.minimum(least[:, None], least[None, :])
+    ask &= own_class[:, None] != own_class[None, :]
+    alone = part.alone.to_numpy()
+    ask &= _can_overlap(n[:, None], alone[:, None], n[None, :], alone[None, :])
+    asked = np.flatnonzero(ask.any(1))
+    if not len(asked):
+        return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+    n, ids = n[asked], ids[asked]
+    whole = _in_common([part.tokens.iloc[i] for i in asked])
+    root = roots(ask[np.ix_(asked, asked)] & _enough(whole, n[:, None], n[None, :]))
+    linked = root != np.arange(len(root))
+    return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
+
+
+def _between_classes(postings: DataFrame, active: DataFrame, star: DataFrame, first: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of ``first``, of sets that share a posting's shingle."""
+    classes = components(first)
+    held = postings.select("token", "id").join(star.select(F.col("a").alias("id"), "b"), "id", "left").join(classes, "id", "left")
+    held = written(held.select("token", "id", F.coalesce("b", "id").alias("family"), F.coalesce("component_id", "id").alias("class")), "held", let_go=False)
+    mixed = held.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
+    held = written(held.join(mixed, "token"), "mixed", let_go=False)
+    # families, in chunks: sets of the leader's class, and the others
+    of_leader = classes.select(F.col("id").alias("family"), F.col("component_id").alias("main"))
+    sets = held.select("id", "family", "class").distinct().join(of_leader, "family", "left")
+    sets = sets.select("id", "family", "class", (F.col("class") != F.coalesce("main", "family")).cast("int").alias("other"))
+    sizes = sets.groupBy("family", "other").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    sets = sets.join(sizes, ["family", "other"]).select("id", "family", "class", F.struct("other", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("k")).alias("chunk"))
+    sets = written(sets, "sets", let_go=False)
+    chunks = written(sets.select("family", "chunk").distinct(), "chunks", let_go=False)
+    named = lambda s: chunks.select(F.col("family").alias(f"f{s}"), F.col("chunk").alias(f"c{s}"))
+    of_token = written(held.select("token", "family").distinct(), "families", let_go=False)
+    x, y = (of_token.select("token", F.col("family").alias(f"f{s}")) for s in "xy")
+    across = x.join(y, "token").where("fx < fy").select("fx", "fy").distinct().join(named("x"), "fx").join(named("y"), "fy")
+    several = sets.groupBy("family").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(F.col("family").alias("fx"))
+    within = several.join(named("x"), "fx").join(named("y").withColumn("fx", F.col("fy")), "fx").where("cx <= cy and (cx.other = 1 or cy.other = 1)")
+    columns = ["fx", "fy", "cx", "cy"]
+    pairs = written(across.select(columns).unionByName(within.select(columns)), "pairs", let_go=False)
+    # one row for each set and pair of chunks
+    dealt = pairs.withColumn("side", F.explode(F.when((F.col("fx") == F.col("fy")) & (F.col("cx") == F.col("cy")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    dealt = dealt.select(*columns, F.when(F.col("side") == 0, F.col("fx")).otherwise(F.col("fy")).alias("family"), F.when(F.col("side") == 0, F.col("cx")).otherwise(F.col("cy")).alias("chunk"))
+    dealt = dealt.join(sets, ["family", "chunk"]).select(*columns, "id", "class").join(active.select("id", "n", "l", "alone", "prefix", "tokens"), "id")
+    found = written(dealt.groupBy(*columns).applyInPandas(_compare, "a long, b long"), "second")
+    for table in (held, sets, chunks, of_token, pairs):
+        dropped(table)
+    return found
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, total // (2 * BLOCK_BYTES))
-    bits = min(64, max(32, int(total).bit_length() + 12))
-    one = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
-    one = one.where("first is not null").select(F.col("first").alias("id"), "text")
-    blocks = written(one.mapInPandas(_blocks(bits), _BLOCKS), "blocks")
-    lengths = written(blocks.select("ids", "lengths").mapInPandas(_lengths, "id long, n_shingles long"), "lengths", let_go=False)
-
-    cells = blocks.select("block", "features", "counts").mapInPandas(_dealt(buckets, bits), "bucket long, block string, features binary, counts binary")
-    totals = cells.groupBy("bucket").applyInPandas(_totals, "bucket long, block string, df binary")
-    active = blocks.select("block", "ids", "sizes", "texts", "features").groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(
-        _prefixes(bits), "id long, n int, l int, prefix array<long>, places array<int>, tokens array<long>"
-    )
-    active = written(active, "active")
-    dropped(blocks)
-    # alone: shingles that no other set has, the first in the order
-    postings = active.select("id", "n", "l", F.col("places")[0].alias("alone"), F.explode(F.arrays_zip("prefix", "places")).alias("p"))
-    postings = postings.select("id", "n", "l", "alone", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
-    postings = written(postings, "postings")
-
-    leaders = written(postings.groupBy("token").agg(F.min(F.struct("alone", "id", "n")).alias("leader")), "leaders", let_go=False)
+    docs = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    members = written(docs.select("doc_id", "digest", F.octet_length("text").cast("long").alias("bytes")), "members", let_go=False)
+    total = members.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(64, total // BUCKET_BYTES)
+    # one row for each text; only texts that occur again are shuffled, after copies are made one where they are read
+    again = members.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = written(again, "again", let_go=False)
+    single = docs.join(again, "digest", "left_anti").select(filled(F.col("doc_id")).alias("id"), "text", "digest")
+    copies = docs.join(again, "digest", "left_semi").groupBy("digest").agg(F.max("text").alias("text")).join(again, "digest")
+    one = single.unionByName(copies.select(filled(F.col("first")).alias("id"), "text", "digest"))
+    shared = written(one.mapInPandas(_cells(buckets), _CELLS).groupBy("bucket").applyInPandas(_shared, _SHARED), "shared")
+    lengths = written(shared.where("of_block").select("a", "b", "c").mapInPandas(_sizes, "id long, n_shingles long, digest binary"), "lengths", let_go=False)
+    active = written(shared.groupBy("block").applyInPandas(_prefixes, _ACTIVE), "active")
+    dropped(shared)
+
+    of_prefix = active.select("id", "n", "alone", F.explode("prefix").alias("token"))
+    leaders = of_prefix.groupBy("token").agg(F.min(F.struct("alone", "id", "n")).alias("leader"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # a posting stays if the sizes of its shingle's sets leave room for a partner
+    postings = of_prefix.join(leaders, "token").where(_enough(F.col("n") - F.col("alone"), F.col("n"), F.col("least")) & (F.col("n") * PERCENT <= 100 * F.col("most")))
+    postings = written(postings.select("token", "id", "n", "alone", F.col("leader.id").alias("b"), F.col("leader.n").alias("m"), F.col("leader.alone").alias("other")), "postings")
     star = (
-        postings.join(leaders, "token").select("id", "n", "alone", F.col("leader.id").alias("b"), F.col("leader.n").alias("m"), F.col("leader.alone").alias("other"))
-        .where((F.col("id") != F.col("b")) & _can_overlap("n", "alone", "m", "other"))
+        postings.where((F.col("id") != F.col("b")) & _can_overlap(F.col("n"), F.col("alone"), F.col("m"), F.col("other")))
         .groupBy("id", "b").count().groupBy("id").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
         .select(F.col("id").alias("a"), "b")
     )
-    first = written(_alike(written(star, "star", let_go=False), active), "first")
-    classes = components(first)
-
-    # the full join, between classes
-    known = postings.join(classes, "id", "left").withColumn("class", F.coalesce("component_id", "id")).drop("component_id")
-    known = written(known, "known", let_go=False)
-    mixed = written(known.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token"), "mixed", let_go=False)
-    known = written(known.join(mixed, "token"), "mixed", let_go=False)
-    x, y = (known.select(F.col("token"), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "l", "alone", "place", "class"))) for s in "xy")
-    least = F.least("x_l", "y_l")
-    within = lambda s: F.col(f"{s}_place") < F.col(f"{s}_n") - F.ceil(F.col(f"{s}_n") * PERCENT / 100) + least
-    pairs = (
-        x.join(y, "token").where((F.col("x_class") < F.col("y_class")) & _can_overlap("x_n", "x_alone", "y_n", "y_alone") & within("x") & within("y"))
-        .groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b"), "x_n", "y_n")
-        .agg(F.count("*").alias("matches"), F.max(least).alias("least"), F.min("x_place").alias("i"), F.min("y_place").alias("j"))
-        # from the first shared shingle on, no more can be shared than the shorter rest
-        .where((F.col("matches") >= F.col("least")) & _enough(F.least(F.col("x_n") - F.col("i"), F.col("y_n") - F.col("j")), "x_n", "y_n"))
-        .select("a", "b")
-    )
-    second = written(_alike(written(pairs, "pairs"), active), "second")
-    found = components(first.unionByName(second))
-    named = written(lengths.join(found, "id", "left").select(F.col("id").alias("first"), "n_shingles", F.coalesce("component_id", "id").alias("class")), "named", let_go=False)
-    members = docs.select("doc_id", "digest")
-    firsts = members.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")).join(named, "first")
-    firsts = written(firsts.select("digest", "n_shingles", "class"), "firsts", let_go=False)
-    out = members.where("doc_id is not null").join(firsts, "digest").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id")
-    )
-    count = F.pandas_udf(lambda ts: ts.map(lambda t: len(shingles(t))), "long")
-    alone = docs.where("doc_id is null").select("doc_id", count("text").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(alone)
+    star = written(star, "star", let_go=False)
+    first = written(_alike(star, active), "first")
+    second = _between_classes(postings, active, star, first)
+    classes = components(first.unionByName(second))
+    for table in (active, postings, star, first, second):
+        dropped(table)
+    named = written(lengths.join(classes, "id", "left").select("digest", "n_shingles", F.coalesce("component_id", "id").alias("class")), "named")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), restored(F.col("class"))).otherwise(F.col("doc_id"))
+    return members.join(named, "digest").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def op8_jaccard_adaptive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

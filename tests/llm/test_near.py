@@ -119,6 +119,51 @@ def test_short_sets(spark):
     assert found == {i: (len(sets[i]), of[i]) for i in ids}
 
 
+def links_of(sets):
+    ids = sorted(sets)
+    return [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+
+def test_many_nearly_alike(spark, monkeypatch):
+    """A large group of near copies, of which many are not quite alike enough to link, compared in several chunks."""
+    monkeypatch.setattr(jaccard, "CHUNK", 40)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(100)]
+    passage = [word() for _ in range(60)]
+    docs = []
+    for n in range(500):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[word()], [], [word(), word()]])
+        docs.append((n, " ".join(w)))
+    for n in range(500, 560):  # mostly one passage, in different surroundings
+        docs.append((n, " ".join([word() for _ in range(rng.randint(0, 14))] + passage[rng.randint(0, 3) :] + base[: rng.randint(0, 9)])))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()}
+    sets = shingle_sets(docs)
+    links = links_of(sets)
+    linked = {x for p in links for x in p}
+    assert 20 < len(docs) - len(linked) < 540
+    of = classes(sorted(sets), links)
+    assert found == {i: (len(sets[i]), of[i]) for i in sets}
+
+
+def test_ids_with_several_texts(spark):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    docs = [(1, text("a")), (1, text("b")), (2, text("b") + " more"), (3, text("c")), (3, text("c")), (4, text("a") + " x"), (None, text("c")), (None, text("z"))]
+    rows = jaccard.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in rows), key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 1), (None, None), (None, None)], key=str)
+    assert all(r["n_shingles"] in (36, 37) for r in rows)
+
+
+def test_op8(spark):
+    sf = "/root/testdata/sf0.001"
+    sets = shingle_sets([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    of = classes(sorted(sets), links_of(sets))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op8_jaccard_adaptive_prefix(spark, sf).collect()} == {i: (len(sets[i]), of[i]) for i in sets}
+
+
 def vectors():
     rng = np.random.default_rng(2)
     rows = []
