@@ -36,8 +36,9 @@ def words(text: str | None) -> list[bytes]:
     return raw_text(text).split()  # bytes know no other white space, and no other letters
 
 
-def raw_text(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").lower()
+def raw_text(text: str | None, lower: bool = True) -> bytes:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return raw.lower() if lower else raw
 
 
 class WordHashes:

@@ -1,16 +1,17 @@
 """Similarity join of word 5-shingle sets (Jaccard >= 0.8) by adaptive multi-match prefixes.
 
-Equal texts are made one. A set's shingles are ordered from rare to frequent. If two sets overlap
+Of equal texts one is compared. A set's shingles are ordered from rare to frequent. If two sets overlap
 enough, then for every l >= 1 the first l shingles they share stand in the first
 |x| - ceil(0.8 |x|) + l places of either; so a set may choose its l, up to the ceil(0.8 |x|) that
 it must share with any partner: a longer prefix has more postings to read, but its partners must
 share l of them. Each set takes the l of least estimated cost, from the frequencies in its prefix;
 a pair is held to the smaller l of its two.
 
-Frequencies are exact over all sets. Blocks of documents send their shingles, packed, to the bucket
-of the shingle; a bucket sends back to each block those that several sets have, with their number.
-A shingle of one set only can have no partner, counts in no overlap and is not kept: a set is its
-shared shingles and its size. A posting goes where no set of its shingle has a size that could fit.
+Frequencies are exact over all documents. Blocks of documents send their distinct shingles, packed
+and with counts, to the bucket of the shingle, so that a bucket meets a hot shingle once for each
+block; it sends back to each block those that several documents have, with their number. A shingle
+of one document only can have no partner, counts in no overlap and is not kept: a set is its shared
+shingles and its size. A posting goes where no set of its shingle has a size that could fit.
 
 The result is classes, not pairs. So near copies are first joined to a leader, the set of fewest
 shingles of its own among those with a shingle; sets with the same leader are a family. Then only
@@ -31,6 +32,7 @@ with nothing; an empty table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MISSING, WordHashes, dropped, filled, packed, packed_sorted, read, restored, unpacked, unpacked_sorted, words, written
+from .common import MISSING, WordHashes, dropped, filled, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, words, written
 from .components import components, roots
 
 SHINGLE = 5
@@ -74,71 +76,82 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-_CELLS = "bucket int, block string, of_block boolean, a binary, b binary, c binary"
+_PARTS = ("a", "b", "c", "d", "e", "f")
+_CELLS = "bucket int, block string, of_block boolean, " + ", ".join(f"{c} binary" for c in _PARTS)
+_NAMES = [c.split()[0] for c in _CELLS.split(", ")]
+
+
+def _block(buckets: int, name: str, number: int, ids: list, texts: list) -> pd.DataFrame:
+    """A block's own row - ids, sizes, digests, and shingles that several of its documents have, with counts and
+    documents - and a row for each bucket: shingles, counts, and the document where that is one."""
+    sets = [shingles(t) for t in texts]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    digests = b"".join(hashlib.sha256(raw_text(t, lower=False)).digest() for t in texts)
+    sets = [x if i != MISSING else x[:0] for i, x in zip(ids, sets, strict=True)]  # without an id: linked with nothing
+    tokens = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(x) for x in sets])
+    order = np.argsort(tokens)
+    tokens, owner = tokens[order], owner[order]
+    starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
+    counts = np.diff(starts, append=len(tokens))
+    several = counts > 1
+    local = np.repeat(several, counts)
+    own = (packed(np.array(ids, np.int64)), packed(sizes), digests, packed_sorted(tokens[starts][several]), packed(counts[several].astype(np.uint32)), packed(owner[local]))
+    rows = [(number % buckets, name, True, *own)]
+    tokens, counts, owner = tokens[starts], counts.astype(np.uint32), np.where(several, 0, owner[starts]).astype(np.uint32)
+    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    at = np.append(np.searchsorted(tokens, edges), len(tokens))
+    for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        if j > i:
+            rows.append((b, name, False, packed_sorted(tokens[i:j]), packed(counts[i:j]), packed(owner[i:j]), b"", b"", b""))
+    return pd.DataFrame(rows, columns=_NAMES)
 
 
 def _cells(buckets: int):
-    """Rows of documents as blocks: a row of ids, numbers of shingles and digests; and by bucket the shingles with their documents' places."""
-    columns = [c.split()[0] for c in _CELLS.split(", ")]
-
-    def block(name, number, ids, texts, digests):
-        sets = [shingles(t) for t in texts]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        rows = [(number % buckets, name, True, packed(np.array(ids, np.int64)), packed(sizes), b"".join(digests))]
-        sets = [x if i != MISSING else x[:0] for i, x in zip(ids, sets, strict=True)]  # without an id: linked with nothing
-        tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(x) for x in sets])
-        order = np.argsort(tokens)
-        tokens, owner = tokens[order], owner[order]
-        edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-        at = np.append(np.searchsorted(tokens, edges), len(tokens))
-        rows += [(b, name, False, packed_sorted(tokens[i:j]), packed(owner[i:j]), b"") for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-        return pd.DataFrame(rows, columns=columns)
+    """Rows of documents as blocks, dealt to the buckets of their shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, number, held, size = TaskContext.get().partitionId(), 0, ([], [], []), 0
+        at, number, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for row in zip(batch.id.tolist(), batch.text.tolist(), batch.digest.tolist(), strict=True):
-                for column, x in zip(held, row, strict=True):
-                    column.append(x)
-                size += len(row[1] or "")
+            for i, t in zip(batch.id.tolist(), batch.text.tolist(), strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t or "")
                 if size >= BLOCK_CHARS:
-                    yield block(f"{at}-{number}", at + number, *held)
-                    number, held, size = number + 1, ([], [], []), 0
-        if held[0]:
-            yield block(f"{at}-{number}", at + number, *held)
+                    yield _block(buckets, f"{at}-{number}", at + number, ids, texts)
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield _block(buckets, f"{at}-{number}", at + number, ids, texts)
 
     return run
 
 
-_SHARED = "block string, of_block boolean, a binary, b binary, c binary, d binary"
-
-
 def _shared(part: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's shingles that several sets have, for each block: with places and numbers of sets; rows of blocks pass."""
-    rows = [(x.block, True, x.a, x.b, x.c, b"") for x in part[part.of_block].itertuples()]
+    """A bucket's shingles that several documents have, for each block, with the documents' number; blocks' own rows pass."""
     cells = part[~part.of_block]
+    rows = []
     if len(cells):
-        tokens = [unpacked_sorted(x) for x in cells.a]
+        tokens, counts = [unpacked_sorted(x) for x in cells.a], [unpacked(x, np.uint32) for x in cells.b]
         every = np.concatenate(tokens)
         order = np.argsort(every)
-        ends = np.flatnonzero(np.append(every[order][1:] != every[order][:-1], True))
-        df = np.empty(len(every), np.uint32)
-        df[order] = np.repeat(np.diff(ends, prepend=-1), np.diff(ends, prepend=-1))
+        starts = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+        df = np.empty(len(every), np.int64)
+        df[order] = np.repeat(np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), starts), np.diff(starts, append=len(every)))
         at = 0
-        for block, token, owner in zip(cells.block, tokens, cells.b, strict=True):
+        for x, token, count in zip(cells.itertuples(), tokens, counts, strict=True):
             n = df[at : at + len(token)]
             keep = n > 1
             at += len(token)
             if keep.any():
-                rows.append((block, False, packed_sorted(token[keep]), packed(unpacked(owner, np.uint32)[keep]), packed(n[keep]), b""))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _SHARED.split(", ")])
+                rows.append((x.bucket, x.block, False, packed_sorted(token[keep]), packed(count[keep]), packed(unpacked(x.c, np.uint32)[keep]), packed(n[keep]), b"", b""))
+    return pd.concat([part[part.of_block], pd.DataFrame(rows, columns=_NAMES)], ignore_index=True).astype({"of_block": bool})
 
 
-def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for a, b, c in zip(batch.a, batch.b, batch.c, strict=True):
-            yield pd.DataFrame({"id": unpacked(a, np.int64), "n_shingles": unpacked(b, np.int64), "digest": [c[i : i + 32] for i in range(0, len(c), 32)]})
+        for x in batch.itertuples():
+            ids = unpacked(x.a, np.int64)
+            yield pd.DataFrame({"block": x.block, "place": np.arange(len(ids), dtype=np.int32), "id": ids, "n_shingles": unpacked(x.b, np.int64), "digest": [x.c[i : i + 32] for i in range(0, len(x.c), 32)]})
 
 
 def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
@@ -156,17 +169,25 @@ def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
 _ACTIVE = "id long, n int, l int, alone int, prefix array<long>, tokens array<long>"
 
 
-def _prefixes(part: pd.DataFrame) -> pd.DataFrame:
+def _prefixes(own: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
     """The sets of a block that can have a partner: size, l, shingles of their own, prefix, and all shared shingles."""
-    own, cells = part[part.of_block], part[~part.of_block]
-    rows = []
+    cells, rows = own[~own.of_block], []
     if len(cells):
-        ids, sizes = unpacked(own.a.iloc[0], np.int64), unpacked(own.b.iloc[0], np.int64)
+        block = own[own.of_block].iloc[0]
+        ids, sizes = unpacked(block.a, np.int64), unpacked(block.b, np.int64)
         tokens = np.concatenate([unpacked_sorted(x) for x in cells.a])
-        owner = np.concatenate([unpacked(x, np.uint32) for x in cells.b])
-        df = np.concatenate([unpacked(x, np.uint32) for x in cells.c]).astype(np.int64)
+        several = np.concatenate([unpacked(x, np.uint32) for x in cells.b]) > 1
+        owner = np.concatenate([unpacked(x, np.uint32) for x in cells.c])
+        df = np.concatenate([unpacked(x, np.int64) for x in cells.d])
+        # those that several documents of the block have are with the block
+        local, times = unpacked_sorted(block.d), unpacked(block.e, np.uint32)
+        order = np.argsort(tokens[several])
+        of_local = df[several][order]  # all of them are shared, so they stand as in the block
+        tokens, owner = np.append(tokens[~several], np.repeat(local, times)), np.append(owner[~several], unpacked(block.f, np.uint32))
+        df = np.append(df[~several], np.repeat(of_local, times))
         held = np.bincount(owner, minlength=len(ids))
         can = (held * 100 >= sizes * PERCENT) & (sizes > 0)
+        can[copies.place.to_numpy(np.int64)] = False
         keep = can[owner]
         tokens, owner, df = tokens[keep], owner[keep], df[keep]
         order = np.lexsort((tokens, df, owner))
@@ -271,19 +292,16 @@ def _between_classes(postings: DataFrame, active: DataFrame, star: DataFrame, fi
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
-    members = written(docs.select("doc_id", "digest", F.octet_length("text").cast("long").alias("bytes")), "members", let_go=False)
-    total = members.agg(F.sum("bytes")).first()[0] or 0
+    docs = docs.select(filled(F.col("doc_id")).alias("id"), "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, total // BUCKET_BYTES)
-    # one row for each text; only texts that occur again are shuffled, after copies are made one where they are read
-    again = members.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = written(again, "again", let_go=False)
-    single = docs.join(again, "digest", "left_anti").select(filled(F.col("doc_id")).alias("id"), "text", "digest")
-    copies = docs.join(again, "digest", "left_semi").groupBy("digest").agg(F.max("text").alias("text")).join(again, "digest")
-    one = single.unionByName(copies.select(filled(F.col("first")).alias("id"), "text", "digest"))
-    shared = written(one.mapInPandas(_cells(buckets), _CELLS).groupBy("bucket").applyInPandas(_shared, _SHARED), "shared")
-    lengths = written(shared.where("of_block").select("a", "b", "c").mapInPandas(_sizes, "id long, n_shingles long, digest binary"), "lengths", let_go=False)
-    active = written(shared.groupBy("block").applyInPandas(_prefixes, _ACTIVE), "active")
+    shared = written(docs.mapInPandas(_cells(buckets), _CELLS).groupBy("bucket").applyInPandas(_shared, _CELLS), "shared")
+    members = written(shared.where("of_block").select("block", "a", "b", "c").mapInPandas(_documents, "block string, place int, id long, n_shingles long, digest binary"), "members", let_go=False)
+    # of each text that occurs again one document stays, with the least id
+    again = members.groupBy("digest").agg(F.min(F.struct(F.col("id") == MISSING, "id", "block", "place")).alias("one"), F.count("*").alias("n")).where("n > 1")
+    again = written(again.select("digest", F.col("one.id").alias("first"), F.struct("one.block", "one.place").alias("one")), "again", let_go=False)
+    copies = members.join(again, "digest").where(F.struct("block", "place") != F.col("one")).select("block", "place")
+    active = written(shared.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(_prefixes, _ACTIVE), "active")
     dropped(shared)
 
     of_prefix = active.select("id", "n", "alone", F.explode("prefix").alias("token"))
@@ -302,9 +320,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = components(first.unionByName(second))
     for table in (active, postings, star, first, second):
         dropped(table)
-    named = written(lengths.join(classes, "id", "left").select("digest", "n_shingles", F.coalesce("component_id", "id").alias("class")), "named")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), restored(F.col("class"))).otherwise(F.col("doc_id"))
-    return members.join(named, "digest").select("doc_id", "n_shingles", own.alias("component_id"))
+    found = members.join(again.select("digest", "first"), "digest", "left").withColumn("first", F.coalesce("first", "id"))
+    found = found.join(classes.select(F.col("id").alias("first"), F.col("component_id").alias("class")), "first", "left")
+    doc_id = restored(F.col("id"))
+    own = F.when((F.col("n_shingles") > 0) & doc_id.isNotNull(), F.coalesce("class", "first")).otherwise(doc_id)
+    return found.select(doc_id.alias("doc_id"), "n_shingles", own.alias("component_id"))
 
 
 def op8_jaccard_adaptive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
