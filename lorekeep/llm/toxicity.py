@@ -5,9 +5,13 @@ training never saw share the vectors of their n-grams.
 At scoring time the average of vectors followed by a linear layer equals an average of one number
 per subword, so a worker keeps that number per distinct word and a text costs a look-up per word.
 
-Defined results: a null or empty text is scored by the intercept alone; repeated rows are scored
-once each; an empty table gives no rows; other columns pass through untouched. Without labelled
-rows of both kinds every document scores 0.
+Training documents come to the driver as bags of words, from whole texts of any length.
+
+Defined results: a null or empty text is scored by the intercept alone; equal texts score alike;
+repeated rows are scored once each; an empty table gives no rows; other columns pass through
+untouched, but for one named as the score, which is replaced (``name`` names the score). An id with
+several labels counts as toxic if one of them says so; of an id with several texts the least is
+learned from. Without labelled rows of both kinds every document scores 0.
 """
 
 from __future__ import annotations
@@ -28,8 +32,6 @@ from .common import fold, read
 
 #: Bounds of the labelled sample: rows (those with the smallest hashes), of which a quarter are toxic where there are enough.
 SAMPLE_ROWS = 6_000
-#: Longer texts are not learned from (they are scored).
-SAMPLE_BYTES = 1 << 18
 BUCKETS = 1 << 20
 DIM = 2
 NGRAMS = (3, 4)
@@ -88,6 +90,8 @@ class Bag:
         return total / len(found) + self.bias
 
     def score(self, text: str | None) -> float:
+        if self.bias == -np.inf:  # nothing was learned
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -60, 60))))
 
 
@@ -107,17 +111,21 @@ class _Sparse:
         return self._product(self.cols, self.rows, x, self.shape[1])
 
 
-def _matrices(texts: Iterable[str | None]) -> tuple[_Sparse, _Sparse, np.ndarray]:
+def bag_of(text: str | None) -> tuple[str, np.ndarray]:
+    """The distinct words of a whole text, by lines, and their numbers."""
+    found = Counter(tokens(text))
+    return "\n".join(found), np.fromiter(found.values(), np.uint32, len(found))
+
+
+def _matrices(bags: Iterable[tuple[str, np.ndarray]]) -> tuple[_Sparse, _Sparse, np.ndarray]:
     """Documents by words, words by the subwords that have vectors, and those subwords' buckets."""
     vocabulary: dict[str, int] = {}
     cols, sizes, weight = array("q"), array("q"), array("d")
-    for text in texts:
-        bag = Counter(tokens(text))
-        total = bag.total()
-        sizes.append(len(bag))
-        for w, c in bag.items():
-            cols.append(vocabulary.setdefault(w, len(vocabulary)))
-            weight.append(c / total)
+    for lines, counts in bags:
+        sizes.append(len(counts))
+        if len(counts):
+            cols.extend([vocabulary.setdefault(w, len(vocabulary)) for w in lines.split("\n")])
+            weight.extend((counts / counts.sum()).tolist())
     flat, lengths = array("q"), array("q")
     for w in vocabulary:
         found = subwords(w)
@@ -137,15 +145,15 @@ def _matrices(texts: Iterable[str | None]) -> tuple[_Sparse, _Sparse, np.ndarray
     return of_docs, _Sparse(of_word[keep], place[flat[keep]], (1 / lengths)[of_word[keep]], (n_words, len(used))), used
 
 
-def fit(texts: Iterable[str | None], y: np.ndarray, epochs: int = 80, rate: float = 0.1, decay: float = 1e-4, steep: float = 400.0, seed: int = 7) -> Bag:
+def fit(bags: Iterable[tuple[str, np.ndarray]], y: np.ndarray, epochs: int = 80, rate: float = 0.1, decay: float = 1e-4, steep: float = 400.0, seed: int = 7) -> Bag:
     """Adam on the mean cross-entropy, classes weighted alike; vectors and softmax weights move together.
 
     steep: size of the first softmax weights; a text's average moves little by one word in hundreds.
     """
     y = np.asarray(y)
     if not len(y) or y.min() == y.max():
-        return Bag(np.zeros(BUCKETS, np.float32), -60.0)
-    of_docs, of_words, used = _matrices(texts)
+        return Bag(np.zeros(BUCKETS, np.float32), -np.inf)
+    of_docs, of_words, used = _matrices(bags)
     rng = np.random.default_rng(seed)
     # a softmax of two classes: the weights of the second minus those of the first
     p = [rng.uniform(-0.5, 0.5, (len(used), DIM)) / DIM, steep * rng.normal(0, 1, (DIM, 1)), np.zeros(1)]
@@ -166,18 +174,26 @@ def fit(texts: Iterable[str | None], y: np.ndarray, epochs: int = 80, rate: floa
     return Bag(value, float(p[2][0]))
 
 
+def _bags(batches):
+    for batch in batches:
+        found = [bag_of(t) for t in batch.text]
+        yield pd.DataFrame({"doc_id": batch.doc_id, "y": batch.y, "words": [w for w, _ in found], "counts": [c.tobytes() for _, c in found]})
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 3, held_out: int = 1) -> Bag:
     """Fits on at most SAMPLE_ROWS labelled rows outside the held-out fold (crc32 of doc_id mod 3 is 1)."""
     rows = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", held_out_of) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     pick = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    docs = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    sample = docs.join(F.broadcast(pick(0, SAMPLE_ROWS * 3 // 4).union(pick(1, SAMPLE_ROWS // 4))), "doc_id")  # bounded by SAMPLE_ROWS
-    found = sample.toPandas().sort_values("doc_id", kind="stable")
-    return fit(found.text, found.y.to_numpy())
+    picked = F.broadcast(pick(0, SAMPLE_ROWS * 3 // 4).union(pick(1, SAMPLE_ROWS // 4)))  # SAMPLE_ROWS ids
+    # ids may repeat: one row for each
+    sample = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    found = sample.mapInPandas(_bags, "doc_id long, y int, words string, counts binary").toPandas().sort_values("doc_id", kind="stable")
+    y = found.y.to_numpy()
+    return fit(((w, np.frombuffer(c, np.uint32)) for w, c in zip(found.words, found.counts, strict=True)), y)
 
 
-def score(docs: DataFrame, model: Bag) -> DataFrame:
-    """docs with ``toxic_score``; a column of that name is replaced."""
+def score(docs: DataFrame, model: Bag, name: str = "toxic_score") -> DataFrame:
+    """docs with the score as column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     @F.pandas_udf(T.DoubleType())
@@ -185,12 +201,12 @@ def score(docs: DataFrame, model: Bag) -> DataFrame:
         model = shared.value
         return pd.Series([model.score(t) for t in text], dtype=float)
 
-    return docs.withColumn("toxic_score", scored(F.col("text")))
+    return docs.withColumn(name, scored(F.col("text")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with ``toxic_score`` by a model fitted on its labelled part."""
-    return score(docs, train(docs, labels))
+def toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic_score") -> DataFrame:
+    """docs with the score, by a model fitted on its labelled part."""
+    return score(docs, train(docs, labels), name)
 
 
 def op5_toxicity_subword_bag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def test_toxicity_held_out():
     folder = SF.replace("0.01", "0.1")
     rows = pd.read_parquet(f"{folder}/documents.parquet").merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
     out = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in rows.doc_id])
-    model = toxicity.fit(rows.text[~out], rows.toxic[~out].to_numpy())
+    model = toxicity.fit(map(toxicity.bag_of, rows.text[~out]), rows.toxic[~out].to_numpy())
     y = rows.toxic[out].to_numpy()
     score = np.array([model.score(t) for t in rows.text[out]])
     assert (score[y == 1][:, None] > score[y == 0][None, :]).mean() > 0.85
@@ -69,6 +69,59 @@ def test_edge_texts(spark):
 def test_unseen_misspelling():
     clean = [f"calm words number {i} about rivers and trees" for i in range(60)]
     bad = [f"you total blockhead number {i} about rivers" for i in range(60)]
-    model = toxicity.fit(clean + bad, np.r_[np.zeros(60), np.ones(60)])
+    model = toxicity.fit(map(toxicity.bag_of, clean + bad), np.r_[np.zeros(60), np.ones(60)])
     assert model.score("you total blockheadd about rivers") > 0.7 > model.score("calm words about trees")
     assert model.score(None) == model.score("")
+
+
+def test_named_scores_and_repeated_ids(spark):
+    """A column that has the score's usual name stays under another; ids that repeat are learned from once."""
+    docs = [(i % 40, f"{'Calm words about rivers' if i % 2 else 'YOU BAD BAD !!! $$$ thing'} {i}") for i in range(400)]
+    df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, quality_score int").withColumn("toxic_score", F.lit("own"))
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)] + [(1, 0, 1)], "doc_id long, quality int, toxic int")
+    out = toxicity.toxicity(quality.quality(df, labels, "good"), labels, "bad").collect()
+    assert len(out) == 400 and all(r["quality_score"] == 7 and r["toxic_score"] == "own" and 0 <= r["good"] <= 1 and 0 <= r["bad"] <= 1 for r in out)
+
+
+def test_nothing_learned_scores_zero(spark):
+    docs = rows_of(spark, ["some text", "", None])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["toxic_score"] for r in toxicity.toxicity(docs, none).collect()] == [0.0, 0.0, 0.0]
+    assert [r["quality_score"] for r in quality.quality(docs, none).collect()] == [0.5, 0.5, 0.5]
+
+
+def test_long_texts_are_learned_from(spark):
+    """The only toxic documents are long; their words still get a score."""
+    filler = "calm rivers and trees " * 5_000
+    docs = [(i, filler + "blockhead fool " * 30_000 if i % 2 else filler) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert model.score("blockhead fool") > 0.7 > model.score("calm rivers")
+
+
+def test_ranking_against_gradient_descent():
+    """Newton's weights are those of plain gradient descent on the same pairs."""
+    rng = np.random.default_rng(0)
+    x = np.r_[rng.normal(0, 1, (60, 3)), rng.normal(0.7, 1, (60, 3))]
+    y = np.r_[np.zeros(60), np.ones(60)]
+    model = quality.fit(x, y, pairs=4_000, ridge=1e-2, seed=3)
+    draw = np.random.default_rng(3)
+    z = model.standard(x)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = z[draw.choice(good, 4_000)] - z[draw.choice(bad, 4_000)]
+    w = np.zeros(3)
+    for _ in range(4_000):
+        p = 1 / (1 + np.exp(d @ w))
+        w += 0.3 * ((p @ d) / len(d) - 1e-2 * w)
+    assert np.allclose(w, model.weights, atol=1e-4)
+
+
+def test_bag_gradient():
+    """The trained bag beats chance by its loss; averaging before the linear layer equals averaging numbers after it."""
+    texts = ["good calm day", "calm calm trees", "bad fool", "fool fool bad day"] * 10
+    y = np.array([0, 0, 1, 1] * 10)
+    model = toxicity.fit(map(toxicity.bag_of, texts), y)
+    s = np.array([model.score(t) for t in texts])
+    assert -np.mean(np.log(np.where(y == 1, s, 1 - s))) < 0.2
+    found = toxicity.tokens(texts[3])
+    assert np.isclose(model.logit(texts[3]), np.mean([model.value[toxicity.subwords(w)].mean() for w in found]) + model.bias)
