@@ -15,44 +15,75 @@ from lorekeep.llm.toxicity import CUT as TOXIC
 from lorekeep.llm.toxicity import toxicity
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return quality(docs, read(spark, sf_dir, "labels")).where(F.col("quality_score") >= GOOD).drop("quality_score")
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts are scored like any other; repeated and tied rows are decided alike; an empty table stays empty;
+    all columns of docs, and no others, are returned.
+    """
+    score = unused(docs, "quality_score")
+    return quality(docs, read(spark, sf_dir, "labels"), score).where(F.col(score) >= GOOD).select(*docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not found toxic."""
-    return toxicity(docs, read(spark, sf_dir, "labels")).where(F.col("toxic_score") < TOXIC).drop("toxic_score")
+    """Documents that are not found toxic.
+
+    Null and empty texts are scored like any other; repeated and tied rows are decided alike; an empty table stays empty;
+    all columns of docs, and no others, are returned.
+    """
+    score = unused(docs, "toxic_score")
+    return toxicity(docs, read(spark, sf_dir, "labels"), score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id; of rows with that id and text one, the least.
+    """Of each class of near duplicates the document with the smallest id (of its texts that with the least digest).
 
-    Rows that share an id but not the text are documents of their own.
+    Rows that share an id but not the text are documents of their own; of rows that share both, one stays, whatever their other
+    columns hold (of any type). Null and blank texts are near to nothing. Rows without an id stay. An empty table stays empty.
     """
-    known = docs.where("doc_id is not null").select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.struct(*docs.columns).alias("row"))
-    repeated = known.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("doc_id", "least")
-    repeated = written(repeated, "repeated")
+    row, digest = unused(docs, "row_id"), unused(docs, "digest")
+    docs_ = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    keys = written(docs_.where("doc_id is not null").groupBy("doc_id", F.col(digest).alias("digest")).agg(F.count("*").alias("times")), "keys")
     # the least text of an id keeps the id, the others are named by hashes
-    first = F.col("least").isNull() | (F.col("digest") == F.col("least"))
-    known = known.join(repeated, "doc_id", "left").withColumn("row_id", F.when(first, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "digest")))
-    others = written(known.where(~first).select("row_id", "doc_id", "digest").distinct(), "others")
-    classes = near_classes(known.select(F.col("row_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_id"), "component_id").join(others, "row_id", "left")
-    order = F.struct(F.coalesce("doc_id", "row_id"), F.coalesce("digest", F.lit("")))
-    kept = written(classes.groupBy("component_id").agg(F.min_by("row_id", order).alias("row_id")).select("row_id"), "kept")
-    found = known.select("row_id", "row").join(kept, "row_id").groupBy("row_id").agg(F.min("row").alias("row"))
-    # rows without an id are in no class of others: they stay
-    return found.select("row.*").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    several = keys.groupBy("doc_id").agg(F.min("digest").alias("least"), F.count("*").alias("texts")).where("texts > 1").select("doc_id", "least")
+    other = keys.join(written(several, "several", let_go=False), "doc_id").where("digest <> least").select("doc_id", "digest")
+    other = written(other.withColumn("its_row", F.xxhash64("doc_id", "digest")), "other", let_go=False)
+    named = other.select(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), "its_row")
+    known = docs_.join(named, (F.col("doc_id") == F.col("its_id")) & (F.col(digest) == F.col("its_digest")), "left")
+    known = known.withColumn(row, F.coalesce("its_row", "doc_id")).drop("its_id", "its_digest", "its_row")
+    classes = near_classes(known.where("doc_id is not null").select(F.col(row).alias("doc_id"), "text")).distinct()
+    classes = classes.select(F.col("doc_id").alias("its_row"), F.col("component_id").alias("class")).join(other, "its_row", "left")
+    classes = written(classes.withColumn("order", F.struct(F.coalesce("doc_id", "its_row").alias("id"), F.coalesce("digest", F.lit("")).alias("digest"))), "classes")
+    first = classes.groupBy("class").agg(F.min_by("its_row", "order").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = written(classes.join(first, "class").where("its_row <> first").select("its_row"), "gone", let_go=False)
+    # rows that share id and text: their texts alone are shuffled
+    twice = written(keys.where("times > 1").join(named, (F.col("doc_id") == F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left").select(F.coalesce("its_row", "doc_id").alias("its_row")), "twice", let_go=False)
+    same_row = F.col(row) == F.col("its_row")
+    kept = known.join(gone, same_row, "left_anti")
+    # rows without an id are in no class of others: null equals nothing, so they stay
+    once = kept.join(twice, same_row, "left_anti").unionByName(kept.join(twice, same_row, "left_semi").dropDuplicates([row]))
+    return once.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences that the documents are packed into, by piece."""
+    """The sequences that the documents are packed into, by piece.
+
+    A null text is an empty one; rows that repeat are packed each; an empty table gives no rows.
+    """
     return pack_pieces(written(token_pieces(docs, vocabulary_path()), "pieces"))
 
 
 STAGES = [("quality", quality_filter), ("toxicity", toxicity_filter), ("near duplicates", near_duplicates), ("packing", packing)]
 
-#: The classifiers can't be written in SQL; tests/llm holds the pipeline against brute-force stages.
+#: The classifiers can't be written in SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
