@@ -44,7 +44,7 @@ def raw_text(text: str | None, lower: bool = True) -> bytes:
 class WordHashes:
     """64-bit hashes of words; a worker remembers those of ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 

@@ -40,7 +40,7 @@ MENTIONS_PER_TEXT, LEAST_MENTIONS = 1 / 150, 3
 #: Documents with this score or more are predicted toxic.
 CUT = 0.7
 #: Distinct words whose number a worker keeps before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _WORDS = re.compile(r"\w+")
 
 
