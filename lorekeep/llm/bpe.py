@@ -29,14 +29,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filled, read, restored
+from .common import filled, read, restored, working
 
 #: The pattern of the vocabulary's pre-tokenizer; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Runs of text that a worker remembers from slice to slice, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 1_000_000, 64
+CACHE_WORDS, CACHE_LENGTH = 700_000, 64
 #: Characters of text handled at once.
-SLICE_CHARS = 12_000_000
+SLICE_CHARS = 8_000_000
 #: Characters that are neither letters, numbers nor white space; a run of them is one pre-token.
 _MARKS = string.punctuation
 #: A space that white space or the end follows, and one that white space precedes as well.
@@ -257,6 +257,7 @@ _ENCODERS: dict[str, PairIndex] = {}
 
 def encoder(path: str) -> PairIndex:
     """One per worker process and file."""
+    working("bpe", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = PairIndex(path)
     return _ENCODERS[path]

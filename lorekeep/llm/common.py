@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -41,6 +42,21 @@ def raw_text(text: str | None, lower: bool = True) -> bytes:
     return raw.lower() if lower else raw
 
 
+_remembered: dict[str, Callable[[], object]] = {}
+
+
+def working(operator: str, forget: Callable[[], object] | None = None) -> None:
+    """Called in a worker, which may serve one operator after another: what others remembered there is dropped.
+
+    forget: drops what this one remembers, once another one works.
+    """
+    for other in [o for o in _remembered if o != operator]:
+        _remembered.pop(other)()
+        gc.collect()
+    if forget:
+        _remembered[operator] = forget
+
+
 class WordHashes:
     """64-bit hashes of words; a worker remembers those of ``most`` words."""
 

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MISSING, WordHashes, dropped, filled, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, words, written
+from .common import MISSING, WordHashes, dropped, filled, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, words, working, written
 from .components import components, roots
 
 SHINGLE = 5
@@ -111,6 +111,7 @@ def _cells(buckets: int):
     """Rows of documents as blocks, dealt to the buckets of their shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("jaccard", _hashes.known.clear)
         at, number, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
             for i, t in zip(batch.id.tolist(), batch.text.tolist(), strict=True):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, filled, fold, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, words, written
+from .common import WordHashes, filled, fold, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, words, working, written
 
 ORDER = 4
 #: Bytes that no UTF-8 text has: before it, and after it.
@@ -78,6 +78,7 @@ _BLOCKS = "block string, ids binary, sizes binary, texts binary, gram binary, gr
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    working("ppm", _hashes.known.clear)
     at, number, held, size = TaskContext.get().partitionId(), 0, [], 0
     columns = [c.split()[0] for c in _BLOCKS.split(", ")]
     for batch in batches:

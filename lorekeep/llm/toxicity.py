@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, read
+from .common import fold, read, working
 
 #: Bounds of the labelled sample: rows (those with the smallest hashes), of which a quarter are toxic where there are enough.
 SAMPLE_ROWS = 6_000
@@ -70,6 +70,9 @@ class Bag:
         self.value, self.bias = state
         self._words = {}
 
+    def forget(self) -> None:
+        self._words = {}
+
     def word(self, word: str) -> float:
         found = self._words.get(word)
         if found is None:
@@ -175,6 +178,7 @@ def fit(bags: Iterable[tuple[str, np.ndarray]], y: np.ndarray, epochs: int = 80,
 
 
 def _bags(batches):
+    working("toxicity")
     for batch in batches:
         found = [bag_of(t) for t in batch.text]
         yield pd.DataFrame({"doc_id": batch.doc_id, "y": batch.y, "words": [w for w, _ in found], "counts": [c.tobytes() for _, c in found]})
@@ -199,6 +203,7 @@ def score(docs: DataFrame, model: Bag, name: str = "toxic_score") -> DataFrame:
     @F.pandas_udf(T.DoubleType())
     def scored(text: pd.Series) -> pd.Series:
         model = shared.value
+        working("toxicity", model.forget)
         return pd.Series([model.score(t) for t in text], dtype=float)
 
     return docs.withColumn(name, scored(F.col("text")))
