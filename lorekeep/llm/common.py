@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -19,6 +21,10 @@ from lorekeep.session import ship
 MISSING = -(1 << 63)
 
 
+#: Bytes that go to a Python worker at once; a session that sets fewer keeps its own.
+_BATCH_BYTES, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def filled(c: Column) -> Column:
     return F.coalesce(c, F.lit(MISSING))
 
@@ -29,6 +35,8 @@ def restored(c: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > MOST_BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, MOST_BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -50,9 +58,13 @@ def working(operator: str, forget: Callable[[], object] | None = None) -> None:
 
     forget: drops what this one remembers, once another one works.
     """
-    for other in [o for o in _remembered if o != operator]:
+    others = [o for o in _remembered if o != operator]
+    for other in others:
         _remembered.pop(other)()
+    if others:
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where there is a C library that can, freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
     if forget:
         _remembered[operator] = forget
 

@@ -50,7 +50,7 @@ PERCENT = 80
 #: Cost of verifying a candidate, per shingle, in postings read.
 VERIFY = 0.1
 #: Characters of text in a block; bytes of text whose shingles a bucket takes.
-BLOCK_CHARS, BUCKET_BYTES = 8 << 20, 8 << 20
+BLOCK_CHARS, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Sets in a chunk of a family, columns of a matrix that are multiplied at once.
 CHUNK, COLUMNS = 256, 4096
 #: Odd factors of the words of a shingle.
