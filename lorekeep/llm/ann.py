@@ -9,10 +9,11 @@ far as the nearest. Chunks report their nearest to each query; the best of all a
 RATIO is fitted: the least of a row of ratios that reaches AIM recall for sample queries against
 the sample. Nearness is Euclidean, in double precision, recomputed on the original vectors.
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor
-those of another length than most of the sample; a query meets every row of another id; with fewer
-candidates than k all are returned; repeated ids are one candidate, at the least distance; an empty
-table gives no rows; other columns are left out.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part;
+vectors of each length are searched apart; a query meets every row but its own, also those that
+share its id or its vector, and every row of an id is a query and a candidate of its own; ties go to
+the smaller id; with fewer candidates than k all are returned; an empty table gives no rows; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import read, written
 from .forest import usable
@@ -114,23 +116,34 @@ def fit(sample: np.ndarray, total: int, k: int, per_list: int = LIST, seed: int
     return lists
 
 
-def _fitted(vectors: DataFrame, k: int) -> tuple[Lists | None, int]:
+def _fitted(vectors: DataFrame, k: int) -> Lists | None:
     total = vectors.count()
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    if not len(rows):
-        return None, 0
-    rows = rows.sort_values("id", kind="stable")
-    size = int(rows.v.map(len).mode()[0])
-    sample = np.array(rows.v[rows.v.map(len) == size].tolist(), np.float64)
-    return fit(sample, total, k), size
+    rows = vectors.orderBy(F.xxhash64("id"), "id", "key").limit(SAMPLE).toPandas()
+    return fit(np.array(rows.sort_values(["id", "key"], kind="stable").v.tolist(), np.float64), total, k) if len(rows) else None
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(id, v) with a key that no two rows share; rows equal in both are numbered."""
+    rows = rows.select("id", "v")
+    again = written(rows.groupBy("id").count().where("count > 1").select("id"), "again", let_go=False)
+    number = F.row_number().over(Window.partitionBy("id", "v").orderBy(F.lit(0)))
+    one = rows.join(again, "id", "left_anti").select("id", "v", F.lit(1).alias("number"))
+    return one.unionByName(rows.join(again, "id", "left_semi").select("id", "v", number.alias("number"))).select("id", "v", F.xxhash64("id", "v", "number").alias("key"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """vectors(id, v), queries(id, v), usable ones -> query_id, rank (from 1), vec_id, score."""
+    """vectors(id, v), queries(id, v), rows of vectors, all usable -> query_id, rank (from 1), vec_id, score."""
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = sorted(r[0] for r in queries.select(F.size("v")).distinct().collect())  # mostly one
+    keyed, asking = _keyed(vectors), _keyed(queries)
+    for n in lengths:
+        found = found.unionByName(_nearest(keyed.where(F.size("v") == n), asking.where(F.size("v") == n), k))
+    return found
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
-    model, size = _fitted(vectors, k)
-    if model is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    model = _fitted(vectors, k)
     held = spark.sparkContext.broadcast(model)  # MOST_LISTS centroids and their graph
 
     def placed(batches):
@@ -141,10 +154,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             near = np.argsort(to, axis=1, kind="stable")[:, :COPIES]
             far = np.take_along_axis(to, near, 1)
             row, rank = np.nonzero(far <= far[:, :1] * BOUNDARY)
-            yield pd.DataFrame({"list": near[row, rank], "own": rank == 0, "id": batch.id.to_numpy()[row], "v": batch.v.to_numpy()[row]})
+            yield pd.DataFrame({"list": near[row, rank], "own": rank == 0, "id": batch.id.to_numpy()[row], "key": batch.key.to_numpy()[row], "v": batch.v.to_numpy()[row]})
 
-    vectors, queries = vectors.where(F.size("v") == size), queries.where(F.size("v") == size)
-    postings = written(vectors.mapInPandas(placed, "list int, own boolean, id long, v array<float>"), "postings")
+    postings = written(vectors.select("id", "key", "v").mapInPandas(placed, "list int, own boolean, id long, key long, v array<float>"), "postings")
     sizes = {r["list"]: (r["n"], r["own"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("own").alias("own")).collect()}  # MOST_LISTS rows
     sizes = spark.sparkContext.broadcast(sizes)
 
@@ -160,38 +172,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         break
                 rows += [(j, i) for j in lists if j in sizes.value]
             at = [i for _, i in rows]
-            yield pd.DataFrame({"list": [j for j, _ in rows], "id": batch.id.to_numpy()[at] if at else [], "v": batch.v.to_numpy()[at] if at else []})
+            yield pd.DataFrame({"list": [j for j, _ in rows], **{c: batch[c].to_numpy()[at] if at else [] for c in ("id", "key", "v")}})
 
-    asked = written(queries.mapInPandas(routed, "list int, id long, v array<float>"), "asked")
+    asked = written(queries.select("id", "key", "v").mapInPandas(routed, "list int, id long, key long, v array<float>"), "asked")
     asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MOST_LISTS rows
     # lists by chunks, queries of a list by parts: each chunk meets each part
     cuts = spark.createDataFrame([(j, -(-n // CHUNK), -(-asks[j] // QUERIES)) for j, (n, _) in sizes.value.items() if j in asks] or [(-1, 1, 1)], "list int, chunks int, parts int")
     cuts = F.broadcast(cuts)
-    salt = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    salt = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = postings.join(cuts, "list").select("list", salt("chunks").alias("chunk"), every("parts").alias("part"), "id", "v")
-    right = asked.join(cuts, "list").select("list", every("chunks").alias("chunk"), salt("parts").alias("part"), "id", "v")
+    left = postings.join(cuts, "list").select("list", salt("chunks").alias("chunk"), every("parts").alias("part"), "id", "key", "v")
+    right = asked.join(cuts, "list").select("list", every("chunks").alias("chunk"), salt("parts").alias("part"), "id", "key", "v")
 
     def best(posting: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(posting) and len(query):
-            posting = posting.sort_values("id", kind="stable")
+            posting = posting.sort_values(["id", "key"], kind="stable")
             x, q = np.array(posting.v.tolist(), np.float64), np.array(query.v.tolist(), np.float64)
-            ids = posting.id.to_numpy()
+            ids, keys = posting.id.to_numpy(), posting.key.to_numpy()
             rough = distances(q, x)
-            for i, query_id in enumerate(query.id.tolist()):
-                at = np.flatnonzero(ids != query_id)
+            for i, (query_id, query_key) in enumerate(zip(query.id.tolist(), query.key.tolist(), strict=True)):
+                at = np.flatnonzero(keys != query_key)
                 if len(at) > k:
                     d = rough[i, at]
                     at = at[d <= np.partition(d, k - 1)[k - 1] + 1e-6]
                 score = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
                 for j in np.lexsort((ids[at], score))[:k]:
-                    out.append((query_id, int(ids[at[j]]), float(score[j])))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out.append((query_key, query_id, int(keys[at[j]]), int(ids[at[j]]), float(score[j])))
+        return pd.DataFrame(out, columns=["query_key", "query_id", "vec_key", "vec_id", "score"])
 
-    found = left.groupBy("list", "chunk", "part").cogroup(right.groupBy("list", "chunk", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
+    by = ("list", "chunk", "part")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, "query_key long, query_id long, vec_key long, vec_id long, score double")
     # a query has k rows of each chunk that it meets; the same vector may be on several lists
-    best_of = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(
+    best_of = found.groupBy("query_key", "query_id", "vec_key", "vec_id").agg(F.min("score").alias("score")).groupBy("query_key", "query_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best")
     )
     return best_of.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", "b.score")

@@ -5,9 +5,12 @@ and the next event of its entry it is active: a validity interval [from, to). Ea
 the keys it can match (its host, every parent domain, host and first path segment); an as-of join
 finds the entries of those keys that were active when it was fetched.
 
-Plan: intervals are cut at the edges of time buckets, so that the join is an equality of (key,
-bucket, salt) with a range check inside, and its work stays in proportion to both sides however
-long a key's history is. Captures carry a salt of their id and intervals are copied to every salt:
+Plan: intervals are clipped to the time that captures span and cut at the edges of time blocks, the
+widest that fit: buckets of BUCKET_SECONDS, of FAN times that, and so on, so that even one of an
+hour and one of a thousand years are a few blocks per level. A capture asks for its block of each
+level. So the join is an equality of (key, level, block, salt) with a range check inside, and its
+work stays in proportion to both sides however long a key's history is or however far one capture
+lies from the others. Captures carry a salt of their id and intervals are copied to every salt:
 a domain with a third of all captures is dealt over SALTS tasks. What the join finds is reduced by
 capture with partial aggregation. Spark broadcasts the intervals only where it has measured them to
 be under its threshold.
@@ -15,7 +18,9 @@ be under its threshold.
 Defined results: a capture without a url, host or time matches nothing (allowed, no lists); events
 without list, key, action or time are ignored; repeated events count once; at equal times a removal
 wins over an addition; empty lists allow everything; repeated captures (same id) are reported as
-one row with what any of them matches.
+one row with what any of them matches, those without an id as a row each; user names and passwords
+before a host are no part of it, and an IPv6 address in brackets is a host; urls of any length are
+read whole; other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ from .common import read
 SALTS = 16
 #: Width of a time bucket.
 BUCKET_SECONDS = 30 * 86_400
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
+#: Buckets of one level that make one of the next.
+FAN = 8
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
 
@@ -62,42 +69,66 @@ def intervals(events: DataFrame) -> DataFrame:
     )
 
 
+def blocks(low: Column, high: Column, top: int) -> Column:
+    """The buckets low to high - 1 as the fewest aligned blocks of FAN^level buckets, up to level ``top``: (level, block)."""
+    none = F.array().cast("array<bigint>")
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    inner = lambda k: (F.ceil(low / F.lit(FAN**k)).cast("long"), F.floor(high / F.lit(FAN**k)).cast("long"))
+    of_level = lambda k: lambda x: F.struct(F.lit(k).alias("level"), x.alias("block"))
+    found = []
+    for k in range(top + 1):
+        a, b = inner(k)
+        whole = run(a, b)
+        if k < top:
+            c, d = inner(k + 1)
+            whole = F.when(c < d, F.concat(run(a, c * FAN), run(d * FAN, b))).otherwise(whole)
+        found.append(F.transform(whole, of_level(k)))
+    return F.concat(*found)
+
+
 def temporal_list_join(captures: DataFrame, events: DataFrame, salts: int = SALTS, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """captures(id, url, at) with epoch seconds -> id, blocked, n_lists, n_matches, lists."""
     bucket = lambda c: F.floor(c / F.lit(bucket_seconds)).cast("long")
-    ends = captures.agg(F.max("at").alias("last"), F.min("at").alias("first"))  # one row
+    first, last = captures.agg(F.min("at"), F.max("at")).first()  # one row
+    if first is None:
+        first = last = 0
+    top = 0
+    while FAN ** (top + 1) <= (last - first) // bucket_seconds + 1:
+        top += 1
     active = (
-        intervals(events).crossJoin(F.broadcast(ends))
-        .withColumn("until", F.least(F.coalesce(F.col("valid_to") - 1, F.col("last")), F.col("last")))
-        .withColumn("since", F.greatest("valid_from", "first"))
+        intervals(events)
+        .withColumn("until", F.least(F.coalesce(F.col("valid_to") - 1, F.lit(last)), F.lit(last)))
+        .withColumn("since", F.greatest("valid_from", F.lit(first)))
         .where(F.col("since") <= F.col("until"))
-        .withColumn("bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.col("until")))))
+        .withColumn("b", F.explode(blocks(bucket(F.col("since")), bucket(F.col("until")) + 1, top)))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .select("list", "key", "valid_from", "valid_to", "bucket", "salt")
+        .select("list", "key", "valid_from", "valid_to", "b.level", "b.block", "salt")
     )
+    row = F.when(F.col("id").isNull(), F.monotonically_increasing_id())  # captures without an id are told apart
     offered = (
-        captures.select("id", "at", F.explode_outer(keys(F.col("url"))).alias("key"))
-        .withColumn("bucket", bucket(F.col("at")))
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        captures.select("id", "at", "url", row.alias("row"))
+        .select("id", "row", "at", F.explode_outer(keys(F.col("url"))).alias("key"), F.pmod(F.xxhash64("id", "row"), F.lit(salts)).cast("int").alias("salt"))
+        .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+        .withColumn("block", F.floor(bucket(F.col("at")) / F.pow(F.lit(FAN), F.col("level"))).cast("long"))
     )
     at = offered["at"]
     hit = (
-        (offered["key"] == active["key"]) & (offered["bucket"] == active["bucket"]) & (offered["salt"] == active["salt"])
+        (offered["key"] == active["key"]) & (offered["level"] == active["level"]) & (offered["block"] == active["block"]) & (offered["salt"] == active["salt"])
         & (at >= active["valid_from"]) & (active["valid_to"].isNull() | (at < active["valid_to"]))
     )
     return (
-        offered.join(active, hit, "left").groupBy(offered["id"])
+        offered.join(active, hit, "left").groupBy(offered["id"], offered["row"])
         .agg(F.count("list").alias("n_matches"), F.collect_set("list").alias("lists"))
         .select("id", (F.col("n_matches") > 0).alias("blocked"), F.size("lists").cast("long").alias("n_lists"), "n_matches", F.array_join(F.array_sort("lists"), ",").alias("lists"))
     )
 
 
-#: The query's timeline: captures are fetched STEP_SECONDS apart, in the order of their ids.
-START, STEP_SECONDS = 1_704_067_200, 600
+#: The query's timeline: captures are fetched STEP_SECONDS apart, in the order of their ids modulo SPAN.
+START, STEP_SECONDS, SPAN = 1_704_067_200, 600, 100_000_000
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").alias("id"), "url", (F.lit(START) + F.col("page_id") * STEP_SECONDS).alias("at"))
+    return pages.select(F.col("page_id").alias("id"), "url", (F.lit(START) + F.pmod("page_id", F.lit(SPAN)) * STEP_SECONDS).alias("at"))
 
 
 def page_events(pages: DataFrame) -> DataFrame:
@@ -126,16 +157,16 @@ def op7_url_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "blocked", "n_lists", "n_matches", "lists")
 
 
-OP7_SQL = """
+OP7_SQL = r"""
 WITH captures AS (
-  SELECT page_id, 1704067200 + page_id * 600 AS ts, lower(url) AS url,
-         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '') AS host,
+  SELECT page_id, 1704067200 + (page_id % 100000000 + 100000000) % 100000000 * 600 AS ts, lower(url) AS url,
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)', 1)), '') AS host,
          nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1)), '') AS segment
   FROM pages),
 hosts AS (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL),
 named AS (
   SELECT 'own' AS kind, host AS key FROM hosts
-  UNION ALL SELECT DISTINCT 'parent', regexp_extract(host, '([^.]+\\.[^.]+)$', 1) FROM hosts WHERE regexp_matches(host, '[^.]+\\.[^.]+$')
+  UNION ALL SELECT DISTINCT 'parent', regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM hosts WHERE regexp_matches(host, '[^.]+\.[^.]+$')
   UNION ALL SELECT 'path', host || '/de' FROM hosts),
 digits AS (
   SELECT kind, key, list_transform([1, 3, 5, 9, 11], lambda i: ('0x' || substr(md5(key), i, 2))::BIGINT) AS d FROM named),

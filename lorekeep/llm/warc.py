@@ -11,8 +11,10 @@ merges its slices of the runs with a loser tree. Ranges follow one another, so t
 
 Defined results: a null html is an empty payload; a null url has no target URI and the empty key;
 line breaks in urls are escaped; a null page_id is a record without a number; repeated page_ids are
-records each, those equal in payload to the first response of their id are responses too; an empty
-table gives no rows; other columns are left out.
+records each, those equal in payload to the first response of their id are responses too; payloads
+of any length are written whole, long ones fewer to an archive; captures of equal key and time are
+ordered by id, those without one first; a null time is left out; an empty table gives no rows; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -32,16 +34,16 @@ from .common import MISSING, filled, read, shared_dir, written
 
 #: Smaller payloads are always written in full.
 LEAST_BYTES = 100
-#: Records in an archive at most.
-ARCHIVE_RECORDS = 4_096
+#: Records in an archive at most, of pages of up to PAGE_BYTES; of pages up to 4, 16, ... times as long a 4th, a 16th, ...
+ARCHIVE_RECORDS, PAGE_BYTES = 4_096, 1 << 16
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Capture times of pages, which have none: STEP_SECONDS apart in the order of their ids.
-START, STEP_SECONDS = 1_704_067_200, 600
+#: Capture times of pages, which have none: STEP_SECONDS apart in the order of their ids modulo SPAN.
+START, STEP_SECONDS, SPAN = 1_704_067_200, 600, 100_000_000
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html, at) -> record, the text of a WARC record without the closing line breaks."""
+    """pages(page_id, url, html, at) -> record, the text of a WARC record without the closing line breaks, and the payload's bytes."""
     pages = pages.select("page_id", "url", "at", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha2("html", 256))
     shared = written(
@@ -69,12 +71,19 @@ def records(pages: DataFrame) -> DataFrame:
             line("Content-Length", F.when(again, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
             F.lit("\r\n"),
             F.when(again, F.lit("")).otherwise(F.col("html")),
-        ).alias("record")
+        ).alias("record"),
+        "bytes",
     )
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    """Archives of at most ARCHIVE_RECORDS * PAGE_BYTES bytes, or of one page."""
+    size = lambda c: F.greatest(F.lit(0), F.ceil(F.log(c / F.lit(PAGE_BYTES)) / F.log(F.lit(4.0)))).cast("int")
+    longest = pages.agg(F.max(F.octet_length("html")).alias("bytes")).select(size(F.greatest("bytes", F.lit(1)))).first()[0] or 0
+    found = records(pages)
+    for k in range(longest + 1):  # mostly one: a size is four times the one before
+        kind = found.where(size(F.greatest("bytes", F.lit(1))) == k) if longest else found
+        kind.select("record").write.mode("append").option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_RECORDS >> (2 * k))).text(path)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -114,6 +123,12 @@ _CAPTURE = "run string, url_key string, captured string, page_id long, payload_b
 _COLUMNS = [c.split()[0] for c in _CAPTURE.split(", ")]
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    columns = dict(zip(_COLUMNS, zip(*rows, strict=True), strict=True))
+    whole = ("page_id", "refers_to")  # integers of any size beside missing ones
+    return pd.DataFrame({c: pd.array(x, dtype="Int64") if c in whole else list(x) for c, x in columns.items()})
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch.path, batch.content, strict=True):
@@ -127,7 +142,8 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         raise ValueError(f"{path}: the digest of {fields['warc-record-id']} does not agree")
                 rows.append((path, url_key(fields.get("warc-target-uri", "")) if "warc-target-uri" in fields else "", fields.get("warc-date", ""), _page(fields["warc-record-id"]), size, said, fields["warc-type"], _page(fields.get("warc-refers-to"))))
             rows.sort(key=_order)
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype({"page_id": "Int64", "refers_to": "Int64"})
+            if rows:
+                yield _frame(rows)
 
 
 def _order(row: tuple) -> tuple:
@@ -197,10 +213,10 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for row in LoserTree([iter(runs[name]) for name in sorted(runs)], _order):
         out.append(row)
         if len(out) == 10_000:
-            yield pd.DataFrame(out, columns=_COLUMNS).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _frame(out)
             out = []
     if out:
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"page_id": "Int64", "refers_to": "Int64"})
+        yield _frame(out)
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
@@ -212,7 +228,7 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_warc_external_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").withColumn("at", F.lit(START) + F.col("page_id") * STEP_SECONDS)
+    pages = read(spark, sf_dir, "pages").withColumn("at", F.lit(START) + F.pmod("page_id", F.lit(SPAN)) * STEP_SECONDS)
     path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_archives(pages, path)
     return capture_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
@@ -232,6 +248,6 @@ SELECT d.page_id, d.payload_bytes::BIGINT AS payload_bytes, d.payload_digest,
        array_to_string(list_reverse(string_split(regexp_replace(k.host, '^www[.]', ''), '.')), ',') || ')'
          || coalesce(nullif(regexp_extract(k.url, '^[^:]+://[^/?#]+(/[^?#]*)', 1), ''), '/')
          || regexp_extract(k.url, '^[^?#]*([?][^#]+)', 1) AS url_key,
-       strftime(to_timestamp(1704067200 + d.page_id * 600) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured
+       strftime(to_timestamp(1704067200 + (d.page_id % 100000000 + 100000000) % 100000000 * 600) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured
 FROM d JOIN k ON d.page_id = k.page_id LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
 """

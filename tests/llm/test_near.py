@@ -234,3 +234,42 @@ def test_lists_in_chunks(spark, monkeypatch):
     x = np.array([v for _, v in rows], np.float32).astype(float)
     want = {q: set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:6].tolist()) for q in range(0, 300, 10)}
     assert sum(r["vec_id"] in want[r["query_id"]] for r in found) / 150 >= 0.9
+
+
+def test_repeated_ids_and_lengths(spark):
+    """Every row but the query's own is a candidate, also of the same id or vector; lengths are searched apart."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.0, 1.0]), (1, [0.5, 0.5])] + [(100, rng.normal(size=3).tolist()), (101, rng.normal(size=3).tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    found = ann.nearest(df, df.where("id % 100 = 0"), 10).collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 5)) for r in found)
+    want = []
+    for k, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            others = sorted((round(float(np.linalg.norm(np.float32(v).astype(float) - np.float32(w).astype(float))), 5), i) for n, (i, w) in enumerate(rows) if n != k and len(w) == len(v))
+            want += [(q, rank, i, d) for rank, (d, i) in enumerate(others, 1)]
+    assert got == sorted(want)
+
+
+def test_op3_and_op4(spark):
+    """The queries against brute force on the small table."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], np.array(r["embedding"], float), r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    x = np.array([v for _, v, _ in rows])
+    ids = np.array([i for i, _, _ in rows])
+    near = {}
+    for r in ann.op4_ann_balanced_postings(spark, sf).collect():
+        near.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hit = 0
+    for k, i in enumerate(ids):
+        if i % 100 == 0:
+            d = np.sqrt(((x - x[k]) ** 2).sum(1))
+            d[k] = np.inf
+            hit += len({v for _, v in near[i]} & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit / (10 * len(near)) >= 0.9 and set(near) == {i for i in ids.tolist() if i % 100 == 0}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([-1 if c is None else c for _, _, c in rows])
+    close = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :]) & (label >= 0)
+    np.fill_diagonal(close, False)
+    of = classes(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(close))])
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in forest.op3_rp_forest_near_dup(spark, sf).collect()} == {i: (int(n), of[i], of[i] == i) for i, n in zip(ids.tolist(), close.sum(1))}

@@ -105,3 +105,54 @@ def test_dates(spark):
     df = spark.createDataFrame([(1, "http://a.com", "x", 0)], "page_id long, url string, html string, at long")
     text = warc.records(df).first()["record"]
     assert f"WARC-Date: {datetime.datetime(1970, 1, 1).isoformat()}Z" in text
+
+
+def test_large_and_missing_ids(spark, tmp_path):
+    """Ids of any size, negative or null, through the queries of pages."""
+    ids = [0, 1, -5, 10**12, 1 << 60, (1 << 63) - 1, None, None]
+    pages = [(i, u, "x" * 200) for i, u in zip(ids, ["http://a.com/p", "http://me:pw@B.org:80/q", "http://[::1]:80/x", "http://c.net", None, "http://u@v@d.org/", "http://a.com/", "http://b.org/"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = warc.op1_warc_external_merge(spark, str(tmp_path)).collect()
+    assert sorted(map(str, (r["page_id"] for r in rows))) == sorted(map(str, ids))
+    assert all((r["record_type"] == "revisit") == (r["page_id"] not in (-5, None)) and (r["refers_to"] == -5) == (r["record_type"] == "revisit") for r in rows)
+    found = url_filter.op7_url_temporal_list_join(spark, str(tmp_path)).collect()
+    assert sorted(map(str, (r["page_id"] for r in found))) == sorted(map(str, ids))
+    assert all(not r["blocked"] for r in found if r["page_id"] is None)
+    hosts = {r[0]: r[1] for r in spark.createDataFrame(pages, "page_id long, url string, html string").where("page_id is not null").select("page_id", url_filter.host(F.col("url"))).collect()}
+    assert hosts == {0: "a.com", 1: "b.org", -5: "[::1]", 10**12: "c.net", 1 << 60: None, (1 << 63) - 1: "d.org"}
+
+
+def test_queries_against_their_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    for query, sql in ((warc.op1_warc_external_merge, warc.OP1_SQL), (url_filter.op7_url_temporal_list_join, url_filter.OP7_SQL)):
+        found = query(spark, sf)
+        names = sorted(found.columns)
+        want = con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found.select(*names).collect())
+
+
+def test_one_capture_far_away(spark):
+    """One capture centuries later; entries without an end stay a few blocks."""
+    captures = [(i, "http://a.com/", 100 + i) for i in range(50)] + [(99, "http://a.com/", 10**11), (98, "http://b.com/", -(10**10))]
+    events = [("bad", "a.com", "add", 120), ("odd", "a.com", "add", 130), ("odd", "a.com", "remove", 10**10), ("old", "b.com", "add", -(10**11))]
+    c, e = spark.createDataFrame(captures, "id long, url string, at long"), spark.createDataFrame(events, "list string, key string, action string, at long")
+    found = {r["id"]: r["lists"] for r in url_filter.temporal_list_join(c, e, bucket_seconds=7).collect()}
+    assert found == {i: {"a.com": ",".join(n for n, a, b in (("bad", 120, 10**12), ("odd", 130, 10**10)) if a <= at < b), "b.com": "old"}[u[7:-1]] for i, u, at in captures}
+    pieces = spark.sql("select 1").select(F.size(url_filter.blocks(F.lit(-(10**9)), F.lit(10**9), 10))).first()[0]
+    assert pieces < 2 * 8 * 11
+
+
+def test_archives_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PAGE_BYTES", 100)
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 64)
+    pages = [(i, "http://a.com/", chr(97 + i % 26) * (10 if i % 3 else 1500) + str(i)) for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("at", F.lit(0)).coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    rows = warc.capture_index(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in rows) == [(i, len(h)) for i, _, h in pages]
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 17 + 3  # four long pages in each archive, or 64 short ones
