@@ -16,7 +16,8 @@ def roots(close: np.ndarray) -> np.ndarray:
     n = len(close)
     root = np.arange(n)
     while True:
-        told = np.minimum(root, np.where(close, root[None, :], n).min(1, initial=n))
+        heard = [np.where(close[i : i + 512], root[None, :], n).min(1, initial=n) for i in range(0, n, 512)]
+        told = np.minimum(root, np.concatenate(heard or [root]))
         told = told[told]
         if (told == root).all():
             return root

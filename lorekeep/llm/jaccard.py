@@ -240,7 +240,7 @@ def _in_common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compare(key, part: pd.DataFrame) -> pd.DataFrame:
+def _compare(key, part):
     """Two chunks: the sets of different classes that share enough of their prefixes are verified; each linked set with its part's least."""
     part = part.sort_values("id", kind="stable")
     ids, n, least, own_class = (part[c].to_numpy() for c in ("id", "n", "l", "class"))

@@ -180,10 +180,11 @@ def vectors():
     return rows + [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [None, *same[1:]], 0), (n + 3, [float("nan"), *same[1:]], 0), (n + 4, [float("inf"), *same[1:]], 0), (n + 5, same, None), (n + 6, same[:5], 0), (n + 7, [], 0)]
 
 
-def test_forest(spark):
+@pytest.mark.parametrize("group", [8_192, 60])  # the second splits as tables and compares dense nodes in chunks
+def test_forest(spark, group):
     rows = vectors()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, keys string, n int")
-    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in forest.near_embeddings(df, leaf=40).collect()}
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in forest.near_embeddings(df, leaf=40, group=group).collect()}
     good = [r for r in rows if r[1] and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1]) and r[2] is not None]
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in good}
     links = [(a[0], b[0]) for k, a in enumerate(good) for b in good[:k] if a[2] == b[2] and unit[a[0]] @ unit[b[0]] >= 0.93]
