@@ -1,4 +1,4 @@
-"""Text functions on columns; all stay in the JVM but for the byte-boundary cut."""
+"""Text functions on columns; all stay in the JVM."""
 
 from __future__ import annotations
 
@@ -56,11 +56,6 @@ def tail_overlap(last: Column, before: Column, most: int) -> Column:
     return F.array_max(shared)
 
 
-def merge_tail(before: Column, last: Column, most: int) -> Column:
-    """``last`` put to ``before`` without the words that they share."""
-    return F.concat(before, F.slice(last, tail_overlap(last, before, most) + 1, F.size(last)))
-
-
 def search_terms(c: Column) -> Column:
     """Runs of letters and digits in lower case, those of over 40 bytes left out."""
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.octet_length(t) <= 40)
@@ -105,12 +100,10 @@ def iso_time(seconds: Column) -> Column:
 
 def truncate_bytes(c: Column, size: int = 4096) -> Column:
     """At most ``size`` bytes of UTF-8, cut between characters."""
-
-    @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: t if t is None else t.encode()[:size].decode(errors="ignore"))
-
-    return F.when(F.octet_length(c) <= size, c).otherwise(run(c))
+    raw = F.encode(c, "UTF-8")
+    begins = lambda n: ~F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")  # noqa: E731  a character begins after n bytes
+    cut = F.coalesce(*[F.when(begins(n), F.substring(raw, 1, n)) for n in range(size, max(size - 4, 0), -1)], F.lit(b""))
+    return F.when(F.octet_length(c) <= size, c).otherwise(F.decode(cut, "UTF-8"))
 
 
 def missing_warning(ids: Column) -> Column:

@@ -8,13 +8,15 @@ below min joins the one before, without the words that both have.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import chunk_id
+from lorekeep.functions.text import chunk_id, strip_frontmatter, words
 from lorekeep.schema import Chunking
 
 _FENCE = "```"
@@ -63,57 +65,71 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in out if s]
 
 
-def _windows(words: list[str], size: int, overlap: int) -> list[list[str]]:
-    step = max(size - overlap, 1)
-    last = max(len(words) - size, 0)
-    starts = range(0, last + step, step)
-    return [words[i : i + size] for i in starts if i == 0 or i - step + size < len(words)]
+def plan(counts: list[int], size: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """Chunks over sentences of so many words: (first sentence, end, words carried from the chunk before, 0), and for
+    windows of a long sentence (sentence, sentence, first word, end).
+
+    With the words before each sentence known, a chunk's end is found by bisection: it takes all sentences that fit
+    with what is carried, and one at least.
+    """
+    before = [0, *accumulate(counts)]
+    chunks: list[tuple[int, int, int, int]] = []
+    at, carried = 0, 0
+    while at < len(counts):
+        if counts[at] > size:
+            step = max(size - overlap, 1)
+            starts = range(0, max(counts[at] - size, 0) + step, step)
+            chunks += [(at, at, i, i + size) for i in starts if i == 0 or i - step + size < counts[at]]
+            at, carried = at + 1, 0
+            continue
+        end = max(bisect_right(before, before[at] + size - carried) - 1, at + 1)
+        end = next((k for k in range(at + 1, end) if counts[k] > size), end)
+        chunks.append((at, end, carried, 0))
+        carried = min(overlap, carried + before[end] - before[at])
+        at = end
+    return chunks
+
+
+def shared_words(before: list[str], after: list[str], most: int) -> int:
+    """How many words the end of one and the start of the other share, at most ``most``."""
+    return next((n for n in range(min(len(before), len(after), most), 0, -1) if before[-n:] == after[:n]), 0)
 
 
 def split_text(text: str, rule: Chunking = Chunking()) -> list[str]:  # noqa: B008
-    size, overlap, least = rule.max_tokens, rule.overlap_tokens, rule.min_tokens
     every = text.split()
-    if len(every) <= size:
+    if len(every) <= rule.max_tokens:
         return [" ".join(every)] if every else []
+    sentences = split_sentences(text)
+    of_sentence = [s.split() for s in sentences]
     chunks: list[str] = []
-    held, count = "", 0
-    for sentence in split_sentences(text):
-        words = sentence.split()
-        if len(words) > size:
-            if held:
-                chunks.append(held.strip())
-            chunks += map(" ".join, _windows(words, size, overlap))
-            held, count = "", 0
-            continue
-        if count and count + len(words) > size:
-            chunks.append(held.strip())
-            carried = held.split()[-overlap:] if overlap else []
-            held, count = " ".join(carried), len(carried)
-        held = f"{held} {sentence}" if held else sentence
-        count += len(words)
-    if held.strip():
-        chunks.append(held.strip())
-    if len(chunks) > 1 and len(chunks[-1].split()) < least:
-        last, before = chunks.pop().split(), chunks[-1].split()
-        most = min(len(last), len(before), overlap)
-        shared = next((n for n in range(most, 0, -1) if before[-n:] == last[:n]), 0)
-        if last[shared:]:
-            chunks[-1] = f"{chunks[-1]} {' '.join(last[shared:])}"
+    for first, end, low, high in plan([len(ws) for ws in of_sentence], rule.max_tokens, rule.overlap_tokens):
+        if first == end:
+            chunks.append(" ".join(of_sentence[first][low:high]))
+        else:
+            carried = chunks[-1].split()[-low:] if low else []
+            chunks.append(" ".join([*carried, *sentences[first:end]]).strip())
+    if len(chunks) > 1 and len(tail := chunks[-1].split()) < rule.min_tokens:
+        chunks.pop()
+        own = tail[shared_words(chunks[-1].split(), tail, rule.overlap_tokens) :]
+        chunks[-1] = " ".join([chunks[-1], *own])
     return chunks
 
 
 def split_column(text: Column, rule: Chunking = Chunking()) -> Column:  # noqa: B008
+    """Chunks of a text; only texts of more than one are sent to Python."""
+
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t or "", rule))
+        return texts.map(lambda t: None if t is None else split_text(t, rule))
 
-    return run(text)
+    found = words(text)
+    short = F.size(found) <= rule.max_tokens
+    one = F.when(F.size(found) > 0, F.array(F.array_join(found, " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(short, one).otherwise(run(F.when(~short, text)))
 
 
 def chunk_entries(entries: DataFrame, rule: Chunking = Chunking()) -> DataFrame:  # noqa: B008
     """entries -> chunk_id, entry_id, chunk_index, kind, tags, text; an empty body is one empty chunk."""
-    from lorekeep.functions.text import strip_frontmatter
-
     body = strip_frontmatter(F.coalesce("body", F.lit("")))
     parts = F.coalesce(F.nullif(split_column(body, rule), F.array().cast("array<string>")), F.array(F.lit("")))
     return entries.select("id", "kind", "tags", F.posexplode(parts).alias("chunk_index", "text")).select(

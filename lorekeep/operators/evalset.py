@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lorekeep.functions.text import normalize_for_match, query_id, trimmed
 
 #: Shorter contexts are not matched; a fixed value.
 MIN_MATCH_CHARS = 40
+#: Queries of each type, and the kinds they aim at; fixed values.
 QUERY_TYPES = {"lookup": 6, "multi-hop": 6, "reasoning": 4, "cross-kind": 4}
 TARGET_KINDS = ("learning", "reference", "decision", "instruction", "mixed")
 _ANCHOR_WORDS = 5
@@ -83,29 +86,55 @@ def snapshot_hash(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(lines, 256).alias("snapshot_hash"))
 
 
-def canary_errors(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """error: what is wrong with a canary set (id, query, expected_entry_ids, query_type, target_kind, notes)."""
-    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("error")
-    total = queries.agg(F.count("*").alias("n")).where(F.col("n") != sum(QUERY_TYPES.values())).select(said("expected 20 queries, got ", F.col("n").cast("string")))
-    twice = queries.groupBy("id").count().where("count > 1").select(said("duplicate query id: ", F.col("id")))
-    same = queries.groupBy(F.lower(F.trim("query")).alias("q")).agg(F.count("*").alias("n"), F.max("id").alias("id")).where("n > 1").select(said(F.col("id"), ": duplicate query string"))
-    types = queries.where(~F.col("query_type").isin(*QUERY_TYPES)).select(said(F.col("id"), ": invalid query_type ", F.col("query_type")))
-    kinds = queries.where(~F.col("target_kind").isin(*TARGET_KINDS)).select(said(F.col("id"), ": invalid target_kind ", F.col("target_kind")))
-    named = queries.select("id", "query_type", "target_kind", F.explode("expected_entry_ids").alias("entry")).join(
-        entries.select(F.col("id").alias("entry"), F.col("kind").alias("entry_kind")), "entry", "left"
-    )
-    gone = named.where("entry_kind is null").select(said(F.col("id"), ": no entry ", F.col("entry")))
-    cross = named.where("query_type = 'cross-kind'").groupBy("id").agg(F.count_distinct("entry_kind").alias("k")).where("k < 2").select(said(F.col("id"), ": cross-kind requires two kinds"))
-    mixed = queries.where("query_type = 'cross-kind' and target_kind <> 'mixed'").select(said(F.col("id"), ": cross-kind must have target_kind=mixed"))
+#: Of a set's header: the form of each value; fixed.
+HEADER = {
+    "schema_version": lambda v: v == 1,
+    "created_at": lambda v: bool(re.fullmatch(r"\d{4}-\d\d-\d\d", str(v))),
+    "corpus_snapshot_hash": lambda v: bool(re.fullmatch(r"sha256:[0-9a-f]{64}", str(v))),
+    "corpus_entry_count": lambda v: isinstance(v, int) and v > 0,
+}
+#: Queries that each target kind needs; a fixed value.
+LEAST_PER_KIND = 2
+
+#: Rules on a query joined with what is known of its entries: where one holds, its code is reported.
+_RULES = {
+    "incomplete": lambda: F.exists(F.array(*[F.col(c).isNull() for c in ("id", "query", "query_type", "target_kind", "notes")]), lambda x: x),
+    "id-repeated": lambda: F.col("same_id") > 1,
+    "query-repeated": lambda: F.col("same_query") > 1,
+    "query-type-unknown": lambda: ~F.col("query_type").isin(*QUERY_TYPES),
+    "target-kind-unknown": lambda: ~F.col("target_kind").isin(*TARGET_KINDS),
+    "nothing-expected": lambda: F.coalesce(F.size("expected_entry_ids"), F.lit(0)) <= 0,
+    "expected-repeated": lambda: F.size("expected_entry_ids") > F.size(F.array_distinct("expected_entry_ids")),
+    "entry-missing": lambda: F.size("expected_entry_ids") > F.coalesce("n_found", F.lit(0)),
+    "one-hop": lambda: (F.col("query_type") == "multi-hop") & (F.size("expected_entry_ids") < 2),
+    "one-kind": lambda: (F.col("query_type") == "cross-kind") & (F.coalesce("n_kinds", F.lit(0)) < 2),
+    "kind-not-mixed": lambda: (F.col("query_type") == "cross-kind") & (F.col("target_kind") != "mixed"),
+}
+
+
+def canary_errors(queries: DataFrame, entries: DataFrame, header: dict | None = None) -> DataFrame:
+    """rule, subject: what is wrong with a canary set (id, query, expected_entry_ids, query_type, target_kind, notes) and its header.
+
+    The subject is a query's id, a stratum or a header key. Rules that a null keeps from being decided report nothing.
+    """
     spark = queries.sparkSession
-    strata = spark.createDataFrame(list(QUERY_TYPES.items()), "query_type string, want long").join(queries.groupBy("query_type").agg(F.count("*").alias("got")), "query_type", "left")
-    strata = strata.where(F.coalesce("got", F.lit(0)) != F.col("want")).select(said("query_type ", F.col("query_type"), ": want ", F.col("want").cast("string")))
-    floors = spark.createDataFrame([(k,) for k in TARGET_KINDS], "target_kind string").join(queries.groupBy("target_kind").agg(F.count("*").alias("got")), "target_kind", "left")
-    floors = floors.where(F.coalesce("got", F.lit(0)) < 2).select(said("target_kind ", F.col("target_kind"), ": below floor of 2"))
-    out = total
-    for more in (twice, same, types, kinds, gone, cross, mixed, strata, floors):
-        out = out.unionByName(more)
-    return out
+    numbered = queries.withColumn("row", F.monotonically_increasing_id())
+    of_id = queries.groupBy("id").agg(F.count("*").alias("same_id"))
+    of_query = queries.groupBy(F.lower(F.trim("query")).alias("said")).agg(F.count("*").alias("same_query"))
+    expected = queries.select("id", F.explode(F.array_distinct("expected_entry_ids")).alias("entry"))
+    known = expected.join(entries.select(F.col("id").alias("entry"), "kind"), "entry").groupBy("id").agg(F.count_distinct("entry").alias("n_found"), F.count_distinct("kind").alias("n_kinds"))
+    known = numbered.join(of_id, "id", "left").join(of_query, F.lower(F.trim("query")) == F.col("said"), "left").join(known, "id", "left")
+    broken = F.array_compact(F.array(*[F.when(rule(), code) for code, rule in _RULES.items()]))
+    found = known.select(F.explode(broken).alias("rule"), F.coalesce("id", F.col("row").cast("string")).alias("subject")).distinct()
+    for column, code, least in (("query_type", "stratum-size", QUERY_TYPES), ("target_kind", "kind-floor", dict.fromkeys(TARGET_KINDS, LEAST_PER_KIND))):
+        want = spark.createDataFrame(list(least.items()), f"{column} string, want long").join(queries.groupBy(column).agg(F.count("*").alias("got")), column, "left")
+        got = F.coalesce("got", F.lit(0))
+        off = got != F.col("want") if code == "stratum-size" else got < F.col("want")
+        found = found.unionByName(want.where(off).select(F.lit(code).alias("rule"), F.col(column).alias("subject")))
+    size = queries.agg(F.count("*").alias("n")).where(F.col("n") != sum(QUERY_TYPES.values()))
+    found = found.unionByName(size.select(F.lit("set-size").alias("rule"), F.col("n").cast("string").alias("subject")))
+    bad = [k for k, fits in HEADER.items() if k not in header or not fits(header[k])] if header is not None else []
+    return found.unionByName(spark.createDataFrame([("header", k) for k in bad], "rule string, subject string"))
 
 
 def parse_distribution(spec: str, allowed: tuple[str, ...]) -> dict[str, float]:

@@ -107,14 +107,8 @@ def s16_recent_traces(spark, d):
     return traces.recent_traces(_span_lines(spark, d), 500).select("line", "name", "elapsed_ms", "timestamp_ns", F.col("attributes")["user"].alias("user_name"))
 
 
-@query("SELECT CAST(doc_id // 3 AS VARCHAR) AS id, count(*) AS n FROM docs WHERE doc_id % 5 < 2 GROUP BY 1 HAVING count(*) > 1")
-def s20_duplicate_ids(spark, d):
-    ids = t.table(spark, d, "documents").where("doc_id % 5 < 2").select(F.floor(F.col("doc_id") / 3).cast("string").alias("id"))
-    return supersede.duplicate_ids(ids)
-
-
 @query("SELECT CAST(CASE WHEN doc_id % 7 < 3 THEN doc_id - doc_id % 7 ELSE doc_id END AS VARCHAR) AS id, count(*) AS n FROM docs GROUP BY 1 HAVING count(*) > 1")
-def s20_duplicate_ids_of_all(spark, d):
+def s20_duplicate_ids(spark, d):
     """Over all documents; the key makes groups of three and of one."""
     at = F.col("doc_id") % 7
     ids = t.table(spark, d, "documents").select(F.when(at < 3, F.col("doc_id") - at).otherwise(F.col("doc_id")).cast("string").alias("id"))
@@ -155,7 +149,7 @@ def f7_empty_chunks_skipped(spark, d):
     return parts.where("text <> ''").select(tx.chunk_id(F.col("id"), F.col("i")).alias("chunk_id"), "text")
 
 
-@query("SELECT 0::BIGINT AS n, 'none' AS confidence, 'No entries indexed. Ingest entries first.' AS suggestion", prelude=False)
+@query("SELECT 0::BIGINT AS n, 'none' AS confidence, 'the index is empty: run ingest' AS suggestion", prelude=False)
 def f8_cold_start(spark, d):
     none = t.fused(spark, d).where("rn > 1000")
     return retrieval.quality(none, "rrf", cold=True)
@@ -217,18 +211,9 @@ def j7_query_by_vectors(spark, d):
     return rounded(t.with_similarity(spark, d).select("chunk_id", "sim"), "sim")
 
 
-@query("""SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM vecs a, vecs b WHERE a.vec_id < 20
-QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.chunk_id) <= 5""")
-def j7_many_queries_by_vectors(spark, d):
-    """Many queries at once: matrix products per partition, partial top-k."""
-    v = t.vectors(spark, d)
-    asked = v.where(F.col("entry_id").cast("long") < 20).select(F.col("chunk_id").alias("query_id"), "embedding")
-    return rounded(top_k_per_query(v, asked, 5), "sim")
-
-
 @query("""SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM vecs a, vecs b
 QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.chunk_id) <= 5""")
-def j7_all_queries_by_vectors(spark, d):
+def j7_many_queries_by_vectors(spark, d):
     """Every vector asks, block by block; exact, so the work is the square of the vectors."""
     v = t.vectors(spark, d)
     return rounded(top_k_per_query(v, v.select(F.col("chunk_id").alias("query_id"), "embedding"), 5), "sim")
@@ -271,16 +256,8 @@ def j11_context_to_source(spark, d):
     return _matches(spark, d).select(F.col("context_id").alias("item_id"), "method", F.array_join("ids", ",").alias("ids"))
 
 
-@query("SELECT p.doc_id % 20 AS canary, p.pos::INT AS rank, x.kind FROM (SELECT doc_id, unnest([1, 2, 3]) AS pos FROM docs WHERE doc_id < 20) p LEFT JOIN docs x ON x.doc_id = p.doc_id * 100 + p.pos")
-def j12_expected_entries(spark, d):
-    docs = t.table(spark, d, "documents").select("doc_id")
-    asked = docs.where("doc_id < 20").select((F.col("doc_id") % 20).alias("canary"), F.posexplode(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: F.col("doc_id") * 100 + i)).alias("rank", "expected"))
-    known = docs.select(F.col("doc_id").alias("expected"), t.kind_of(F.col("doc_id")).alias("kind"))
-    return asked.join(known, "expected", "left").select("canary", (F.col("rank") + 1).alias("rank"), "kind")
-
-
 @query("SELECT p.doc_id AS canary, p.pos::INT AS rank, x.kind FROM (SELECT doc_id, unnest([1, 2, 3]) AS pos FROM docs) p LEFT JOIN docs x ON x.doc_id = p.doc_id * 2 + p.pos")
-def j12_expected_entries_of_all(spark, d):
+def j12_expected_entries(spark, d):
     """Every document asks for three entries; those of the later half are missing."""
     docs = t.table(spark, d, "documents").select("doc_id")
     asked = docs.select(F.col("doc_id").alias("canary"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")).withColumn("expected", F.col("canary") * 2 + F.col("rank"))
@@ -455,14 +432,8 @@ def l9_tail(spark, d):
     return traces.tail(t.table(spark, d, "events").select(F.col("event_id").alias("line"), "event_type"), 25)
 
 
-@query("SELECT kind, string_agg(id, ',' ORDER BY id) AS ids FROM docs WHERE doc_id < 100 GROUP BY kind")
-def l10_sorted_ids(spark, d):
-    e = t.chunks(spark, d).where(F.col("entry_id").cast("long") < 100)
-    return e.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("entry_id")), ",").alias("ids"))
-
-
 @query("SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS rank FROM docs")
-def l10_ranked_ids(spark, d):
+def l10_sorted_ids(spark, d):
     """All ids with their rank within the kind: ranks within ranges of leading characters, and the sizes of the ranges before."""
     e = t.chunks(spark, d).select("kind", F.col("entry_id").alias("id"), F.substring("entry_id", 1, 4).alias("range"))
     before = Window.partitionBy("kind").orderBy(F.asc_nulls_last("range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -474,17 +445,9 @@ def l10_ranked_ids(spark, d):
 
 # text
 
-@query("""SELECT id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(substr(text, 1, 200), '^\\s+|\\s+$', '', 'g') WHEN doc_id % 3 = 1 THEN '+++ id = ' || id ELSE regexp_replace(substr(text, 1, 200), '^\\s+|\\s+$', '', 'g') END AS body FROM docs""")
-def t1_strip_frontmatter(spark, d):
-    at, head = F.col("doc_id") % 3, F.substring("text", 1, 200)
-    wrapped = F.when(at == 0, head).when(at == 1, F.concat(F.lit("  +++ id = "), F.col("id"))).otherwise(F.concat(F.lit("+++\nid = 1\n+++\n\n"), head))
-    docs = t.table(spark, d, "documents").withColumn("id", F.col("doc_id").cast("string"))
-    return docs.select("id", tx.strip_frontmatter(wrapped).alias("body"))
-
-
 @query("""SELECT id, length(body)::INT AS n, sha256(body) AS body_sha FROM (SELECT id, CASE WHEN doc_id % 3 = 1 THEN '+++ id = ' || id || ' ' || body ELSE body END AS body FROM (
   SELECT doc_id, id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM docs))""")
-def t1_strip_frontmatter_of_whole_texts(spark, d):
+def t1_strip_frontmatter(spark, d):
     """Whole texts, some without a closing mark, some with front matter of over 200 characters."""
     at, text = F.col("doc_id") % 3, tx.trimmed(F.col("text"))
     wrapped = F.when(at == 0, F.col("text")).when(at == 1, F.concat(F.lit("  +++ id = "), F.col("id"), F.lit(" "), text)).otherwise(F.concat(F.lit(f"+++\nid = {'1' * 300}\n+++\n\n"), F.col("text")))
@@ -503,11 +466,16 @@ def t3_word_count(spark, d):
     return t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), tx.word_count(F.col("text")).alias("n"))
 
 
-@query("SELECT id || ':0' AS chunk_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ') AS text FROM docs WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 512")
-def t4_short_texts_one_chunk(spark, d):
-    """Of the chunker's results those of texts that are one chunk; longer ones are held against rules in the tests."""
-    short = t.entries(spark, d).where(tx.word_count(F.col("body")) <= 512)
-    return chunk_entries(short).select("chunk_id", "text")
+@query("""SELECT id, len(ws)::INT AS n, len(ws) <= 512 AS one_chunk, coalesce(ws[1], '') AS first, coalesce(ws[len(ws)], '') AS last
+FROM (SELECT id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM docs)""")
+def t4_chunk_ends(spark, d):
+    """Of every text: whether it is one chunk, the first word of its first chunk and the last word of its last."""
+    chunks = chunk_entries(t.entries(spark, d))
+    ends = chunks.groupBy("entry_id").agg(F.count("*").alias("chunks"), F.min_by("text", "chunk_index").alias("head"), F.max_by("text", "chunk_index").alias("tail"))
+    word = lambda c, at: F.coalesce(F.try_element_at(tx.words(F.col(c)), F.lit(at)), F.lit(""))
+    ends = ends.select("entry_id", (F.col("chunks") == 1).alias("one_chunk"), word("head", 1).alias("first"), word("tail", -1).alias("last"))
+    counts = t.entries(spark, d).select(F.col("id").alias("entry_id"), tx.word_count(F.col("body")).alias("n"))
+    return counts.join(ends, "entry_id").select(F.col("entry_id").alias("id"), "n", "one_chunk", "first", "last")
 
 
 @query()
@@ -522,20 +490,11 @@ def t6_word_windows(spark, d):
     return docs.select(F.col("doc_id").cast("string").alias("id"), F.posexplode(tx.word_windows(tx.words(F.col("text")), 512, 64)).alias("at", "text"))
 
 
-@query("""SELECT id, n::INT AS n FROM (SELECT id, list_max([0] || list_filter(range(1, least(len(a), len(b), 8) + 1), lambda n: a[len(a) - n + 1:] = b[1:n])) AS n FROM (
-  SELECT id, ws[1:10] AS a, CASE WHEN doc_id % 2 = 0 THEN ws[8:20] ELSE ws[12:20] END AS b FROM (SELECT doc_id, id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM docs)) WHERE len(b) > 0)""")
-def t8_tail_overlap(spark, d):
-    docs = t.table(spark, d, "documents").withColumn("ws", tx.words(F.col("text")))
-    last = F.when(F.col("doc_id") % 2 == 0, F.slice("ws", 8, 13)).otherwise(F.slice("ws", 12, 9))
-    pairs = docs.select(F.col("doc_id").cast("string").alias("id"), F.slice("ws", 1, 10).alias("a"), last.alias("b")).where(F.size("b") > 0)
-    return pairs.select("id", tx.tail_overlap(F.col("b"), F.col("a"), 8).alias("n"))
-
-
 @query("""SELECT id, i::INT - 1 AS at, list_max([0] || list_filter(range(1, least(len(a), len(b), 64) + 1), lambda n: a[len(a) - n + 1:] = b[1:n]))::INT AS n FROM (
   SELECT id, i, ws[(i - 1) * 448 + 1:(i - 1) * 448 + 512] AS a, CASE WHEN i = k THEN ws[1:512] ELSE ws[i * 448 + 1:i * 448 + 512] END AS b FROM (
     SELECT id, ws, k, unnest(range(1, 1 + k)) AS i FROM (SELECT id, ws, greatest(1, CAST(ceil((len(ws) - 512) / 448.0) AS BIGINT) + 1) AS k
       FROM (SELECT id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM docs) WHERE len(ws) > 0)))""")
-def t8_tail_overlap_of_windows(spark, d):
+def t8_tail_overlap(spark, d):
     """The end of every window of a text against the start of the next; after the last comes the first."""
     windows = tx.word_windows(tx.words(F.col("text")), 512, 64)
     docs = t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), windows.alias("windows")).where(F.size("windows") > 0)
@@ -548,13 +507,14 @@ def t9_token_estimate(spark, d):
     return t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), tx.estimated_tokens(tx.word_count(F.col("text"))).alias("est"))
 
 
-@query()
+@query("""SELECT doc_id, b.bytes::INT AS bytes, sha256(CASE WHEN b.bytes = strlen(text) THEN encode(text) ELSE unhex(substr(b.digits, 1, 2 * b.bytes)) END) AS sha FROM (
+  SELECT doc_id, text, {'digits': hex(encode(text)), 'bytes': CASE WHEN strlen(text) <= 4096 THEN strlen(text) ELSE list_max(list_filter([4096, 4095, 4094, 4093], lambda n: substr(hex(encode(text)), 2 * n + 1, 2) NOT BETWEEN '80' AND 'BF')) END} AS b FROM docs)""")
 def t10_truncated_queries(spark, d):
     cut = tx.truncate_bytes(F.col("text"))
-    return t.table(spark, d, "documents").select("doc_id", F.octet_length(cut).alias("bytes"))
+    return t.table(spark, d, "documents").select("doc_id", F.octet_length(cut).alias("bytes"), F.sha2(cut, 256).alias("sha"))
 
 
-@query()
+@query("""SELECT '["' || string_agg(chunk_id, '","' ORDER BY rn, chunk_id) || '"]' AS ids, '[' || string_agg(CAST(round(rrf, 6) AS VARCHAR), ',' ORDER BY rn, chunk_id) || ']' AS scores FROM fused""")
 def t11_stage_scores(spark, d):
     scores = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.round("rrf", 6).alias("score"), "chunk_id"))), lambda x: F.struct(x["chunk_id"].alias("id"), x["score"].alias("score")))
     return t.fused(spark, d).agg(F.to_json(scores["id"]).alias("ids"), F.to_json(scores["score"]).alias("scores"))
@@ -672,16 +632,8 @@ def _precision(v, asked):
     return hits.groupBy(F.col("own").alias("label")).agg(F.round(F.avg((F.col("label") == F.col("own")).cast("int")), 6).alias("recall_at_5"))
 
 
-@query("SELECT label, round(avg(hit), 6) AS recall_at_5 FROM (SELECT q.label, (e.label = q.label)::INT AS hit FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 30) q, (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e WHERE e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 5) GROUP BY label", prelude=False)
-def x1_precision_by_label(spark, d):
-    """Share of a query's five nearest that have its label."""
-    v = t.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
-    asked = v.where(F.col("chunk_id").cast("long") < 30)
-    return _precision(v, asked)
-
-
 @query("SELECT label, round(avg(hit), 6) AS recall_at_5 FROM (SELECT q.label, (e.label = q.label)::INT AS hit FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) q, (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e WHERE e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 5) GROUP BY label", prelude=False)
-def x1_precision_by_label_of_all(spark, d):
+def x1_precision_by_label(spark, d):
     """The same with every vector as a query."""
     v = t.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
     return _precision(v, v)

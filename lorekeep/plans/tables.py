@@ -14,7 +14,7 @@ from lorekeep.session import ship
 #: Terms of the standing keyword query.
 QUERY = "erin thing ndea the schung"
 QUERY_TERMS = QUERY.split()
-CANDIDATES, RRF_K, LIMIT, BUDGET = 50, 30, 5, 2000
+CANDIDATES, RRF_K, LIMIT, BUDGET = 50, 30, 5, 12_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,5 +142,5 @@ cand AS (SELECT f.chunk_id, rrf, rn, CAST(CAST(entry_id AS BIGINT) // 8 AS VARCH
 best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY round(rrf, 9) DESC, rn) = 1),
 final AS (SELECT chunk_id, entry_id, kind, rrf, text, row_number() OVER (ORDER BY round(rrf, 9) DESC, chunk_id) AS rn FROM best),
 costed AS (SELECT *, CAST(trunc(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * 1.33) AS BIGINT) AS est FROM final),
-budgeted AS (SELECT * FROM costed QUALIFY row_number() OVER (ORDER BY rn) = 1 OR sum(est) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) <= 2000)
+budgeted AS (SELECT * FROM costed QUALIFY row_number() OVER (ORDER BY rn) = 1 OR sum(est) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) <= 12000)
 """

@@ -58,7 +58,3 @@ def join_children(spans: DataFrame) -> DataFrame:
     root = spans.where("coalesce(parentSpanId, '') = ''").select("traceId", F.col("name").alias("root"))
     inner = spans.where("coalesce(parentSpanId, '') <> ''").groupBy("traceId").agg(F.count("*").alias("n"), F.sum("elapsed_ms").alias("elapsed_ms"))
     return root.join(inner, "traceId", "left")
-
-
-def numbered(lines: DataFrame, by: str) -> DataFrame:
-    return lines.withColumn("line", F.row_number().over(Window.orderBy(by)))

@@ -1,5 +1,6 @@
 import time
 
+from lorekeep.operators import retrieval
 from lorekeep.plans.knowledge import KnowledgeBase, lexical_reranker
 from lorekeep.sources.entries import write_entry
 from lorekeep.streaming.incremental import ingest_stream
@@ -12,7 +13,7 @@ def entry(i, kind, body, supersedes=()):
 def test_life_cycle(spark, tmp_path):
     kb = KnowledgeBase(spark, str(tmp_path))
     results, quality = kb.search("anything")
-    assert results.count() == 0 and quality.first()["suggestion"].startswith("No entries")
+    assert results.count() == 0 and quality.first()["suggestion"] == retrieval.COLD
     write_entry(kb.entries_dir, entry("a", "decision", "We store vectors in parquet tables because scans are fast."))
     write_entry(kb.entries_dir, entry("b", "learning", "The cache must be cleared after a schema change."))
     write_entry(kb.entries_dir, entry("cc", "reference", "Ports and addresses of services.", ["b"]))
@@ -25,7 +26,7 @@ def test_life_cycle(spark, tmp_path):
     assert quality.first()["confidence"] == "low"
     assert {r["id"] for r in kb.search("services", kind="reference")[0].collect()} == {"cc"}
     none, quality = kb.search("parquet", min_score=99.0)
-    assert none.count() == 0 and quality.first()["suggestion"].startswith("No results above")
+    assert none.count() == 0 and quality.first()["suggestion"] == retrieval.BELOW_MINIMUM
     kb.rerank = lexical_reranker
     assert kb.search("parquet vectors")[0].first()["score"] == 1.0
     kb.rerank = None
@@ -51,3 +52,15 @@ def test_stream(spark, tmp_path):
             write_entry(str(tmp_path / "in"), more)
         ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out/chunks")).count() == want
+
+
+def test_command_line(spark, tmp_path):
+    from lorekeep.__main__ import options, run
+
+    said = lambda *words: run(spark, options().parse_args([str(tmp_path / "kb"), *words]))
+    said("write", "rivers carry water to the sea", "--kind", "learning", "--tag", "water")
+    said("write", "stones do not swim", "--kind", "decision")
+    said("ingest")
+    found = said("search", "rivers water", "--limit", "3", "--kind", "learning")
+    assert "rivers" in str(found[0]) and "confidence" in found[-1]
+    assert said("status") and isinstance(said("traces", "--limit", "2"), list)

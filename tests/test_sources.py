@@ -74,8 +74,19 @@ def test_matching(spark):
 
 def test_canary_and_distribution(spark):
     q = spark.createDataFrame([("q1", "x", ["a"], "lookup", "learning", ""), ("q1", " X", ["zz"], "odd", "learning", "")], "id string, query string, expected_entry_ids array<string>, query_type string, target_kind string, notes string")
-    said = {r["error"] for r in canary_errors(q, spark.createDataFrame([("a", "learning")], "id string, kind string")).collect()}
-    assert {"duplicate query id: q1", "q1: duplicate query string", "q1: no entry zz", "q1: invalid query_type odd", "query_type lookup: want 6"} <= said
+    entries = spark.createDataFrame([("a", "learning"), ("b", "decision")], "id string, kind string")
+    header = {"schema_version": 2, "created_at": "2026-1-1", "corpus_entry_count": 3}
+    said = {(r["rule"], r["subject"]) for r in canary_errors(q, entries, header).collect()}
+    assert {("id-repeated", "q1"), ("query-repeated", "q1"), ("query-type-unknown", "q1"), ("stratum-size", "lookup"), ("set-size", "2")} <= said
+    assert {x for r, x in said if r == "header"} == {"schema_version", "created_at", "corpus_snapshot_hash"}
+    odd = [("m", "one", ["a"], "multi-hop", "learning", ""), ("c", "two", ["a", "a"], "cross-kind", "learning", ""), ("n", "three", [], "lookup", "none", ""), ("g", "four", ["a", "zz"], "lookup", "learning", None)]
+    said = {(r["rule"], r["subject"]) for r in canary_errors(spark.createDataFrame(odd, q.schema), entries).collect()}
+    assert {(r, x) for r, x in said if x in "mcng"} == {("one-hop", "m"), ("expected-repeated", "c"), ("one-kind", "c"), ("kind-not-mixed", "c"), ("entry-missing", "c"), ("nothing-expected", "n"), ("target-kind-unknown", "n"), ("entry-missing", "g"), ("incomplete", "g")}
+    strata = [t for t, n in (("lookup", 6), ("multi-hop", 6), ("reasoning", 4), ("cross-kind", 4)) for _ in range(n)]
+    kinds = ["learning", "reference", "decision", "instruction"]
+    good = [(f"q{i}", f"query {i}", ["a", "b"], t, "mixed" if t == "cross-kind" else kinds[i % 4], "") for i, t in enumerate(strata)]
+    right = {"schema_version": 1, "created_at": "2026-01-01", "corpus_entry_count": 3, "corpus_snapshot_hash": "sha256:" + "0" * 64}
+    assert canary_errors(spark.createDataFrame(good, q.schema), entries, right).count() == 0
     assert parse_distribution("a=0.5, b=0.5", ("a", "b")) == {"a": 0.5, "b": 0.5}
     for bad in ("a=0.5", "a=1,a=0", "c=1", "a"):
         with pytest.raises(ValueError):
