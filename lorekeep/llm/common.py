@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -113,11 +114,14 @@ def fold(column: str, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session has none (tests in local mode) a temporary folder is set.
+    Where a session has none, a temporary folder is set in local mode (tests), where there is one machine; a cluster needs a
+    folder that all of it shares.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

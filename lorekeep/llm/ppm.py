@@ -8,12 +8,15 @@ are equally likely. Texts are lower-cased (A-Z), begin after START bytes and clo
 
 As the trie of a large corpus fits no one machine, it is never in one place. Documents are cut into
 blocks of bounded size, kept compressed in a shared table. A block sends each distinct gram (context
-and byte) with its count to the bucket of the gram's last two context bytes; there the trie's part
-for those contexts is complete up to the two shortest orders, whose counts (at most 256 * 256) every
-bucket is given. The bucket returns the log-probability of each gram to the blocks that have it. The
+and byte) with its count to the bucket of the gram's last three context bytes; there the trie's part
+for those contexts is complete up to the three shortest orders, whose counts (at most 2^24 rows, as
+many as the corpus has of three bytes in a row) every bucket is given. Buckets grow with the input. The bucket returns the log-probability of each gram to the blocks that have it. The
 unigram baseline counts words in the same way.
 
-Defined results: a null text is an empty one (its end is coded); repeated rows are scored and, in
+A document that the corpus holds twice is not told apart by it: a context of ORDER bytes is too
+short to know one document from others that use the same words.
+
+Defined results: texts of any length are scored whole; a null text is an empty one (its end is coded); repeated rows are scored and, in
 training, counted each; an empty table gives no rows; without training rows every byte is equally
 likely and no word is known; other columns are left out.
 """
@@ -35,7 +38,8 @@ ORDER = 4
 #: Bytes that no UTF-8 text has: before it, and after it.
 START, END = 0xFE, 0xFF
 BLOCK_BYTES = 6 << 20
-BUCKETS = 64
+#: Bytes of text whose grams a bucket takes, and the fewest buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 #: Smoothing of the baseline.
 ADD = 0.1
 _END_WORD = 1
@@ -126,12 +130,13 @@ def _returned(part: pd.DataFrame, features: list[np.ndarray], back: np.ndarray,
     )
 
 
-def _gram_bucket(f: np.ndarray) -> np.ndarray:
-    return ((((f >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+def _gram_bucket(buckets: int):
+    """By a hash of the last three context bytes."""
+    return lambda f: ((((f >> np.uint64(8)) & np.uint64(0xFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
 
 
-def _word_bucket(f: np.ndarray) -> np.ndarray:
-    return (f % np.uint64(BUCKETS)).astype(np.int64)
+def _word_bucket(buckets: int):
+    return lambda f: (f % np.uint64(buckets)).astype(np.int64)
 
 
 def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,16 +163,17 @@ class _Level:
         return np.where(there, self.n[at] if len(self.n) else 0.0, 0.0)
 
 
-def log_probabilities(want: np.ndarray, grams_: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
+#: The longest context of which every bucket is given all counts.
+_LOW = 2
+
+
+def log_probabilities(want: np.ndarray, grams_: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """log10 of the probability of each gram's byte after its context.
 
-    grams_, counts: the trained grams that share the last two context bytes with any of ``want``;
-    low: 256 x 256 counts of a byte after a byte over all trained grams.
+    grams_, counts: the trained grams that share the last three context bytes with any of ``want``;
+    low: three bytes in a row, over all trained grams, and their counts.
     """
-    a, b = np.nonzero(low)
-    pairs = (a.astype(np.uint64) << np.uint64(8)) | b.astype(np.uint64)
-    levels = [_Level(grams_, counts, k) for k in range(ORDER, 1, -1)]
-    levels += [_Level(pairs, low[a, b], 1), _Level(pairs, low[a, b], 0)]
+    levels = [_Level(grams_, counts, k) for k in range(ORDER, _LOW, -1)] + [_Level(*low, k) for k in range(_LOW, -1, -1)]
     logs = np.zeros(len(want))
     open_ = np.ones(len(want), bool)
     offered, kinds = np.zeros(len(want)), np.zeros(len(want))  # by the longer context: their counts here, their number
@@ -218,21 +224,22 @@ def language_model_scores(docs: DataFrame, learn) -> DataFrame:
     """
     spark = docs.sparkSession
     blocks = written(docs.select(filled(F.col("doc_id")).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInPandas(_blocks, _BLOCKS), "blocks")
-    gram_parts = blocks.select("block", "gram", "gram_n").mapInPandas(_dealt("gram", "gram_n", _gram_bucket), _DEALT)
-    word_parts = blocks.select("block", "word", "word_n").mapInPandas(_dealt("word", "word_n", _word_bucket), _DEALT)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
+    gram_parts = blocks.select("block", "gram", "gram_n").mapInPandas(_dealt("gram", "gram_n", _gram_bucket(buckets)), _DEALT)
+    word_parts = blocks.select("block", "word", "word_n").mapInPandas(_dealt("word", "word_n", _word_bucket(buckets)), _DEALT)
 
-    def lows(batches):  # counts of the last two bytes of grams: at most 65536 rows a task
-        total = np.zeros(1 << 16)
+    def lows(batches):  # counts of the last three bytes of grams
+        known, total = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
             for f, n in zip(batch.gram, batch.gram_n, strict=True):
-                total += np.bincount((unpacked_sorted(f) & np.uint64(0xFFFF)).astype(np.int64), unpacked(n, np.uint32), 1 << 16)
-        pairs = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": pairs.astype(np.int32), "n": total[pairs].astype(np.int64)})
-
-    low = np.zeros(1 << 16)
-    for pair, n in blocks.select("gram", "gram_n").mapInPandas(lows, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():  # 65536 rows at most
-        low[pair] = n
-    low = spark.sparkContext.broadcast(low.reshape(256, 256))
+                f, n = unpacked_sorted(f) & np.uint64(0xFFFFFF), unpacked(n, np.uint32)
+                known, back = np.unique(np.append(known, f), return_inverse=True)
+                total = np.bincount(back, np.append(total, n), len(known))
+        yield pd.DataFrame({"low": known[total > 0].astype(np.int32), "n": total[total > 0].astype(np.int64)})
+
+    low = blocks.select("gram", "gram_n").mapInPandas(lows, "low int, n long").groupBy("low").agg(F.sum("n").alias("n")).toPandas()  # 2^24 rows at most
+    low = spark.sparkContext.broadcast((low.low.to_numpy(np.uint64), low.n.to_numpy(np.float64)))
 
     def grams_back(part):
         features, every, back, total = _gathered(part)
