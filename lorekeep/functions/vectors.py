@@ -48,19 +48,34 @@ def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int, most_queries
 
     A block of at most most_queries queries is broadcast, each partition multiplies matrices and
     keeps k per query, and the partial lists meet by query: no cross join. Larger sets of queries
-    are taken block by block.
+    are taken block by block. Vectors that are null, hold nulls or are not as long as the first
+    query take no part.
     """
-    spark = vectors.sparkSession
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    first = queries.where(whole).select("query_id", F.size("embedding").alias("n")).orderBy("query_id").first()
+    of_length = whole & (F.size("embedding") == (first["n"] if first else 0))
+    return _top_k(vectors.where(of_length), queries.where(of_length & F.col("query_id").isNotNull()), k, most_queries)
+
+
+def _top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int) -> DataFrame:
     asked = queries.select("query_id", "embedding").orderBy("query_id").limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
-        last = asked[most_queries - 1]["query_id"]
-        rest = top_k_per_query(vectors, queries.where(F.col("query_id") > last), k, most_queries)
-        return top_k_per_query(vectors, queries.where(F.col("query_id") <= last), k, most_queries).unionByName(rest)
+    last = asked[-1]["query_id"] if len(asked) > most_queries else None
+    if last is not None and last != asked[0]["query_id"]:  # an id's queries are asked together
+        rest = _top_k(vectors, queries.where(F.col("query_id") >= last), k, most_queries)
+        return _top_k(vectors, queries.where(F.col("query_id") < last), k, most_queries).unionByName(rest)
+    if last is not None:
+        asked = queries.select("query_id", "embedding").where(F.col("query_id") == last).collect()
+        rest = _top_k(vectors, queries.where(F.col("query_id") > last), k, most_queries)
+        return _of_block(vectors, asked, dict(queries.dtypes)["query_id"], k).unionByName(rest)
+    return _of_block(vectors, asked, dict(queries.dtypes)["query_id"], k)
+
+
+def _of_block(vectors: DataFrame, asked: list, kind: str, k: int) -> DataFrame:
+    spark = vectors.sparkSession
     ids = [r["query_id"] for r in asked]
     matrix = np.array([r["embedding"] for r in asked], np.float64)
     length = np.linalg.norm(matrix, axis=1, keepdims=True) if len(asked) else matrix
     shared = spark.sparkContext.broadcast((ids, np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)))
-    kind = dict(queries.dtypes)["query_id"]
 
     def best(batches):
         ids, q = shared.value

@@ -43,3 +43,15 @@ def test_vectors(spark):
     assert sim([1.0, 0.0], [0.0, 1.0]) == 0 and sim([0.0, 0.0], [1.0, 1.0]) == 0
     assert from_bytes(to_bytes([0.5, -2.25])) == [0.5, -2.25]
     assert r.oversampled(5, True, 50) == 50 and r.oversampled(20, True, 50) == 60
+
+
+def test_many_queries_with_odd_vectors(spark):
+    from lorekeep.functions.vectors import top_k_per_query
+
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("d", [None, 1.0]), ("e", [1.0, 2.0, 3.0]), ("f", [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([("1", [1.0, 0.1]), ("1", [1.0, 0.1]), ("1", [0.9, 0.1]), ("2", None), ("3", [0.1, 1.0]), (None, [0.1, 1.0])], "query_id string, embedding array<double>")
+    for most in (1, 2, 100):
+        found = {(r["query_id"], r["chunk_id"]) for r in top_k_per_query(v, q, 1, most).collect()}
+        assert found == {("1", "a"), ("3", "b")}
+    assert top_k_per_query(v, q.limit(0), 1).count() == 0
