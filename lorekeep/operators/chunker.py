@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import chunk_id, strip_frontmatter, words
@@ -115,23 +115,20 @@ def split_text(text: str, rule: Chunking = Chunking()) -> list[str]:  # noqa: B0
     return chunks
 
 
-def split_column(text: Column, rule: Chunking = Chunking()) -> Column:  # noqa: B008
-    """Chunks of a text; only texts of more than one are sent to Python."""
+def chunk_entries(entries: DataFrame, rule: Chunking = Chunking()) -> DataFrame:  # noqa: B008
+    """entries -> chunk_id, entry_id, chunk_index, kind, tags, text; an empty body is one empty chunk.
+
+    Only texts of more than one chunk are sent to Python.
+    """
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
+    def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else split_text(t, rule))
 
-    found = words(text)
-    short = F.size(found) <= rule.max_tokens
-    one = F.when(F.size(found) > 0, F.array(F.array_join(found, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(short, one).otherwise(run(F.when(~short, text)))
-
-
-def chunk_entries(entries: DataFrame, rule: Chunking = Chunking()) -> DataFrame:  # noqa: B008
-    """entries -> chunk_id, entry_id, chunk_index, kind, tags, text; an empty body is one empty chunk."""
-    body = strip_frontmatter(F.coalesce("body", F.lit("")))
-    parts = F.coalesce(F.nullif(split_column(body, rule), F.array().cast("array<string>")), F.array(F.lit("")))
-    return entries.select("id", "kind", "tags", F.posexplode(parts).alias("chunk_index", "text")).select(
+    # step by step, so that no step's result is worked out once for each use
+    found = entries.select("id", "kind", "tags", strip_frontmatter(F.coalesce("body", F.lit(""))).alias("body")).withColumn("words", words(F.col("body")))
+    found = found.withColumn("one", F.when(F.size("words") <= rule.max_tokens, F.array(F.array_join("words", " "))))
+    found = found.withColumn("several", split(F.when(F.col("one").isNull(), F.col("body"))))
+    return found.select("id", "kind", "tags", F.posexplode(F.coalesce("one", "several")).alias("chunk_index", "text")).select(
         chunk_id(F.col("id"), F.col("chunk_index")).alias("chunk_id"), F.col("id").alias("entry_id"), "chunk_index", "kind", "tags", "text"
     )
