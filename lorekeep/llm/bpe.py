@@ -34,9 +34,9 @@ from .common import filled, read, restored, working
 #: The pattern of the vocabulary's pre-tokenizer; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Runs of text that a worker remembers from slice to slice, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: Characters of text handled at once.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 #: Characters that are neither letters, numbers nor white space; a run of them is one pre-token.
 _MARKS = string.punctuation
 #: A space that white space or the end follows, and one that white space precedes as well.
