@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filled, read, restored, working
+from .common import read, restored, whole_id, working
 
 #: The pattern of the vocabulary's pre-tokenizer; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,6 +60,9 @@ def byte_letters() -> list[str]:
 class PairIndex:
     """Encodes by the merges of a vocabulary file."""
 
+    #: Runs remembered from slice to slice, if not CACHE_WORDS.
+    most_runs = 0
+
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
@@ -206,12 +209,12 @@ class PairIndex:
         for parts in laid_out:
             ids = [self.special[run] if after is None else bare(run) + b"".join(map(spaced, after)) for run, after in parts]
             out.append(ids[0] if len(ids) == 1 else b"".join(ids))
-        if len(self.bare) + len(self.spaced) > CACHE_WORDS:
+        if len(self.bare) + len(self.spaced) > (most := self.most_runs or CACHE_WORDS):
             # what this slice did not ask for goes, and what is long
             asked = set().union(*(after for parts in laid_out for _, after in parts if after))
             self.spaced = {r: i for r, i in self.spaced.items() if r in asked and len(r) <= CACHE_LENGTH}
             self.bare = {"": b""}
-            if len(self.spaced) > CACHE_WORDS // 2:
+            if len(self.spaced) > most // 2:
                 self.spaced.clear()
         return out
 
@@ -267,7 +270,7 @@ def _batches(batches, path: str, decoded: bool):
     for batch in batches:
         at, own = 0, encoder(path)
         for ids in own.slices(batch.text.tolist()):
-            found = pd.DataFrame({"doc_id": batch.doc_id.iloc[at : at + len(ids)].to_numpy(), "ids": pd.Series(ids, dtype=object)})
+            found = pd.DataFrame({c: batch[c].iloc[at : at + len(ids)].to_numpy() for c in ("doc_id", "unnamed")} | {"ids": pd.Series(ids, dtype=object)})
             at += len(ids)
             yield found.assign(text=pd.Series(list(map(own.decode, ids)), dtype=object)) if decoded else found
 
@@ -278,9 +281,9 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     decoded: also text, what the ids decode to, in the same pass.
     """
     # a step of its own: expressions over a Python function's result would have it computed once for each
-    schema = "doc_id long, ids binary" + ", text string" * decoded
-    found = docs.select(filled(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(lambda batches: _batches(batches, path, decoded), schema)
-    return found.withColumn("doc_id", restored(F.col("doc_id")))
+    schema = "doc_id long, unnamed boolean, ids binary" + ", text string" * decoded
+    found = docs.select(*whole_id("doc_id"), "text").mapInPandas(lambda batches: _batches(batches, path, decoded), schema)
+    return found.withColumn("doc_id", restored()).drop("unnamed")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -290,8 +293,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield batch.assign(text=pd.Series([encoder(path).decode(p) for p in batch.ids], dtype=object))
 
-    found = encoded.select(filled(F.col("doc_id")).alias("doc_id"), "ids").mapInPandas(run, "doc_id long, ids binary, text string")
-    return found.withColumn("doc_id", restored(F.col("doc_id")))
+    found = encoded.select(*whole_id("doc_id"), "ids").mapInPandas(run, "doc_id long, unnamed boolean, ids binary, text string")
+    return found.withColumn("doc_id", restored()).drop("unnamed")
 
 
 def op9_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:

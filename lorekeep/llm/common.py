@@ -18,27 +18,32 @@ from pyspark.sql import functions as F
 
 from lorekeep.session import ship
 
-#: Stands for a missing id where pandas would turn a column of integers with nulls into floats.
-MISSING = -(1 << 63)
-
-
 #: Bytes that go to a Python worker at once; a session that sets fewer keeps its own.
 _BATCH_BYTES, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def filled(c: Column) -> Column:
-    return F.coalesce(c, F.lit(MISSING))
+def whole_id(column: str, name: str = "doc_id") -> list[Column]:
+    """An id as two columns without nulls, since pandas would turn integers beside nulls into floats: 0 for null, and whether it is null."""
+    return [F.coalesce(F.col(column), F.lit(0)).cast("long").alias(name), F.col(column).isNull().alias("unnamed")]
+
 
+def restored(name: str = "doc_id") -> Column:
+    return F.when(~F.col("unnamed"), F.col(name))
 
-def restored(c: Column) -> Column:
-    return F.when(c != MISSING, c)
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df in a copy of its session where a Python worker gets few bytes at once; the session itself is left as it is."""
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES)) <= MOST_BATCH_BYTES:
+        return df
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(_BATCH_BYTES, str(MOST_BATCH_BYTES))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
-    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > MOST_BATCH_BYTES:
-        spark.conf.set(_BATCH_BYTES, MOST_BATCH_BYTES)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return in_small_batches(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def words(text: str | None) -> list[bytes]:

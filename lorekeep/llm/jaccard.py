@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MISSING, WordHashes, dropped, filled, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, words, working, written
+from .common import WordHashes, dropped, in_small_batches, packed, packed_sorted, raw_text, read, unpacked, unpacked_sorted, whole_id, words, working, written
 from .components import components, roots
 
 SHINGLE = 5
@@ -81,13 +81,13 @@ _CELLS = "bucket int, block string, of_block boolean, " + ", ".join(f"{c} binary
 _NAMES = [c.split()[0] for c in _CELLS.split(", ")]
 
 
-def _block(buckets: int, name: str, number: int, ids: list, texts: list) -> pd.DataFrame:
+def _block(buckets: int, name: str, number: int, ids: list[tuple[int, bool]], texts: list) -> pd.DataFrame:
     """A block's own row - ids, sizes, digests, and shingles that several of its documents have, with counts and
     documents - and a row for each bucket: shingles, counts, and the document where that is one."""
     sets = [shingles(t) for t in texts]
     sizes = np.array([len(x) for x in sets], np.int64)
     digests = b"".join(hashlib.sha256(raw_text(t, lower=False)).digest() for t in texts)
-    sets = [x if i != MISSING else x[:0] for i, x in zip(ids, sets, strict=True)]  # without an id: linked with nothing
+    sets = [x[:0] if unnamed else x for (_, unnamed), x in zip(ids, sets, strict=True)]  # without an id: linked with nothing
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(x) for x in sets])
     order = np.argsort(tokens)
@@ -96,7 +96,7 @@ def _block(buckets: int, name: str, number: int, ids: list, texts: list) -> pd.D
     counts = np.diff(starts, append=len(tokens))
     several = counts > 1
     local = np.repeat(several, counts)
-    own = (packed(np.array(ids, np.int64)), packed(sizes), digests, packed_sorted(tokens[starts][several]), packed(counts[several].astype(np.uint32)), packed(owner[local]))
+    own = (packed(np.array(ids, np.int64).T.ravel()), packed(sizes), digests, packed_sorted(tokens[starts][several]), packed(counts[several].astype(np.uint32)), packed(owner[local]))
     rows = [(number % buckets, name, True, *own)]
     tokens, counts, owner = tokens[starts], counts.astype(np.uint32), np.where(several, 0, owner[starts]).astype(np.uint32)
     edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
@@ -114,8 +114,8 @@ def _cells(buckets: int):
         working("jaccard", _hashes.known.clear)
         at, number, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for i, t in zip(batch.id.tolist(), batch.text.tolist(), strict=True):
-                ids.append(i)
+            for *i, t in zip(batch.id.tolist(), batch.unnamed.tolist(), batch.text.tolist(), strict=True):
+                ids.append(tuple(i))
                 texts.append(t)
                 size += len(t or "")
                 if size >= BLOCK_CHARS:
@@ -151,8 +151,8 @@ def _shared(part: pd.DataFrame) -> pd.DataFrame:
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for x in batch.itertuples():
-            ids = unpacked(x.a, np.int64)
-            yield pd.DataFrame({"block": x.block, "place": np.arange(len(ids), dtype=np.int32), "id": ids, "n_shingles": unpacked(x.b, np.int64), "digest": [x.c[i : i + 32] for i in range(0, len(x.c), 32)]})
+            ids, unnamed = unpacked(x.a, np.int64).reshape(2, -1)
+            yield pd.DataFrame({"block": x.block, "place": np.arange(len(ids), dtype=np.int32), "id": pd.arrays.IntegerArray(ids.copy(), unnamed > 0), "n_shingles": unpacked(x.b, np.int64), "digest": [x.c[i : i + 32] for i in range(0, len(x.c), 32)]})
 
 
 def prefix(df: np.ndarray, n: int) -> tuple[int, int]:
@@ -175,7 +175,7 @@ def _prefixes(own: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
     cells, rows = own[~own.of_block], []
     if len(cells):
         block = own[own.of_block].iloc[0]
-        ids, sizes = unpacked(block.a, np.int64), unpacked(block.b, np.int64)
+        ids, sizes = unpacked(block.a, np.int64).reshape(2, -1)[0], unpacked(block.b, np.int64)
         tokens = np.concatenate([unpacked_sorted(x) for x in cells.a])
         several = np.concatenate([unpacked(x, np.uint32) for x in cells.b]) > 1
         owner = np.concatenate([unpacked(x, np.uint32) for x in cells.c])
@@ -293,13 +293,13 @@ def _between_classes(postings: DataFrame, active: DataFrame, star: DataFrame, fi
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = docs.select(filled(F.col("doc_id")).alias("id"), "text")
+    docs = in_small_batches(docs).select(*whole_id("doc_id", "id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, total // BUCKET_BYTES)
     shared = written(docs.mapInPandas(_cells(buckets), _CELLS).groupBy("bucket").applyInPandas(_shared, _CELLS), "shared")
     members = written(shared.where("of_block").select("block", "a", "b", "c").mapInPandas(_documents, "block string, place int, id long, n_shingles long, digest binary"), "members", let_go=False)
     # of each text that occurs again one document stays, with the least id
-    again = members.groupBy("digest").agg(F.min(F.struct(F.col("id") == MISSING, "id", "block", "place")).alias("one"), F.count("*").alias("n")).where("n > 1")
+    again = members.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "block", "place")).alias("one"), F.count("*").alias("n")).where("n > 1")
     again = written(again.select("digest", F.col("one.id").alias("first"), F.struct("one.block", "one.place").alias("one")), "again", let_go=False)
     copies = members.join(again, "digest").where(F.struct("block", "place") != F.col("one")).select("block", "place")
     active = written(shared.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(_prefixes, _ACTIVE), "active")
@@ -323,9 +323,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
         dropped(table)
     found = members.join(again.select("digest", "first"), "digest", "left").withColumn("first", F.coalesce("first", "id"))
     found = found.join(classes.select(F.col("id").alias("first"), F.col("component_id").alias("class")), "first", "left")
-    doc_id = restored(F.col("id"))
-    own = F.when((F.col("n_shingles") > 0) & doc_id.isNotNull(), F.coalesce("class", "first")).otherwise(doc_id)
-    return found.select(doc_id.alias("doc_id"), "n_shingles", own.alias("component_id"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("class", "first")).otherwise(F.col("id"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", own.alias("component_id"))
 
 
 def op8_jaccard_adaptive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

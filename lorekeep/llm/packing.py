@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import filled, read, restored, written
+from .common import in_small_batches, read, restored, whole_id, written
 
 CAPACITY, CLOSE = 1024, 2
 #: Pieces of up to this share of the capacity are small.
 SMALL_SHARE = 1 / 5
 GROUPS = 96
 SHARD_ROWS = 32_768
+#: Most steps of the programme, for each size.
+STEPS = 1000
 #: Sequences filled less than this are packed once more, with those of other shards.
 FULL = 0.98
 
@@ -47,22 +49,22 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, close: in
 
     def run(batches):
         for batch in batches:
-            doc_ids = iter(batch.doc_id.tolist())
+            doc_ids = iter(zip(batch.doc_id.tolist(), batch.unnamed.tolist(), strict=True))
             for found in encoder(path).slices(batch.text.tolist()):
                 rows = []
                 for ids in found:
                     ids += close.to_bytes(4, "little")
-                    doc_id, n = next(doc_ids), len(ids) // 4
+                    (doc_id, unnamed), n = next(doc_ids), len(ids) // 4
                     start, piece = 0, 0
                     while start < n:
                         size = (n - start) % capacity or capacity
-                        rows.append((doc_id, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
+                        rows.append((doc_id, unnamed, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)])))
                         start, piece = start + size, piece + 1
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pd.DataFrame(rows, columns=["doc_id", "unnamed", "piece", "start", "length", "ids_crc32"])
 
-    docs = docs.select(filled(F.col("doc_id")).alias("doc_id"), "text")
-    found = docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    return found.withColumn("doc_id", restored(F.col("doc_id")))
+    docs = in_small_batches(docs).select(*whole_id("doc_id"), "text")
+    found = docs.mapInPandas(run, "doc_id long, unnamed boolean, piece int, start long, length long, ids_crc32 long")
+    return found.withColumn("doc_id", restored()).drop("unnamed")
 
 
 def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
@@ -71,7 +73,7 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[t
     need = need + 1e-7 * np.arange(1, k + 1) / k  # no two ratios tie, so the simplex can't cycle
     basis = np.diag(capacity // sizes).astype(float)  # a column is a configuration, or minus one of a size: a surplus
     cost = np.ones(k)
-    for _ in range(1000 * k):
+    for _ in range(STEPS * k):
         inverse = np.linalg.inv(basis)
         dual = cost @ inverse
         if dual.min() < -1e-9:
@@ -86,8 +88,7 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[t
         np.divide(amount, direction, out=step, where=direction > 1e-9)
         out = int(step.argmin())
         basis[:, out], cost[out] = enter, price
-    else:
-        raise RuntimeError(f"the programme over {k} sizes did not converge")
+    # beyond that many steps the basis reached is taken: any basis is a plan, and what it leaves goes best fit
     amount = np.linalg.solve(basis, need)
     return [(basis[:, i].astype(int), float(amount[i])) for i in range(k) if cost[i]]
 
@@ -191,15 +192,15 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
     return shelf.sequence, shelf.offset
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used long"
+_PACKED = "doc_id long, unnamed boolean, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, used long"
 
 
 def _pack_shards(pieces: DataFrame, shards: int, first: int, capacity: int) -> DataFrame:
     """Packs each shard apart; its sequences are numbered from (first + shard) * 2^32."""
 
     def run(key, part):
-        order = ["length", "doc_id", "piece", "start", "ids_crc32"]
-        part = part.sort_values(order, ascending=[False, True, True, True, True], kind="stable").drop(columns="shard")
+        order = ["length", "unnamed", "doc_id", "piece", "start", "ids_crc32"]
+        part = part.sort_values(order, ascending=[False, True, True, True, True, True], kind="stable").drop(columns="shard")
         sequence, offset = pack(part.length.to_numpy(), capacity)
         used = np.bincount(sequence, part.length.to_numpy()).astype(np.int64)
         part = part.assign(sequence_id=sequence + ((first + int(key[0])) << 32), offset=offset, used=used[sequence])
@@ -207,8 +208,8 @@ def _pack_shards(pieces: DataFrame, shards: int, first: int, capacity: int) -> D
 
     shard = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(first)), F.lit(shards)).cast("int")
     return (
-        pieces.withColumn("doc_id", filled(F.col("doc_id"))).withColumn("shard", shard)
-        .groupBy("shard").applyInPandas(run, _PACKED).withColumn("doc_id", restored(F.col("doc_id")))
+        pieces.select(*whole_id("doc_id"), *(c for c in pieces.columns if c != "doc_id")).withColumn("shard", shard)
+        .groupBy("shard").applyInPandas(run, _PACKED).withColumn("doc_id", restored()).drop("unnamed")
     )
 
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, filled, fold, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, words, working, written
+from .common import WordHashes, fold, packed, packed_sorted, raw_text, read, restored, unpacked, unpacked_sorted, whole_id, words, working, written
 
 ORDER = 4
 #: Bytes that no UTF-8 text has: before it, and after it.
@@ -63,18 +63,18 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array([*_hashes(words(text)), _END_WORD], np.uint64)
 
 
-def _block(name: str, rows: list[tuple[int, bool, str]]) -> tuple:
+def _block(name: str, rows: list[tuple[int, bool, bool, str]]) -> tuple:
     """One row: the documents, and their distinct grams and words with the counts in training rows."""
     found = []
     for make in (grams, word_hashes):
-        known, counts = np.unique(np.concatenate([make(t) for _, learn, t in rows if learn] or [np.zeros(0, np.uint64)]), return_counts=True)
-        others = np.unique(np.concatenate([make(t) for _, learn, t in rows if not learn] or [np.zeros(0, np.uint64)]))
+        known, counts = np.unique(np.concatenate([make(t) for _, _, learn, t in rows if learn] or [np.zeros(0, np.uint64)]), return_counts=True)
+        others = np.unique(np.concatenate([make(t) for _, _, learn, t in rows if not learn] or [np.zeros(0, np.uint64)]))
         others = others[~np.isin(others, known)]
         every = np.r_[known, others]
         order = np.argsort(every, kind="stable")
         found += [packed_sorted(every[order]), packed(np.r_[counts, np.zeros(len(others), int)][order].astype(np.uint32))]
-    raw = [t.encode("utf-8", "surrogatepass") for _, _, t in rows]
-    ids = np.array([d for d, _, _ in rows], np.int64)
+    raw = [t.encode("utf-8", "surrogatepass") for _, _, _, t in rows]
+    ids = np.array([[d for d, *_ in rows], [unnamed for _, unnamed, *_ in rows]], np.int64).ravel()  # then whether each is null
     return name, packed(ids), packed(np.array([len(r) for r in raw], np.int64)), zstandard.compress(b"".join(raw), 3), *found
 
 
@@ -86,9 +86,9 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at, number, held, size = TaskContext.get().partitionId(), 0, [], 0
     columns = [c.split()[0] for c in _BLOCKS.split(", ")]
     for batch in batches:
-        for row in zip(batch.doc_id.tolist(), batch.learn.tolist(), batch.text.fillna("").tolist(), strict=True):
+        for row in zip(batch.doc_id.tolist(), batch.unnamed.tolist(), batch.learn.tolist(), batch.text.fillna("").tolist(), strict=True):
             held.append(row)
-            size += len(row[2])
+            size += len(row[3])
             if size >= BLOCK_BYTES:
                 yield pd.DataFrame([_block(f"{at}-{number}", held)], columns=columns)
                 number, held, size = number + 1, [], 0
@@ -209,12 +209,13 @@ def _scored(texts: pd.DataFrame, grams_: pd.DataFrame, words_: pd.DataFrame) ->
         log_count = np.log10(count + ADD)
         for row in texts.itertuples():
             raw, at = zstandard.decompress(row.texts) if row.texts else b"", 0
-            for doc_id, size in zip(unpacked(row.ids, np.int64).tolist(), unpacked(row.sizes, np.int64).tolist(), strict=True):
+            ids, unnamed = unpacked(row.ids, np.int64).reshape(2, -1)
+            for doc_id, no_id, size in zip(ids.tolist(), (unnamed > 0).tolist(), unpacked(row.sizes, np.int64).tolist(), strict=True):
                 text = raw[at : at + size].decode("utf-8", "surrogatepass")
                 at += size
                 w = np.searchsorted(word, word_hashes(text))
-                out.append((doc_id, len(w), int((count[w] > 0).sum()), float(log_count[w].sum()), float(log[np.searchsorted(gram, grams(text))].sum())))
-    return pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_known", "log_counts", "score"])
+                out.append((doc_id, no_id, len(w), int((count[w] > 0).sum()), float(log_count[w].sum()), float(log[np.searchsorted(gram, grams(text))].sum())))
+    return pd.DataFrame(out, columns=["doc_id", "unnamed", "n_tokens", "n_known", "log_counts", "score"])
 
 
 def language_model_scores(docs: DataFrame, learn) -> DataFrame:
@@ -223,7 +224,7 @@ def language_model_scores(docs: DataFrame, learn) -> DataFrame:
     -> doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    blocks = written(docs.select(filled(F.col("doc_id")).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInPandas(_blocks, _BLOCKS), "blocks")
+    blocks = written(docs.select(*whole_id("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text").mapInPandas(_blocks, _BLOCKS), "blocks")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
     gram_parts = blocks.select("block", "gram", "gram_n").mapInPandas(_dealt("gram", "gram_n", _gram_bucket(buckets)), _DEALT)
@@ -261,11 +262,11 @@ def language_model_scores(docs: DataFrame, learn) -> DataFrame:
         return _scored(texts, found[found.kind == 0], found[found.kind == 1])
 
     scores = blocks.select("block", "ids", "sizes", "texts").groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
-        scored, "doc_id long, n_tokens long, n_known long, log_counts double, score double"
+        scored, "doc_id long, unnamed boolean, n_tokens long, n_known long, log_counts double, score double"
     )
     each = F.log10(F.col("train_tokens") + ADD * (F.col("v") + 1))
     return scores.crossJoin(F.broadcast(sums)).select(  # one row
-        restored(F.col("doc_id")).alias("doc_id"), "n_tokens", "n_known", "train_tokens", (F.col("log_counts") - F.col("n_tokens") * each).alias("base_score"), "score"
+        restored().alias("doc_id"), "n_tokens", "n_known", "train_tokens", (F.col("log_counts") - F.col("n_tokens") * each).alias("base_score"), "score"
     )
 
 

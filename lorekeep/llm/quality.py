@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, read, working
+from .common import fold, in_small_batches, read, working
 
 #: Bound of the labelled sample: so many rows, those with the smallest hashes.
 SAMPLE_ROWS = 20_000
@@ -155,6 +155,7 @@ def score(docs: DataFrame, model: Ranking, name: str = "quality_score") -> DataF
 
 def quality(docs: DataFrame, labels: DataFrame, name: str = "quality_score") -> DataFrame:
     """docs with the score, by a model fitted on its labelled part."""
+    docs = in_small_batches(docs)
     return score(docs, train(docs, labels), name)
 
 

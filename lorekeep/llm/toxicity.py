@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, read, working
+from .common import fold, in_small_batches, read, working
 
 #: Bounds of the labelled sample: rows (those with the smallest hashes), of which a quarter are toxic where there are enough.
 SAMPLE_ROWS = 6_000
@@ -211,6 +211,7 @@ def score(docs: DataFrame, model: Bag, name: str = "toxic_score") -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic_score") -> DataFrame:
     """docs with the score, by a model fitted on its labelled part."""
+    docs = in_small_batches(docs)
     return score(docs, train(docs, labels), name)
 
 

@@ -27,10 +27,11 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MISSING, filled, read, shared_dir, written
+from .common import read, shared_dir, written
 
 #: Smaller payloads are always written in full.
 LEAST_BYTES = 100
@@ -147,7 +148,7 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _order(row: tuple) -> tuple:
-    return row[1], row[2], -1 if row[3] is None else row[3]
+    return row[1], row[2], row[3] is not None, row[3] or 0
 
 
 class LoserTree:
@@ -199,12 +200,13 @@ class LoserTree:
             self.losers[0] = i
 
 
-def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range: its slices of the runs, merged."""
     runs: dict[str, list[tuple]] = {}
+    schema = None
     for batch in batches:
-        refers, ids = ([None if x == MISSING else x for x in batch[c].tolist()] for c in ("refers_to", "page_id"))
-        for row in zip(batch.run, batch.url_key, batch.captured, ids, batch.payload_bytes.tolist(), batch.payload_digest, batch.record_type, refers, strict=True):
+        schema = batch.schema
+        for row in zip(*(batch.column(c).to_pylist() for c in _COLUMNS), strict=True):
             runs.setdefault(row[0], []).append(row)
     # a shuffle may hand over a run's blocks in any order
     for name in sorted(runs):
@@ -213,18 +215,17 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for row in LoserTree([iter(runs[name]) for name in sorted(runs)], _order):
         out.append(row)
         if len(out) == 10_000:
-            yield _frame(out)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema)
             out = []
     if out:
-        yield _frame(out)
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema)
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """The captures of the archives under path, in order of URL key, time and id over all partitions."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     runs = written(files.mapInPandas(_runs, _CAPTURE), "runs")
-    runs = runs.withColumns({c: filled(F.col(c)) for c in ("page_id", "refers_to")})
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInPandas(_merged, _CAPTURE)
+    return runs.select(*_COLUMNS).repartitionByRange("url_key", "captured", "page_id").mapInArrow(_merged, _CAPTURE)
 
 
 def op1_warc_external_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
