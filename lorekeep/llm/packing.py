@@ -23,6 +23,7 @@ the input are left out.
 
 from __future__ import annotations
 
+import array
 import zlib
 
 import numpy as np
@@ -30,8 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary_path
-from .common import in_small_batches, read, restored, whole_id, written
+from .bpe import PairIndex, byte_letters, vocabulary_path
+from .common import in_small_batches, read, restored, whole_id, working, written
 
 CAPACITY, CLOSE = 1024, 2
 #: Pieces of up to this share of the capacity are small.
@@ -44,6 +45,32 @@ STEPS = 1000
 FULL = 0.98
 
 
+class _Encoder(PairIndex):
+    """The ids of runs from the library's model, run by run: less memory than an index of pairs, and faster for few at once."""
+
+    most_runs = 400_000
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.tokens, self.letters = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_letters()))
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        return [array.array("I", [t.id for t in self.tokens(w.decode("latin-1").translate(self.letters))]).tobytes() for w in words]
+
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def encoder(path: str) -> _Encoder:
+    """One per worker process and file."""
+    working("packing", _ENCODERS.clear)
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    return _ENCODERS[path]
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, close: int = CLOSE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32; a long document's first piece may be the short one."""
 
