@@ -15,7 +15,8 @@ def options() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="lorekeep", description=__doc__)
     out.add_argument("folder")
     do = out.add_subparsers(dest="do", required=True)
-    do.add_parser("ingest")
+    for name in ("init", "ingest", "compact"):
+        do.add_parser(name)
     search = do.add_parser("search")
     search.add_argument("query")
     for name, kind in (("--limit", int), ("--max-tokens", int), ("--min-score", float)):
@@ -43,6 +44,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
         return [kb.write(args.content, args.kind, args.tag, args.supersedes)]
     if args.do == "traces":
         return rows(kb.traces(args.limit, args.name))
+    if args.do in ("init", "compact"):
+        kb.init() if args.do == "init" else kb.compact()
+        return [{"version": kb.index.snapshot().version}]
     done = kb.ingest() if args.do == "ingest" else kb.status()
     return rows(done) if isinstance(done, DataFrame) else [done]
 

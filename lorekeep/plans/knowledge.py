@@ -1,8 +1,8 @@
-"""The knowledge base: ingest, search, write, status and traces over tables in a folder.
+"""The knowledge base: init, ingest, search, write, status and traces over an index of segments.
 
-Tables are Parquet, written anew beside the old ones and named in ``current.json`` once complete, so
-a reader sees one state and an interrupted job leaves the old one. Files are the source of truth;
-ingest is idempotent. Embedding and reranking are pluggable.
+The index is a log of versions (``sources.segments``): ingest puts one segment in the place of all, a
+write adds one and touches no other, and two writers at once both succeed. A reader sees one version.
+Files are the source of truth; ingest is idempotent. Embedding and reranking are pluggable.
 """
 
 from __future__ import annotations
@@ -15,15 +15,19 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import missing_warning, search_terms
 from lorekeep.functions.vectors import cosine
-from lorekeep.operators import bm25, neardup, retrieval, supersede
+from lorekeep.operators import neardup, postings, retrieval, supersede
 from lorekeep.operators.chunker import chunk_entries
-from lorekeep.schema import DEFAULT_KIND, KINDS, Config
+from lorekeep.schema import DEFAULT_KIND, ENTRIES, KINDS, Config
+from lorekeep.session import ship
 from lorekeep.sources import entries as source
+from lorekeep.sources.segments import Conflict, Segments, Snapshot
 from lorekeep.sources.traces import read_lines, recent_traces
 
 DIM = 256
@@ -31,9 +35,12 @@ DIM = 256
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     """A deterministic vector of a text: its terms counted in dim places by a hash. Needs no model."""
-    places = F.transform(search_terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    count = lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count)
+
+    @F.pandas_udf("array<float>")
+    def counted(places: pd.Series) -> pd.Series:
+        return places.map(lambda p: None if p is None else np.bincount(p, minlength=dim).astype(np.float32))
+
+    return counted(F.transform(search_terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
 
 
 def lexical_reranker(query: str, text: Column) -> Column:
@@ -57,71 +64,86 @@ class KnowledgeBase:
     def entries_dir(self) -> str:
         return f"{self.folder}/entries"
 
-    def _state(self) -> dict:
-        path = Path(self.folder, "index", "current.json")
-        return json.loads(path.read_text()) if path.exists() else {}
+    def __post_init__(self):
+        ship(self.spark)
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._state()["tables"][name])
+    @property
+    def index(self) -> Segments:
+        return Segments(self.spark, f"{self.folder}/index")
 
-    def _commit(self, tables: dict[str, DataFrame], meta: dict) -> None:
-        at = f"{self.folder}/index/{uuid.uuid4().hex}"
-        state = {"tables": self._state().get("tables", {}) | {name: f"{at}/{name}" for name in tables}, "meta": meta}
-        for name, df in tables.items():
-            df.write.parquet(f"{at}/{name}")
-        beside = Path(self.folder, "index", f".current-{uuid.uuid4().hex}")
-        beside.write_text(json.dumps(state))
-        os.replace(beside, Path(self.folder, "index", "current.json"))
+    def init(self) -> None:
+        """Makes the folders and an empty index; what is there stays."""
+        Path(self.entries_dir).mkdir(parents=True, exist_ok=True)
+        if not self.index.versions():
+            self.index.commit(lambda last, version: (last.segments, {"entry_count": 0} | last.meta))
 
-    def _index(self, entries: DataFrame) -> dict[str, DataFrame]:
+    def _written(self, entries: DataFrame) -> tuple[str, dict[str, DataFrame], dict]:
+        """A segment of entries, not yet part of a version."""
         chunks = chunk_entries(entries, self.config.chunking).where("text <> ''")
-        postings = bm25.postings(chunks).join(chunks.select("chunk_id", "entry_id"), "chunk_id")
-        return {
-            "entries": entries,
-            "chunks": chunks,
-            "vectors": chunks.select("chunk_id", "entry_id", "kind", self.embed(F.col("text")).alias("embedding")),
-            # sorted by term: a query reads the row groups of its terms
-            "postings": postings.repartitionByRange("term").sortWithinPartitions("term"),
-            "lengths": bm25.lengths(chunks),
-            "supersession": supersede.superseded_ids(entries),
-        }
+        # every entry is one that the segment holds, also without a chunk
+        name, tables, figures = postings.write_index(self.index, chunks, entries.select(F.col("id").alias("entry_id")), {"entries": entries})
+        vectors = tables["docs"].select("chunk_id", "entry_id", "kind", self.embed(F.col("text")).alias("embedding"))
+        return name, tables | self.index.write(name, {"vectors": vectors}), figures
+
+    @staticmethod
+    def _entries(at: Snapshot) -> DataFrame:
+        return at.visible(at.table("entries").withColumnRenamed("id", "entry_id")).withColumnRenamed("entry_id", "id")
+
+    def _superseded(self, at: Snapshot) -> DataFrame:
+        return supersede.superseded_ids(self._entries(at)).select(F.col("id").alias("entry_id"))
+
+    def _vectors(self, at: Snapshot) -> DataFrame:
+        return at.visible(at.table("vectors")).join(self._superseded(at), "entry_id", "left_anti")
 
     def _files(self) -> int:
-        return source.scan_entries(self.spark, self.entries_dir).count()
+        return source.count_entries(self.spark, self.entries_dir)
 
     # operations
 
     def ingest(self) -> DataFrame:
-        """Rebuilds all tables from the files. One row: entries, chunks, superseded, skipped."""
-        entries, skipped = source.read_entries(self.spark, self.entries_dir)
-        files = self._files()
-        Path(self.folder, "index").mkdir(parents=True, exist_ok=True)
-        self._commit(self._index(entries), {"last_ingest": source.now(), "entry_count": files})
-        counts = [self.table(t).agg(F.count("*").alias(n)) for t, n in (("entries", "entries_ingested"), ("chunks", "chunks_indexed"), ("supersession", "superseded_count"))]
-        out = counts[0].crossJoin(counts[1]).crossJoin(counts[2])
-        return out.crossJoin(skipped.agg(F.array_sort(F.collect_list(F.struct("file", "reason"))).alias("entries_skipped")))
+        """Puts a segment of all files in the place of those there are. One row: entries, chunks, superseded, skipped.
+
+        Entries written meanwhile have files and segments of their own: the later segment counts.
+        """
+        while True:
+            at = self.index.snapshot()
+            files = self._files()
+            entries, skipped = source.read_entries(self.spark, self.entries_dir)
+            try:
+                done = self.index.add(*self._written(entries), meta={"last_ingest": source.now(), "entry_count": files}, replaces=at)
+            except Conflict:
+                continue  # another ingest or a compaction was first
+            break
+        counts = [(self._entries(done), "entries_ingested"), (done.visible(done.table("docs")), "chunks_indexed"), (self._superseded(done), "superseded_count")]
+        out = self.spark.range(1)
+        for df, name in counts:
+            out = out.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
+        return out.drop("id").crossJoin(skipped.agg(F.array_sort(F.collect_list(F.struct("file", "reason"))).alias("entries_skipped")))
 
     def search(self, query: str, limit: int | None = None, max_tokens: int | None = None, min_score: float | None = None, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """Results (rank, id, chunk_id, kind, score, content) and the quality row."""
+        """Results (rank, id, chunk_id, kind, score, content) and the quality row. query: see ``operators.querylang``."""
         limit = self.config.search.default_limit if limit is None else limit
         if kind is not None and kind.lower() not in KINDS:
             raise ValueError(f"unknown kind: {kind}")
-        meta = self._state().get("meta", {})
-        if not meta.get("entry_count"):
+        at = self.index.snapshot()
+        if not at.meta.get("entry_count") or not at.segments:
             none = self.spark.createDataFrame([], "rank int, id string, chunk_id string, kind string, score double, content string")
             return none, retrieval.quality(none, cold=True)
         n = retrieval.oversampled(limit, kind is not None, self.config.search.reranker_candidates)
-        gone = self.table("supersession").select(F.col("id").alias("entry_id"))
-        chunks, vectors = self.table("chunks").join(gone, "entry_id", "left_anti"), self.table("vectors").join(gone, "entry_id", "left_anti")
+        gone, vectors = self._superseded(at), self._vectors(at)
         if kind:
-            chunks = chunks.where(F.col("kind") == kind.lower())
             vectors = vectors.where((F.col("kind") == kind.lower()) | F.col("kind").isNull() | ~F.col("kind").isin(*KINDS))
-        terms = self.spark.range(1).select(search_terms(F.lit(query)).alias("t")).first()["t"]
-        keyword = retrieval.top_k(bm25.score(self.table("postings"), self.table("lengths"), terms, chunks), "bm25", n)
-        near = retrieval.top_k(vectors.select("chunk_id", cosine(F.col("embedding"), self.embed(F.lit(query))).alias("sim")), "sim", n)
+
+        def keep(docs: DataFrame) -> DataFrame:
+            live = docs.join(gone, "entry_id", "left_anti")
+            return live.where(F.col("kind") == kind.lower()) if kind else live
+
+        keyword = postings.Search(at, query, n, keep).top()
+        asked = F.lit(self.spark.range(1).select(self.embed(F.lit(query)).alias("q")).first()["q"])  # once, not for each vector
+        near = retrieval.top_k(vectors.select("chunk_id", cosine(F.col("embedding"), asked).alias("sim")), "sim", n)
         fused = retrieval.top_k(retrieval.fuse([keyword, near], self.config.search.rrf_k), "rrf", self.config.search.reranker_candidates)
         # texts are fetched for the candidates alone
-        found = fused.join(chunks.select("chunk_id", "entry_id", "kind", "text"), "chunk_id")
+        found = at.visible(fused.join(at.table("docs").select("chunk_id", "entry_id", "kind", "text", "version"), "chunk_id"))
         score = F.coalesce(self.rerank(query, F.col("text")), F.col("rrf")) if self.rerank else F.col("rrf")
         best = retrieval.best_per_entry(found.withColumn("score", score.cast("double"))).drop("rn")
         before = best.count() if min_score is not None else 0
@@ -131,54 +153,54 @@ class KnowledgeBase:
         if max_tokens is not None:
             ranked = retrieval.within_budget(ranked, max_tokens)
         results = ranked.where(F.col("rn") <= limit).select(F.col("rn").alias("rank"), F.col("entry_id").alias("id"), "chunk_id", "kind", "score", F.col("text").alias("content"))
-        return results, retrieval.quality(results, stale=self._files() != meta["entry_count"], before_minimum=before)
+        return results, retrieval.quality(results, stale=self._files() != at.meta["entry_count"], before_minimum=before)
 
     def write(self, content: str, kind: str = DEFAULT_KIND, tags: list[str] | None = None, supersedes: list[str] | None = None) -> dict:
         """Writes an entry; content near to that of another supersedes it, unless targets are named."""
         if kind.lower() not in KINDS:
             raise ValueError(f"unknown kind: {kind}")
         targets, similarity, warning = list(supersedes or []), None, None
-        ready = "tables" in self._state()
-        if ready and not targets and content.strip():
-            gone = self.table("supersession").select(F.col("id").alias("entry_id"))
-            near = neardup.best_match(self.table("vectors").join(gone, "entry_id", "left_anti"), self.embed(F.lit(content)), self.config.search.dedup_threshold).collect()
+        at = self.index.snapshot()
+        if at.segments and not targets and content.strip():
+            asked = F.lit(self.spark.range(1).select(self.embed(F.lit(content)).alias("q")).first()["q"])
+            near = neardup.best_match(self._vectors(at), asked, self.config.search.dedup_threshold).collect()
             if near:
                 targets, similarity = [near[0]["entry_id"]], near[0]["sim"]
         if targets:
-            known = self.table("entries").select("id") if ready else self.spark.createDataFrame([], "id string")
+            known = self._entries(at).select("id") if at.segments else self.spark.createDataFrame([], "id string")
             wanted = self.spark.createDataFrame([(t,) for t in targets], "id string")
             missing = supersede.missing_targets(wanted, known).agg(F.array_sort(F.collect_list("id")).alias("ids"))
             warning = missing.select(missing_warning(F.col("ids")).alias("w")).first()["w"]
         entry = source.new_entry(content, kind.lower(), tags, targets)
-        source.write_entry(self.entries_dir, entry)  # the file first: the tables can be made again
-        self._append(entry, ready)
+        source.write_entry(self.entries_dir, entry)  # the file first: the index can be made again
+        new = self._written(self.spark.createDataFrame([entry], ENTRIES))
+        self.index.add(*new, meta=lambda was: {"last_ingest": source.now(), "entry_count": was.get("entry_count", 0) + 1})
         return {"id": entry["id"], "action": "superseded" if targets else "created", "superseded": targets, "similarity": similarity, "warning": warning}
 
-    def _append(self, entry: dict, ready: bool) -> None:
-        from lorekeep.schema import ENTRIES
-
-        Path(self.folder, "index").mkdir(parents=True, exist_ok=True)
-        new = self.spark.createDataFrame([entry], ENTRIES)
-        fresh = self._index(new)
-        if ready:
-            gone = new.select(F.explode("supersedes").alias("entry_id"))
-            every = self.table("entries").unionByName(new)
-            tables = {n: self.table(n).unionByName(fresh[n]) for n in ("chunks", "vectors", "lengths")}
-            tables["postings"] = bm25.without_entries(self.table("postings"), gone).unionByName(fresh["postings"])
-            fresh = tables | {"entries": every, "supersession": supersede.superseded_ids(every)}
-        self._commit(fresh, {"last_ingest": source.now(), "entry_count": self._files()})
+    def compact(self) -> Snapshot:
+        """Writes what is visible as one segment in the place of all; what is written meanwhile stays beside it."""
+        while True:
+            at = self.index.snapshot()
+            if len(at.segments) < 2:
+                return at
+            docs = at.visible(at.table("docs")).drop("version", "doc", "dl")
+            entries = self._entries(at).drop("version")
+            name, tables, figures = postings.write_index(self.index, docs, entries.select(F.col("id").alias("entry_id")), {"entries": entries, "vectors": at.visible(at.table("vectors")).drop("version")})
+            try:
+                return self.index.compacted(name, tables, figures, of=at)
+            except Conflict:
+                continue
 
     def status(self, traces: int = 5) -> DataFrame:
         """One row of counts, with whether files and index have drifted apart, and the last spans."""
-        state = self._state()
-        one = self.spark.range(1)
-        counts = {"bm25_docs": "lengths", "vector_count": "vectors", "entries": "entries", "superseded_count": "supersession"}
+        at = self.index.snapshot()
+        one = self.spark.range(1).withColumn("bm25_docs", F.lit(int(at.total("chunks"))))
+        counts = {"vector_count": lambda: at.visible(at.table("vectors")), "entry_count": lambda: self._entries(at), "superseded_count": lambda: self._superseded(at)}
         for name, table in counts.items():
-            one = one.crossJoin(self.table(table).agg(F.count("*").alias(name))) if state else one.withColumn(name, F.lit(0).cast("long"))
-        meta = state.get("meta", {})
+            one = one.crossJoin(table().agg(F.count("*").alias(name))) if at.segments else one.withColumn(name, F.lit(0).cast("long"))
         recent = self.traces(traces).agg(F.collect_list(F.struct("name", "elapsed_ms", "timestamp_ns")).alias("recent_traces"))
-        return one.drop("id").withColumnRenamed("entries", "entry_count").select(
-            "*", F.lit(meta.get("last_ingest")).alias("last_ingest"), F.lit(self._files() != meta.get("entry_count", 0)).alias("stale"), F.lit(self.folder).alias("storage_path")
+        return one.drop("id").select(
+            "*", F.lit(at.meta.get("last_ingest")).alias("last_ingest"), F.lit(self._files() != at.meta.get("entry_count", 0)).alias("stale"), F.lit(self.folder).alias("storage_path")
         ).crossJoin(recent)
 
     def traces(self, limit: int = 10, span_filter: str | None = None) -> DataFrame:

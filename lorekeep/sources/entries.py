@@ -22,14 +22,23 @@ _PARSED = ENTRIES + ", error string, file string"
 
 def scan_entries(spark: SparkSession, folder: str) -> DataFrame:
     """file, content of the ``*.md`` of a folder, not those hidden by a leading dot; a missing folder is empty."""
+    files = _files(spark, folder)
+    return files.select("file", F.col("content").cast("string").alias("content"))
+
+
+def count_entries(spark: SparkSession, folder: str) -> int:
+    """How many files ``scan_entries`` has; their contents are not read."""
+    return _files(spark, folder).select("file").count()
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "file string, content string")
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file"), F.col("content").cast("string").alias("content")).where(~F.col("file").startswith(".")).orderBy("file")
+        return spark.createDataFrame([], "file string, content binary")
+    return files.withColumn("file", F.element_at(F.split("path", "/"), -1)).where(~F.col("file").startswith("."))
 
 
 def parse_entry(content: str, strict: bool = False) -> dict:

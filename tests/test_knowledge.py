@@ -64,3 +64,39 @@ def test_command_line(spark, tmp_path):
     found = said("search", "rivers water", "--limit", "3", "--kind", "learning")
     assert "rivers" in str(found[0]) and "confidence" in found[-1]
     assert said("status") and isinstance(said("traces", "--limit", "2"), list)
+
+
+def test_index_of_segments(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path))
+    kb.init()
+    kb.init()
+    assert kb.index.versions() == [1] and kb.search("x")[0].count() == 0
+    first = kb.write("Rivers carry water to the sea.", "learning")
+    second = kb.write("Stones lie on the ground, heavy and grey.", "decision")
+    assert len(kb.index.snapshot().segments) == 2 and kb.status().first()["entry_count"] == 2
+    said = lambda **more: [r["id"] for r in kb.search("rivers OR +stones", **more)[0].collect()]
+    before = said()
+    assert set(before) == {first["id"], second["id"]}
+    third = kb.write("Rivers carry water to the sea!", "learning")  # supersedes the first
+    assert third["superseded"] == [first["id"]] and set(said()) == {second["id"], third["id"]}
+    old = kb.index.snapshot()
+    kb.compact()
+    assert len(kb.index.snapshot().segments) == 1 and set(said()) == {second["id"], third["id"]}
+    assert kb.status().first()["superseded_count"] == 1 and not kb.status().first()["stale"]
+    kb.ingest()
+    kb.ingest()
+    assert len(kb.index.snapshot().segments) == 1 and set(said()) == {second["id"], third["id"]}
+    assert kb._entries(old).count() == 3  # a reader of an earlier version is not disturbed
+    assert len(kb.index.vacuum(grace=0)) == 5 and set(said(kind="decision")) == {second["id"]}
+    assert said(max_tokens=1) and said(limit=0) == []
+
+
+def test_an_entry_written_anew(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path))
+    write_entry(kb.entries_dir, entry("a", "decision", "old words here"))
+    kb.ingest()
+    at = kb.index.snapshot()
+    name, tables, figures = kb._written(spark.createDataFrame([entry("a", "decision", "new words there")], "id string, created_at string, kind string, supersedes array<string>, tags array<string>, body string"))
+    kb.index.add(name, tables, figures)
+    assert [r["content"] for r in kb.search("words")[0].collect()] == ["new words there"]
+    assert kb.index.snapshot(at.version).table("docs").first()["text"] == "old words here"
