@@ -39,63 +39,56 @@ def from_bytes(raw: bytes) -> list[float]:
     return list(struct.unpack(f"<{len(raw) // 4}f", raw))
 
 
-#: Queries whose similarities to a batch are held at once.
-_ROWS = 256
+#: Vectors in a block of queries and of what they are compared with.
+_QUERIES, _VECTORS = 512, 4096
 
 
-def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+def _blocks(vectors: DataFrame, side: str, rows: int) -> DataFrame:
+    """vectors(id, embedding) in blocks of about so many: {side}_ids, {side}_vectors, unit vectors in double precision as bytes."""
+    many = max(1, -(-vectors.count() // rows))
+
+    def pack(part):
+        x = np.array(part.embedding.tolist(), np.float64)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+        return pd.DataFrame({f"{side}_block": [part.block.iloc[0]], f"{side}_ids": [part.id.tolist()], f"{side}_vectors": [x.tobytes()]})
+
+    block = F.pmod(F.monotonically_increasing_id(), F.lit(many))
+    kind = dict(vectors.dtypes)["id"]
+    return vectors.select("id", "embedding").withColumn("block", block).groupBy("block").applyInPandas(pack, f"{side}_block long, {side}_ids array<{kind}>, {side}_vectors binary")
+
+
+def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int, query_rows: int = _QUERIES, vector_rows: int = _VECTORS) -> DataFrame:
     """vectors(chunk_id, embedding) against queries(query_id, embedding) -> query_id, chunk_id, sim.
 
-    A block of at most most_queries queries is broadcast, each partition multiplies matrices and
-    keeps k per query, and the partial lists meet by query: no cross join. Larger sets of queries
-    are taken block by block. Vectors that are null, hold nulls or are not as long as the first
-    query take no part.
+    Both sides are packed in blocks; every block of queries meets every block of vectors as one row of two matrices, which
+    are multiplied in a task and leave k rows a query; these meet by query. Nothing goes through the driver. Vectors that are
+    null, hold nulls or are not as long as the first query take no part.
     """
     whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
     first = queries.where(whole).select("query_id", F.size("embedding").alias("n")).orderBy("query_id").first()
-    of_length = whole & (F.size("embedding") == (first["n"] if first else 0))
-    return _top_k(vectors.where(of_length), queries.where(of_length & F.col("query_id").isNotNull()), k, most_queries)
-
-
-def _top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int) -> DataFrame:
-    asked = queries.select("query_id", "embedding").orderBy("query_id").limit(most_queries + 1).collect()
-    last = asked[-1]["query_id"] if len(asked) > most_queries else None
-    if last is not None and last != asked[0]["query_id"]:  # an id's queries are asked together
-        rest = _top_k(vectors, queries.where(F.col("query_id") >= last), k, most_queries)
-        return _top_k(vectors, queries.where(F.col("query_id") < last), k, most_queries).unionByName(rest)
-    if last is not None:
-        asked = queries.select("query_id", "embedding").where(F.col("query_id") == last).collect()
-        rest = _top_k(vectors, queries.where(F.col("query_id") > last), k, most_queries)
-        return _of_block(vectors, asked, dict(queries.dtypes)["query_id"], k).unionByName(rest)
-    return _of_block(vectors, asked, dict(queries.dtypes)["query_id"], k)
-
-
-def _of_block(vectors: DataFrame, asked: list, kind: str, k: int) -> DataFrame:
-    spark = vectors.sparkSession
-    ids = [r["query_id"] for r in asked]
-    matrix = np.array([r["embedding"] for r in asked], np.float64)
-    length = np.linalg.norm(matrix, axis=1, keepdims=True) if len(asked) else matrix
-    shared = spark.sparkContext.broadcast((ids, np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)))
+    if first is None:
+        return queries.select("query_id").limit(0).join(vectors.select("chunk_id").limit(0)).withColumn("sim", F.lit(0.0))
+    of_length = whole & (F.size("embedding") == first["n"])
+    asked = _blocks(queries.where(of_length & F.col("query_id").isNotNull()).withColumnRenamed("query_id", "id"), "q", query_rows)
+    held = _blocks(vectors.where(of_length).withColumnRenamed("chunk_id", "id"), "v", vector_rows)
 
     def best(batches):
-        ids, q = shared.value
         for batch in batches:
-            if not len(batch) or not ids:
-                continue
-            x = np.array(batch.embedding.tolist(), np.float64)
-            size = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, size, out=np.zeros_like(x), where=size > 0).T
-            names = batch.chunk_id.to_numpy()
-            for at in range(0, len(ids), _ROWS):
-                sims = q[at : at + _ROWS] @ x
+            for row in batch.itertuples():
+                ids, names = row.q_ids, np.array(row.v_ids, object)
+                sims = np.frombuffer(row.q_vectors).reshape(len(ids), -1) @ np.frombuffer(row.v_vectors).reshape(len(names), -1).T
                 near = np.round(sims, 9)
                 least = np.partition(near, -k, axis=1)[:, -k] if k < len(names) else np.full(len(near), -np.inf)
                 rows = []
-                for n, i in enumerate(ids[at : at + _ROWS]):
+                for n, i in enumerate(ids):
                     some = np.flatnonzero(near[n] >= least[n])  # the k best and what ties with the last
                     rows += [(i, names[j], sims[n, j]) for j in some[np.lexsort((names[some], -near[n, some]))[:k]]]
                 yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "sim"])
 
-    found = vectors.select("chunk_id", "embedding").mapInPandas(best, f"query_id {kind}, chunk_id string, sim double")
+    # blocks against blocks: the stated queries against all vectors
+    pairs = held.crossJoin(asked).repartition("q_block", "v_block")
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
+    found = pairs.mapInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, sim double")
     near = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("sim", 9)).alias("near"), "chunk_id", "sim"))), 1, k)
     return found.groupBy("query_id").agg(near.alias("best")).select("query_id", F.explode("best").alias("b")).select("query_id", "b.chunk_id", "b.sim")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,15 +77,29 @@ def testset_rows(samples: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def corpus_hash(entries: DataFrame) -> DataFrame:
-    """One row: sha256 of the sorted lines ``id:sha256(body)``. The lines are metadata, 70 bytes an entry."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "id", F.sha2("body", 256)))), "\n")
-    return entries.agg(F.sha2(lines, 256).alias("corpus_hash"))
+    """One row: sha256 of the sorted lines ``id:sha256(body)``."""
+    return _digest(entries.select(F.concat_ws(":", "id", F.sha2("body", 256)).alias("line")), b"\n", "corpus_hash")
+
+
+def _digest(lines: DataFrame, between: bytes, name: str) -> DataFrame:
+    """sha256 of all lines in order, the bytes ``between`` them. Partitions are sorted by range; the digest, which has to be
+    taken in one row, reads them one after the other and holds a batch."""
+
+    def run(batches):
+        digest, first = hashlib.sha256(), True
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                if line is not None:
+                    digest.update((b"" if first else between) + line.encode())
+                    first = False
+        yield pa.record_batch([pa.array([digest.hexdigest()])], [name])
+
+    return lines.orderBy("line").coalesce(1).mapInArrow(run, f"{name} string")
 
 
 def snapshot_hash(files: DataFrame) -> DataFrame:
     """files(path, content) -> one row: sha256 over the lines ``path<TAB>sha256`` in order of path."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat(F.col("path"), F.lit("\t"), F.sha2("content", 256), F.lit("\n")))), "")
-    return files.agg(F.sha2(lines, 256).alias("snapshot_hash"))
+    return _digest(files.select(F.concat(F.col("path"), F.lit("\t"), F.sha2("content", 256), F.lit("\n")).alias("line")), b"", "snapshot_hash")
 
 
 #: Of a set's header: the form of each value; fixed.

@@ -16,10 +16,13 @@ compacted. Scores are ordered after rounding to nine digits, ties by chunk id.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property, reduce
-from operator import or_
+from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +34,48 @@ from lorekeep.sources.segments import Segments, Snapshot
 
 #: Chunks in a range, as a power of two; ranges that a search scores first, at least.
 RANGE_BITS, FIRST_RANGES = 8, 8
+#: Ranges whose blocks of a term lie in one file, as a power of two.
+STRETCH_BITS = 12
 #: So many ranges are named in the scan's filter, more are joined; lower bounds on rounding.
 NAMED_RANGES, SLACK = 1000, 1e-8
 
 
+_BLOCKS = "term string, range long, n long, max_tf int, min_dl long, postings array<struct<doc:long,tf:int,dl:long>>, positions array<array<int>>"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a batch of docs; a range over two batches has two blocks of a term."""
+    for batch in batches:
+        terms, doc, dl = batch.column("terms"), batch.column("doc").to_numpy(), batch.column("dl").to_numpy()
+        flat = terms.flatten().dictionary_encode()
+        if not len(flat):
+            continue
+        lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(doc)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        ranges, of_range = np.unique(doc >> RANGE_BITS, return_inverse=True)
+        key = of_range[row] * len(flat.dictionary) + flat.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # rows and places stay in order
+        key, row, place = key[order], row[order], place[order]
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])])  # of postings
+        tf, of = np.diff(np.r_[starts, len(key)]).astype(np.int32), row[starts]
+        key = key[starts]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # of blocks, among postings
+        bounds = pa.array(np.r_[first, len(starts)].astype(np.int32))
+        posting = pa.StructArray.from_arrays([pa.array(doc[of]), pa.array(tf), pa.array(dl[of])], ["doc", "tf", "dl"])
+        places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(place)].astype(np.int32)), pa.array(place.astype(np.int32)))
+        columns = [
+            flat.dictionary.take(pa.array(key[first] % len(flat.dictionary))), pa.array(ranges[key[first] // len(flat.dictionary)]), pa.array(np.diff(np.r_[first, len(starts)])),
+            pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl[of], first)), pa.ListArray.from_arrays(bounds, posting), pa.ListArray.from_arrays(bounds, places),
+        ]
+        yield pa.record_batch(columns, ["term", "range", "n", "max_tf", "min_dl", "postings", "positions"])
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """docs(doc, dl, text) -> term, range, n, max_tf, min_dl, postings(doc, tf, dl, positions)."""
-    places = docs.select("doc", "dl", F.shiftright("doc", RANGE_BITS).alias("range"), F.posexplode(search_terms(F.col("text"))).alias("position", "term"))
-    # dealt once: both sums are within a range and a term
-    of_doc = places.repartition("range", "term").groupBy("range", "term", "doc").agg(
-        F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("position")).alias("positions")
-    )
-    return of_doc.groupBy("term", "range").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("doc", "tf", "dl", "positions"))).alias("postings")
-    )
+    """docs(doc, dl, text), a written table -> the columns of ``_BLOCKS``, grouped where the docs lie, then sorted by term."""
+    found = docs.select("doc", "dl", search_terms(F.coalesce("text", F.lit(""))).alias("terms")).mapInArrow(_grouped, _BLOCKS)
+    # dealt by term and by stretches of ranges, so that a common term's blocks are in many files
+    return found.repartition("term", F.shiftright("range", STRETCH_BITS)).sortWithinPartitions("term", "range")
 
 
 def write_index(log: Segments, chunks: DataFrame, deletes: DataFrame | None = None, others: dict[str, DataFrame] | None = None) -> tuple[str, dict[str, DataFrame], dict]:
@@ -58,7 +89,7 @@ def write_index(log: Segments, chunks: DataFrame, deletes: DataFrame | None = No
     ids = docs.select("entry_id")
     for more in [deletes] if deletes is not None else []:
         ids = ids.unionByName(more.select("entry_id"))
-    tables = {"docs": docs} | log.write(name, {"blocks": blocks(docs).repartitionByRange("term", "range").sortWithinPartitions("term", "range"), "ids": ids.distinct()} | (others or {}))
+    tables = {"docs": docs} | log.write(name, {"blocks": blocks(docs), "ids": ids.distinct()} | (others or {}))
     n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return name, tables, {"chunks": n, "terms": total}
 
@@ -87,35 +118,48 @@ class Search:
     def blocks(self) -> DataFrame:
         return self.snapshot.table("blocks").where(F.col("term").isin(self.terms))
 
-    @cached_property
+    @property
     def frequencies(self) -> dict[str, int]:
-        return {r.term: r.df for r in self.blocks.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row for each term asked
+        """In how many chunks each term asked is."""
+        return self._known[0]
 
-    def _score(self, leaf: Leaf, tf: Column, dl: Column) -> Column:
+    def _score(self, leaf: Leaf, tf: Column, dl: Column, df: list[Column]) -> Column:
         if not leaf.terms:
             return F.lit(1.0)
-        df = [F.lit(float(self.frequencies.get(t, 0))) for t in leaf.terms]
         idf = sum((F.log(1 + (self.n - d + 0.5) / (d + 0.5)) for d in df), F.lit(0.0))
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.mean_length))
 
-    def _by_term(self, value: Column) -> list[Column]:
-        return [F.max(F.when(F.col("term") == t, value)).alias(f"t{i}") for i, t in enumerate(self.terms)]
+    def _each(self, name: str, function: Callable, value: Column) -> list[Column]:
+        return [function(F.when(F.col("term") == t, value)).alias(f"{name}{i}") for i, t in enumerate(self.terms)]
 
-    def _of(self, leaf: Leaf) -> list[Column]:
-        return [F.col(f"t{self.terms.index(t)}") for t in leaf.terms]
+    def _of(self, name: str, leaf: Leaf) -> list[Column]:
+        return [F.col(f"{name}{self.terms.index(t)}") for t in leaf.terms]
 
     @cached_property
     def ranges(self) -> DataFrame:
-        """version, range, asked (its blocks), bound: ranges that may hold what is asked for, by the blocks' bounds alone."""
-        found = self.blocks.groupBy("version", "range").agg(F.count("*").alias("asked"), *self._by_term(F.struct("max_tf", "min_dl")))
+        """version, range, asked (its blocks), bound, df of each term: ranges that may hold what is asked for, by the blocks'
+        bounds alone."""
+        found = self.blocks.groupBy("version", "range").agg(F.count("*").alias("asked"), *self._each("tf", F.max, F.col("max_tf")), *self._each("dl", F.min, F.col("min_dl")))
+        total = self.blocks.agg(*self._each("df", F.sum, F.col("n")))  # one row
+        found = found.crossJoin(F.broadcast(total.fillna(0)))
         has, score = {}, {}
         for leaf in self.leaves:
-            of = self._of(leaf)
-            has[leaf] = F.coalesce(*of).isNotNull() if len(of) == 1 else ~F.array_contains(F.array(*(c.isNull() for c in of)), True)
+            tf, dl, df = (self._of(n, leaf) for n in ("tf", "dl", "df"))
+            has[leaf] = reduce(and_, (c.isNotNull() for c in tf), F.lit(True))
             # a phrase occurs no more often than its rarest term, in chunks no shorter than its longest shortest
-            tf, dl = ([c[f] for c in of] for f in ("max_tf", "min_dl"))
-            score[leaf] = self._score(leaf, tf[0] if len(of) == 1 else F.least(*tf), dl[0] if len(of) == 1 else F.greatest(*dl))
-        return found.where(querylang.matched(self.node, has, possibly=True)).select("version", "range", "asked", querylang.scored(self.node, score, has, possibly=True).alias("bound"))
+            score[leaf] = self._score(leaf, F.least(*tf), F.greatest(*dl), df) if len(tf) > 1 else self._score(leaf, *tf, *dl, df) if tf else F.lit(1.0)
+        dfs = [F.col(f"df{i}") for i in range(len(self.terms))]
+        return found.where(querylang.matched(self.node, has, possibly=True)).select("version", "range", "asked", querylang.scored(self.node, score, has, possibly=True).alias("bound"), *dfs)
+
+    @cached_property
+    def _known(self) -> tuple[dict[str, int], list, bool]:
+        """Frequencies, the ranges of the highest bounds, and whether they are all there are."""
+        few = self.ranges.orderBy(F.desc("bound"), "version", "range").limit(NAMED_RANGES + 1).collect() if self.terms else []
+        if not few and self.every and self.terms:  # no range has what is required beside
+            row = self.blocks.agg(*self._each("df", F.sum, F.col("n"))).fillna(0).first()
+        else:
+            row = few[0] if few else None
+        return {t: row[f"df{i}"] if row else 0 for i, t in enumerate(self.terms)}, few[:NAMED_RANGES], len(few) <= NAMED_RANGES
 
     def scores(self, ranges: DataFrame | list | None) -> DataFrame:
         """version, doc, score of the chunks that match, in these ranges; None: in all."""
@@ -125,23 +169,26 @@ class Search:
             hits = hits.where(reduce(or_, ((F.col("version") == v) & F.col("range").isin(named) for v, named in of.items()), F.lit(False)))
         elif ranges is not None:
             hits = hits.join(ranges.select("version", "range"), ["version", "range"], "left_semi")
-        hits = hits.select("version", "term", F.explode("postings").alias("p")).select("version", "term", "p.*")
         phrases = any(len(leaf.terms) > 1 for leaf in self.leaves)
-        found = hits.groupBy("version", "doc").agg(F.max("dl").alias("dl"), *self._by_term(F.struct("tf", "positions") if phrases else F.struct("tf")))
+        if phrases:  # else positions are not read
+            hits = hits.select("version", "term", F.explode(F.arrays_zip("postings", "positions")).alias("p")).select("version", "term", "p.postings.*", "p.positions")
+        else:
+            hits = hits.select("version", "term", F.explode("postings").alias("p")).select("version", "term", "p.*")
+        found = hits.groupBy("version", "doc").agg(F.max("dl").alias("dl"), *self._each("tf", F.max, F.col("tf")), *(self._each("at", F.max, F.col("positions")) if phrases else []))
         if self.every:
             found = self.snapshot.table("docs").select("version", "doc", F.col("dl").alias("own_dl")).join(found, ["version", "doc"], "left").withColumn("dl", F.coalesce("dl", "own_dl"))
         has, score, counts = {}, {}, {}
         for i, leaf in enumerate(self.leaves):
-            of = self._of(leaf)
+            of, df = self._of("tf", leaf), [F.lit(float(self.frequencies[t])) for t in leaf.terms]
             if len(of) > 1:
-                starts = [_moved(c["positions"], j) for j, c in enumerate(of)]
+                starts = [_moved(c, j) for j, c in enumerate(self._of("at", leaf))]
                 both = starts[0]
                 for s in starts[1:]:
                     both = F.array_intersect(both, s)
                 counts[f"c{i}"] = F.coalesce(F.size(both), F.lit(0))
             else:
-                counts[f"c{i}"] = F.coalesce(of[0]["tf"], F.lit(0)) if of else F.lit(1)
-            has[leaf], score[leaf] = F.col(f"c{i}") > 0, self._score(leaf, F.col(f"c{i}"), F.col("dl"))
+                counts[f"c{i}"] = F.coalesce(of[0], F.lit(0)) if of else F.lit(1)
+            has[leaf], score[leaf] = F.col(f"c{i}") > 0, self._score(leaf, F.col(f"c{i}"), F.col("dl"), df)
         found = found.withColumns(counts).where(querylang.matched(self.node, has))
         return found.select("version", "doc", querylang.scored(self.node, score, has).alias("score"))
 
@@ -150,14 +197,19 @@ class Search:
         docs = self.snapshot.visible(docs.join(scores, ["version", "doc"]))
         return self.keep(docs) if self.keep else docs
 
-    @cached_property
+    @property
     def first(self) -> list:
-        return self.ranges.orderBy(F.desc("bound"), "version", "range").limit(max(FIRST_RANGES, -(-self.k // 32))).collect()
+        return self._known[1][: max(FIRST_RANGES, -(-self.k // 32))]
 
     @cached_property
     def threshold(self) -> float:
         """The k-th score among the best ranges; minus infinity where they hold fewer."""
-        best = self._named(self.scores(self.first)).orderBy(F.desc("score")).limit(self.k).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        if self.first == self._known[1] and self._known[2]:
+            return float("-inf")  # they are all there are
+        scores = self.scores(self.first)
+        if self.keep or self.snapshot.hidden() is not None:
+            scores = self._named(scores)
+        best = scores.orderBy(F.desc("score")).limit(self.k).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
         return best.least - SLACK if best.n == self.k else float("-inf")
 
     @cached_property
@@ -165,14 +217,23 @@ class Search:
         """The ranges that can hold a chunk of the result."""
         return self.ranges.where(F.col("bound") >= self.threshold)
 
+    def matches(self) -> DataFrame:
+        """chunk_id, entry_id, kind, score of every chunk that matches, in no order."""
+        every = self.scores(None if self.every else self.ranges) if self.leaves and self.n else None
+        return self._named(every).select("chunk_id", "entry_id", "kind", "score") if every is not None else self._none()
+
+    def _none(self) -> DataFrame:
+        return self.snapshot.spark.createDataFrame([], "chunk_id string, entry_id string, kind string, score double")
+
     def top(self) -> DataFrame:
         """chunk_id, entry_id, kind, score, rn from 1: the k best."""
         if self.k <= 0 or not self.leaves or not self.n:
-            found = self._named(self.scores([])) if self.n else self.snapshot.spark.createDataFrame([], "chunk_id string, entry_id string, kind string, score double")
-            return retrieval.top_k(found.select("chunk_id", "entry_id", "kind", "score"), "score", 0)
+            return retrieval.top_k(self._none(), "score", 0)
         if self.every:
             scores = self.scores(None)
         else:
-            few = self.kept.limit(NAMED_RANGES + 1).collect()
-            scores = self.scores(few if len(few) <= NAMED_RANGES else self.kept).where(F.col("score") >= self.threshold)
+            named = [r for r in self._known[1] if r.bound >= self.threshold]
+            # the named ones are those of the highest bounds: the rest matters only if all of them can hold a result
+            whole = self._known[2] or len(named) < len(self._known[1])
+            scores = self.scores(named if whole else self.kept).where(F.col("score") >= self.threshold)
         return retrieval.top_k(self._named(scores).select("chunk_id", "entry_id", "kind", "score"), "score", self.k)

@@ -62,13 +62,17 @@ def confidence(top: Column, count: Column) -> Column:
     )
 
 
+def suggestion(n: Column, sure: Column, stale: Column | None = None, below: Column | None = None, cold: Column | None = None) -> Column:
+    """What to say of n results with such a confidence; null: nothing. below: whether a minimum score took all."""
+    no = F.lit(False)
+    return (
+        F.when(no if cold is None else cold, COLD).when((n == 0) & (no if below is None else below), BELOW_MINIMUM)
+        .when(no if stale is None else stale, STALE).when(sure == "low", UNSURE)
+    )
+
+
 def quality(results: DataFrame, score: str = "score", stale: bool = False, before_minimum: int = 0, cold: bool = False) -> DataFrame:
     """One row: n, confidence, suggestion. before_minimum: rows that a minimum score was applied to."""
     said = results.agg(F.max(score).alias("top"), F.count("*").alias("n")).withColumn("confidence", confidence(F.col("top"), F.col("n")))
-    text = lambda s: F.lit(s)
-    suggestion = (
-        F.when(F.lit(cold), text(COLD))
-        .when((F.col("n") == 0) & F.lit(before_minimum > 0), text(BELOW_MINIMUM))
-        .when(F.lit(stale), text(STALE)).when(F.col("confidence") == "low", text(UNSURE))
-    )
-    return said.select("n", "confidence", suggestion.alias("suggestion"))
+    what = suggestion(F.col("n"), F.col("confidence"), F.lit(stale), F.lit(before_minimum > 0), F.lit(cold))
+    return said.select("n", "confidence", what.alias("suggestion"))

@@ -13,6 +13,7 @@ from lorekeep.functions.spans import elapsed_ms, parse_value, tagged_value, valu
 from lorekeep.functions.vectors import cosine, top_k_per_query
 from lorekeep.operators import bm25, evalset, neardup, retrieval, supersede
 from lorekeep.operators.chunker import chunk_entries
+from lorekeep.operators.postings import Search
 from lorekeep.plans import tables as t
 from lorekeep.plans.tables import BUDGET, CANDIDATES, LIMIT, PRELUDE, QUERY
 from lorekeep.sources import traces
@@ -149,10 +150,13 @@ def f7_empty_chunks_skipped(spark, d):
     return parts.where("text <> ''").select(tx.chunk_id(F.col("id"), F.col("i")).alias("chunk_id"), "text")
 
 
-@query("SELECT 0::BIGINT AS n, 'none' AS confidence, 'the index is empty: run ingest' AS suggestion", prelude=False)
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS n, CASE WHEN n = 0 THEN 'the index is empty: run ingest' WHEN n < 3 THEN 'only weak matches were found' END AS suggestion FROM events GROUP BY user_id", prelude=False)
 def f8_cold_start(spark, d):
-    none = t.fused(spark, d).where("rn > 1000")
-    return retrieval.quality(none, "rrf", cold=True)
+    """Users as knowledge bases of their purchases: what a search says in each, where few entries are weak matches."""
+    n = F.count_if(F.col("event_type") == "purchase").alias("n")
+    found = t.table(spark, d, "events").groupBy("user_id").agg(n)
+    sure = F.when(F.col("n") < 3, "low").otherwise("high")
+    return found.select("user_id", "n", retrieval.suggestion(F.col("n"), sure, cold=F.col("n") == 0).alias("suggestion"))
 
 
 @query("SELECT (SELECT count(*) FROM documents) <> (SELECT count(DISTINCT text) FROM documents) AS stale")
@@ -211,12 +215,12 @@ def j7_query_by_vectors(spark, d):
     return rounded(t.with_similarity(spark, d).select("chunk_id", "sim"), "sim")
 
 
-@query("""SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM vecs a, vecs b
+@query("""SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM vecs a, vecs b WHERE a.vec_id % 100 = 0
 QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.chunk_id) <= 5""")
 def j7_many_queries_by_vectors(spark, d):
-    """Every vector asks, block by block; exact, so the work is the square of the vectors."""
+    """Vectors with an id divisible by 100 ask all, block by block."""
     v = t.vectors(spark, d)
-    return rounded(top_k_per_query(v, v.select(F.col("chunk_id").alias("query_id"), "embedding"), 5), "sim")
+    return rounded(top_k_per_query(v, v.where(F.col("entry_id").cast("long") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "embedding"), 5), "sim")
 
 
 @query("SELECT chunk_id, entry_id, round(sim, 6) AS sim FROM sims WHERE round(sim, 9) >= 0.3")
@@ -377,7 +381,22 @@ def p10_canary_strata(spark, d):
 
 @query("SELECT chunk_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY round(bm25, 9) DESC, chunk_id)::INT AS rn FROM bm QUALIFY rn <= 20")
 def l1_keyword_top_k(spark, d):
-    return rounded(retrieval.top_k(t.keyword_scores(spark, d), "bm25", 20), "bm25")
+    return _best(Search(t.all_chunks(spark, d), QUERY, 20))
+
+
+def _best(search: Search) -> DataFrame:
+    return rounded(search.top().select("chunk_id", F.col("score").alias("bm25"), "rn"), "bm25")
+
+
+@query("SELECT chunk_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY round(bm25, 9) DESC, chunk_id)::INT AS rn FROM live_bm QUALIFY rn <= 200")
+def l1_live_top_k(spark, d):
+    """Over a base, a later segment and deletes."""
+    return _best(Search(t.live(spark, d), QUERY, 200))
+
+
+@query("SELECT chunk_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY round(bm25, 9) DESC, chunk_id)::INT AS rn FROM live_bm JOIN live_chunks USING (chunk_id) WHERE kind = 'reference' QUALIFY rn <= 30")
+def l1_top_k_of_kind(spark, d):
+    return _best(Search(t.live(spark, d), QUERY, 30, lambda docs: docs.where("kind = 'reference'")))
 
 
 @query("SELECT chunk_id, round(sim, 6) AS sim, row_number() OVER (ORDER BY round(sim, 9) DESC, chunk_id)::INT AS rn FROM sims QUALIFY rn <= 20")
@@ -530,6 +549,29 @@ def t13_term_query(spark, d):
     return rounded(t.keyword_scores(spark, d), "bm25")
 
 
+_FREQ = """, freq AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+idf AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM freq CROSS JOIN corpus),
+one AS (SELECT p.chunk_id, p.term, w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM posts p JOIN idf USING (term) JOIN lens USING (chunk_id) CROSS JOIN corpus),
+phrase AS (SELECT chunk_id, tf, (SELECT sum(w) FROM idf WHERE term IN ('auf', 'der')) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s
+  FROM (SELECT chunk_id, len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'auf' AND ts[i + 1] = 'der')) AS tf FROM toks) JOIN lens USING (chunk_id) CROSS JOIN corpus WHERE tf > 0)
+"""
+
+
+@query(_FREQ + "SELECT chunk_id, round(s, 6) AS bm25 FROM phrase")
+def t13_phrase_query(spark, d):
+    """By positions; every chunk with the phrase."""
+    return rounded(Search(t.all_chunks(spark, d), '"auf der"', 0).matches().select("chunk_id", F.col("score").alias("bm25")), "bm25")
+
+
+@query(_FREQ + """SELECT chunk_id, round(coalesce(a.s, 0) + coalesce(b.s, 0) + 2.5 * coalesce(p.s, 0), 6) AS bm25
+FROM (SELECT DISTINCT chunk_id FROM posts) c LEFT JOIN (SELECT * FROM one WHERE term = 'the') a USING (chunk_id) LEFT JOIN (SELECT * FROM one WHERE term = 'thing') b USING (chunk_id) LEFT JOIN phrase p USING (chunk_id)
+WHERE (a.s IS NOT NULL AND b.s IS NOT NULL OR p.s IS NOT NULL) AND chunk_id NOT IN (SELECT chunk_id FROM posts WHERE term IN ('erin', 'ndea'))""")
+def t13_boolean_query(spark, d):
+    """Required, excluded and boosted parts in groups; every chunk that matches."""
+    found = Search(t.all_chunks(spark, d), '+((the AND thing) OR "auf der"^2.5) -erin -(ndea)', 0).matches()
+    return rounded(found.select("chunk_id", F.col("score").alias("bm25")), "bm25")
+
+
 @query("""SELECT doc_id, CASE WHEN b = '' THEN '' ELSE sha256(b || chr(10)) END AS body_sha FROM (
   SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(10), chr(13) || chr(10)) || '  ' || chr(13), '\\r\\n?', chr(10), 'g'), '\\s+$', '') AS b FROM docs)""")
 def t14_normalize_body(spark, d):
@@ -543,10 +585,12 @@ def t15_normalize_for_match(spark, d):
     return t.table(spark, d, "documents").select("doc_id", F.sha2(tx.normalize_for_match(F.col("text")), 256).alias("flat_sha"))
 
 
-@query("SELECT said, kind FROM (SELECT unnest(['Decision', 'LEARNING', 'reference', 'draft', '']) AS said, unnest(['decision', 'learning', 'reference', NULL, NULL]) AS kind)", prelude=False)
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN kind END AS kind FROM docs")
 def t16_parse_kind(spark, d):
-    said = spark.createDataFrame([(s,) for s in ("Decision", "LEARNING", "reference", "draft", "")], "said string")
-    return said.select("said", tx.parse_kind(F.col("said")).alias("kind"))
+    """Kinds in capitals, in small letters, and with the source in their place or behind them."""
+    doc_id, kind = F.col("doc_id"), t.kind_of(F.col("doc_id"))
+    said = F.when(doc_id % 3 == 0, F.upper(kind)).when(doc_id % 3 == 1, kind).when(doc_id % 2 == 0, F.col("source")).otherwise(F.concat(kind, F.lit(" "), F.col("source")))
+    return t.table(spark, d, "documents").select("doc_id", tx.parse_kind(said).alias("kind"))
 
 
 @query("SELECT event_id, array_to_string(list_filter(list_transform(string_split(event_type || ' ,, ' || user_id, ','), lambda p: trim(p)), lambda p: p <> ''), '|') AS parts FROM events", prelude=False)
@@ -560,10 +604,14 @@ def t18_query_id(spark, d):
     return t.table(spark, d, "conversations").select("conv_id", "turn", tx.query_id(F.col("role"), F.col("text")).alias("query_id"))
 
 
-@query("SELECT string_agg('superseded entry ''' || dst || ''' not found', '; ' ORDER BY dst) AS warning FROM (SELECT DISTINCT dst FROM ledges WHERE dst NOT IN (SELECT id FROM linked))")
+@query("""SELECT src AS id, string_agg('superseded entry ''' || dst || ''' not found', '; ' ORDER BY dst) AS warning
+FROM (SELECT src, unnest([dst, src || '-gone']) AS dst FROM ledges) WHERE dst NOT IN (SELECT id FROM linked) GROUP BY src""")
 def t20_missing_warning(spark, d):
-    missing = supersede.dangling(t.linked_entries(spark, d)).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return missing.select(tx.missing_warning(F.col("ids")).alias("warning"))
+    """For each entry that names targets which are not there; every one here names one more of that sort."""
+    e = t.linked_entries(spark, d)
+    named = e.select(F.col("id").alias("src"), F.explode("supersedes").alias("dst")).select("src", F.explode(F.array("dst", F.concat("src", F.lit("-gone")))).alias("id"))
+    missing = named.join(e.select("id"), "id", "left_anti").groupBy("src").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return missing.select(F.col("src").alias("id"), tx.missing_warning(F.col("ids")).alias("warning"))
 
 
 @query("SELECT chunk_id FROM chunks")
@@ -632,8 +680,8 @@ def _precision(v, asked):
     return hits.groupBy(F.col("own").alias("label")).agg(F.round(F.avg((F.col("label") == F.col("own")).cast("int")), 6).alias("recall_at_5"))
 
 
-@query("SELECT label, round(avg(hit), 6) AS recall_at_5 FROM (SELECT q.label, (e.label = q.label)::INT AS hit FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) q, (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e WHERE e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 5) GROUP BY label", prelude=False)
+@query("SELECT label, round(avg(hit), 6) AS recall_at_5 FROM (SELECT q.label, (e.label = q.label)::INT AS hit FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e WHERE e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 5) GROUP BY label", prelude=False)
 def x1_precision_by_label(spark, d):
-    """The same with every vector as a query."""
+    """Of the vectors with an id divisible by 100 among all."""
     v = t.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
-    return _precision(v, v)
+    return _precision(v, v.where(F.col("chunk_id").cast("long") % 100 == 0))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import chunk_id, iso_time, search_terms
 from lorekeep.functions.vectors import cosine
-from lorekeep.operators import bm25, retrieval, supersede
+from lorekeep.operators import bm25, postings, retrieval, supersede
 from lorekeep.schema import KINDS
-from lorekeep.session import ship
+from lorekeep.session import shared_folder, ship
+from lorekeep.sources.segments import Segments, Snapshot
 
 #: Terms of the standing keyword query.
 QUERY = "erin thing ndea the schung"
@@ -93,9 +96,37 @@ def keyword_scores(spark: SparkSession, sf_dir: str, allowed: DataFrame | None =
     return bm25.score(asked.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")), bm25.lengths(c), QUERY_TERMS, allowed)
 
 
+_INDEXES: dict[tuple[str, str], Segments] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Segments:
+    """The keyword index of the chunks, made by the application's first query that asks for it: a segment of nine tenths, one
+    of the rest, and one that deletes superseded entries."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        log, every = Segments(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"), chunks(spark, sf_dir)
+        late = F.col("entry_id").cast("long") % 10 == 9
+        log.add(*postings.write_index(log, every.where(~late)))
+        log.add(*postings.write_index(log, every.where(late)))
+        gone = superseded(spark, sf_dir).select(F.col("id").alias("entry_id"))
+        name = uuid.uuid4().hex
+        log.add(name, log.write(name, {"ids": gone}), {})
+        _INDEXES[key] = log
+    return _INDEXES[key]
+
+
+def all_chunks(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The index before anything was deleted."""
+    return index(spark, sf_dir).snapshot(2)
+
+
+def live(spark: SparkSession, sf_dir: str) -> Snapshot:
+    return index(spark, sf_dir).snapshot()
+
+
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates: chunk_id, rrf, rn."""
-    keyword = retrieval.top_k(keyword_scores(spark, sf_dir, live_chunks(spark, sf_dir)), "bm25", CANDIDATES)
+    keyword = postings.Search(live(spark, sf_dir), QUERY, CANDIDATES).top()
     near = retrieval.top_k(with_similarity(spark, sf_dir, live_vectors(spark, sf_dir)), "sim", CANDIDATES)
     return retrieval.top_k(retrieval.fuse([keyword, near], RRF_K), "rrf", CANDIDATES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,6 +12,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Local mode, one machine, can do with a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lorekeep-")
+
+
 def ship(spark: SparkSession) -> None:
     """Adds this package to the application's Python files, once: executors may not have it installed."""
     if spark.sparkContext.applicationId not in _shipped:
