@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions.text import normalize_for_match, query_id, trimmed
 
@@ -16,45 +18,63 @@ MIN_MATCH_CHARS = 40
 #: Queries of each type, and the kinds they aim at; fixed values.
 QUERY_TYPES = {"lookup": 6, "multi-hop": 6, "reasoning": 4, "cross-kind": 4}
 TARGET_KINDS = ("learning", "reference", "decision", "instruction", "mixed")
-_ANCHOR_WORDS = 5
+#: Bytes of contexts that are sought at once.
+BLOCK_BYTES = 16 << 20
 
 
-def match_contexts(contexts: DataFrame, entries: DataFrame, min_chars: int = MIN_MATCH_CHARS) -> DataFrame:
+def match_contexts(contexts: DataFrame, entries: DataFrame, min_chars: int = MIN_MATCH_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """contexts(context_id, context), entries(id, body) -> context_id, ids (sorted), method.
 
-    A context is sought in bodies as it is, then with white space made single. Candidates come from
-    an equality join: any body that holds a context holds, in its normal form, the context's inner
-    words in a row; so the run of _ANCHOR_WORDS words after the context's first is looked up among
-    the runs of bodies. Only contexts with fewer inner words meet every body.
+    A context is sought in bodies as it is, and with white space made single. The contexts are dealt into blocks of bounded
+    bytes; an automaton of all strings of a block runs once over each body, in the body's own partition, whatever the
+    contexts' lengths; bodies are read once a block and never shuffled.
     """
-    needle = contexts.withColumn("needle", trimmed(F.col("context")))
-    needle = needle.withColumn("flat", normalize_for_match(F.col("needle"))).withColumn("inner", F.split("flat", " "))
-    asked = needle.where(F.length("needle") >= min_chars)
-    runs = F.slice("inner", 2, _ANCHOR_WORDS)
-    long = F.size("inner") >= _ANCHOR_WORDS + 2
-    bodies = entries.select("id", "body", normalize_for_match(F.col("body")).alias("flat_body")).withColumn("words", F.split("flat_body", " "))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - _ANCHOR_WORDS + 1, F.lit(1)))
-    anchored = asked.where(long).select("context_id", F.array_join(runs, " ").alias("anchor"))
-    found = (
-        bodies.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, _ANCHOR_WORDS), " ")))).alias("anchor"))
-        .join(anchored, "anchor").select("context_id", "id").distinct()
-    )
-    pairs = found.join(asked.select("context_id", "needle", "flat"), "context_id").join(bodies.select("id", "body", "flat_body"), "id")
-    few = asked.where(~long).select("context_id", "needle", "flat")
-    pairs = pairs.unionByName(few.join(bodies.select("id", "body", "flat_body"), F.contains("flat_body", "flat")), allowMissingColumns=True)
-    hits = (
-        pairs.where(F.contains("flat_body", "flat"))
-        .groupBy("context_id").agg(
-            F.array_sort(F.collect_set(F.when(F.contains("body", "needle"), F.col("id")))).alias("exact"),
-            F.array_sort(F.collect_set("id")).alias("normal"),
-        )
-    )
-    ids = F.when(F.size("exact") > 0, F.col("exact")).when(F.size("normal") > 0, F.col("normal")).otherwise(F.array().cast("array<string>"))
+    needle = contexts.withColumn("needle", trimmed(F.col("context"))).withColumn("flat", normalize_for_match(F.col("needle")))
+    asked = needle.where(F.length("needle") >= min_chars).select("context_id", "needle", "flat")
+    bodies = entries.select("id", "body", normalize_for_match(F.col("body")).alias("flat_body")).where("flat_body is not null")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("flat")), F.lit(0))).first()[0]
+    blocks = -(-size // block_bytes)
+    kinds = dict(contexts.dtypes)["context_id"], dict(entries.dtypes)["id"]
+    found = contexts.sparkSession.createDataFrame([], f"context_id {kinds[0]}, id {kinds[1]}, exact boolean")
+    for i in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("context_id", "flat"), F.lit(blocks)) == i).collect()  # block_bytes, about
+        if block:
+            found = found.unionByName(_matches(bodies, block, kinds))
+    hits = found.groupBy("context_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("id")))).alias("exact"), F.array_sort(F.collect_set("id")).alias("normal")
+    )
+    ids = F.when(F.size("exact") > 0, F.col("exact")).when(F.size("normal") > 0, F.col("normal")).otherwise(F.array().cast(f"array<{kinds[1]}>"))
     method = (
         F.when(F.col("needle") == "", "none").when(F.length("needle") < min_chars, "too_short")
         .when(F.size("exact") > 0, "exact").when(F.size("normal") > 0, "normalized").otherwise("none")
     )
-    return needle.join(hits, "context_id", "left").select("context_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), method.alias("method"))
+    return needle.join(hits, "context_id", "left").select("context_id", F.coalesce(ids, F.array().cast(f"array<{kinds[1]}>")).alias("ids"), method.alias("method"))
+
+
+def _matches(bodies: DataFrame, block: list, kinds: tuple[str, str]) -> DataFrame:
+    """context_id, id, exact: the bodies(id, body, flat_body) that hold a context of the block."""
+    of: dict[str, list] = {}
+    for r in block:
+        of.setdefault(r.flat, []).append((r.context_id, r.needle))
+    shared = bodies.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches):
+        of = shared.value
+        automaton = ahocorasick.Automaton()
+        for flat in of:
+            automaton.add_word(flat, flat)
+        automaton.make_automaton()
+        for batch in batches:
+            rows = []
+            for i, body, flat_body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), batch.column("flat_body").to_pylist(), strict=True):
+                for flat in {f for _, f in automaton.iter(flat_body)}:
+                    rows += [(context_id, i, needle in body) for context_id, needle in of[flat]]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((types[0], types[1], pa.bool_()))]
+            yield pa.record_batch(columns, ["context_id", "id", "exact"])
+
+    schema = f"context_id {kinds[0]}, id {kinds[1]}, exact boolean"
+    types = [f.type for f in to_arrow_schema(bodies.sparkSession.createDataFrame([], schema).schema)]
+    return bodies.mapInArrow(run, schema)
 
 
 def testset_rows(samples: DataFrame, entries: DataFrame) -> DataFrame:

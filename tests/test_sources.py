@@ -69,6 +69,10 @@ def test_matching(spark):
     bodies = spark.createDataFrame([("1", f"x {long} y"), ("2", f"x {long.replace(' ', chr(10))} y"), ("3", "longword" * 9)], "id string, body string")
     asked = [(1, f" {long} "), (2, long.replace(" of", "  of")), (3, "short"), (4, ""), (5, "z" * 50), (6, "ongword" + "longword" * 5)]
     found = {r["context_id"]: (r["ids"], r["method"]) for r in match_contexts(spark.createDataFrame(asked, "context_id int, context string"), bodies).collect()}
+    one_each = match_contexts(spark.createDataFrame(asked, "context_id int, context string"), bodies, block_bytes=300)
+    assert {r["context_id"]: (r["ids"], r["method"]) for r in one_each.collect()} == found
+    plan = one_each._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan
     assert found == {1: (["1"], "exact"), 2: (["1", "2"], "normalized"), 3: ([], "too_short"), 4: ([], "none"), 5: ([], "none"), 6: (["3"], "exact")}
 
 
