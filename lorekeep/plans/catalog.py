@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,12 @@ from pyspark.sql.window import Window
 from lorekeep.functions import text as tx
 from lorekeep.functions.spans import elapsed_ms, parse_value, tagged_value, value_text
 from lorekeep.functions.vectors import cosine, top_k_per_query
-from lorekeep.operators import bm25, evalset, neardup, retrieval, supersede
+from lorekeep.operators import batch, bm25, evalset, neardup, retrieval, supersede
 from lorekeep.operators.chunker import chunk_entries
 from lorekeep.operators.postings import Search
 from lorekeep.plans import tables as t
 from lorekeep.plans.tables import BUDGET, CANDIDATES, LIMIT, PRELUDE, QUERY
+from lorekeep.session import shared_folder
 from lorekeep.sources import traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,6 +299,28 @@ def a3_best_near_duplicate(spark, d):
     return rounded(neardup.best_match(v, F.col("q"), 0.2).select("chunk_id", "sim"), "sim")
 
 
+_BATCH = """, unit AS (SELECT vec_id, entry_id AS id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vecs),
+turns AS (SELECT vec_id, id, row_number() OVER (ORDER BY vec_id) AS turn, vec_id % 11 = 5 AS named FROM unit WHERE vec_id % 5 <> 0),
+pairs AS (SELECT x.vec_id, y.id, round(list_dot_product(x.v, y.v), 9) AS sim FROM unit x JOIN unit y
+  ON x.vec_id % 5 <> 0 AND x.vec_id % 11 <> 5 AND x.vec_id <> y.vec_id AND (y.vec_id % 5 = 0 OR y.vec_id < x.vec_id)),
+wanted AS (SELECT vec_id, list(id ORDER BY sim DESC, id || ':0') AS ids, list(sim ORDER BY sim DESC, id || ':0') AS sims FROM pairs WHERE sim >= 0.3 GROUP BY vec_id),
+turn AS (SELECT turn, t.id, named, CAST(t.vec_id - 4 AS VARCHAR) AS target, ids, sims FROM turns t LEFT JOIN wanted USING (vec_id)),
+written AS (SELECT 0::BIGINT AS turn, NULL::VARCHAR AS target, []::VARCHAR[] AS gone UNION ALL
+  SELECT turn, took, CASE WHEN took IS NULL THEN gone ELSE list_append(gone, took) END FROM (
+    SELECT t.turn, w.gone, CASE WHEN named THEN t.target ELSE list_filter(ids, lambda i: NOT list_contains(w.gone, i))[1] END AS took FROM written w JOIN turn t ON t.turn = w.turn + 1))
+"""
+
+
+@query(_BATCH + "SELECT t.id, w.target, CASE WHEN NOT named THEN round(sims[list_position(ids, w.target)], 6) END AS similarity FROM written w JOIN turn t USING (turn)")
+def p3_write_batch(spark, d):
+    """A fifth of the vectors is the index, the others are written in order, some with targets; as if one by one."""
+    v = t.table(spark, d, "embeddings").select("vec_id", "embedding", F.col("vec_id").cast("string").alias("id"), tx.chunk_id(F.col("vec_id").cast("string"), F.lit(0)).alias("chunk_id"))
+    new, old = v.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "seq"), v.where("vec_id % 5 = 0").withColumnRenamed("id", "entry_id")
+    targets = F.when(F.col("seq") % 11 == 5, F.array((F.col("seq") - 4).cast("string")))
+    found = batch.resolve(new.withColumn("supersedes", targets), new.withColumnRenamed("id", "entry_id"), old, 0.3, f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}")
+    return rounded(found.select("id", F.element_at(F.when(F.size("supersedes") > 0, F.col("supersedes")), 1).alias("target"), "similarity"), "similarity")
+
+
 @query("SELECT DISTINCT dst AS id FROM ledges WHERE dst NOT IN (SELECT id FROM lwinners)")
 def a4_superseded_set(spark, d):
     return supersede.superseded_ids(t.linked_entries(spark, d))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import missing_warning, search_terms
 from lorekeep.functions.vectors import cosine
-from lorekeep.operators import neardup, postings, retrieval, supersede
+from lorekeep.operators import batch, neardup, postings, retrieval, supersede
 from lorekeep.operators.chunker import chunk_entries
 from lorekeep.schema import DEFAULT_KIND, ENTRIES, KINDS, Config
 from lorekeep.session import ship
@@ -77,13 +77,13 @@ class KnowledgeBase:
         if not self.index.versions():
             self.index.commit(lambda last, version: (last.segments, {"entry_count": 0} | last.meta))
 
-    def _written(self, entries: DataFrame) -> tuple[str, dict[str, DataFrame], dict]:
-        """A segment of entries, not yet part of a version."""
+    def _written(self, entries: DataFrame, resolved: Callable[[DataFrame], DataFrame] | None = None) -> tuple[str, dict[str, DataFrame], dict]:
+        """A segment of entries, not yet part of a version. resolved: from the vectors to the entries as they are to be held."""
         chunks = chunk_entries(entries, self.config.chunking).where("text <> ''")
         # every entry is one that the segment holds, also without a chunk
-        name, tables, figures = postings.write_index(self.index, chunks, entries.select(F.col("id").alias("entry_id")), {"entries": entries})
-        vectors = tables["docs"].select("chunk_id", "entry_id", "kind", self.embed(F.col("text")).alias("embedding"))
-        return name, tables | self.index.write(name, {"vectors": vectors}), figures
+        name, tables, figures = postings.write_index(self.index, chunks, entries.select(F.col("id").alias("entry_id")))
+        tables |= self.index.write(name, {"vectors": tables["docs"].select("chunk_id", "entry_id", "kind", self.embed(F.col("text")).alias("embedding"))})
+        return name, tables | self.index.write(name, {"entries": resolved(tables["vectors"]) if resolved else entries}), figures
 
     @staticmethod
     def _entries(at: Snapshot) -> DataFrame:
@@ -177,6 +177,65 @@ class KnowledgeBase:
         self.index.add(*new, meta=lambda was: {"last_ingest": source.now(), "entry_count": was.get("entry_count", 0) + 1})
         return {"id": entry["id"], "action": "superseded" if targets else "created", "superseded": targets, "similarity": similarity, "warning": warning}
 
+    def write_batch(self, writes: DataFrame) -> DataFrame:
+        """Writes entries as ``write`` would one by one, in the order of seq: seq, id, action, superseded, similarity, warning.
+
+        writes(seq long, content string, kind string, tags array<string>, supersedes array<string>): seq is unique and from 0 to
+        2^44 - 1. Null content is empty, a null kind the default, null lists are empty; an unknown kind or a wrong seq is an error
+        before anything is written. Targets are ids that the index has; others give a warning. All entries make one segment and
+        one version: readers see all or none. Files are written by tasks, under names that hold when a task runs again.
+        """
+        kind = F.lower(F.coalesce("kind", F.lit(DEFAULT_KIND)))
+        asked = writes.select("seq", F.coalesce("content", F.lit("")).alias("body"), kind.alias("kind"), *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("tags", "supersedes")))
+        for row in asked.where(~F.col("kind").isin(*KINDS)).limit(1).collect():
+            raise ValueError(f"unknown kind: {row['kind']}")
+        wrong = F.col("seq").isNull() | ~F.col("seq").between(0, 2**44 - 1) | (F.col("n") > 1)
+        for row in asked.groupBy("seq").agg(F.count("*").alias("n")).where(wrong).limit(1).collect():
+            raise ValueError(f"seq is not unique or out of range: {row['seq']}")
+        at, staging = self.index.snapshot(), f"{self.index.folder}/staging/{uuid.uuid4().hex}"
+        part = lambda places, digits: F.lpad(F.lower(F.hex(F.shiftright("seq", places).bitwiseAND(16**digits - 1))), digits, "0")
+        stamp, token = f"{time.time_ns() // 1_000_000:012x}", uuid.uuid4().hex[:7]
+        # version 7 of UUIDs with seq as their counter: ids are in the order of the writes
+        name = F.concat(F.lit(f"{stamp[:8]}-{stamp[8:]}-7"), part(32, 3), F.lit("-8"), part(20, 3), F.lit("-"), part(0, 5), F.lit(token))
+        body = F.regexp_replace("body", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+        asked = asked.select("seq", name.alias("id"), F.lit(source.now()).alias("created_at"), "kind", "supersedes", "tags", body.alias("body"))
+        try:
+            asked.withColumn("embedding", self.embed(F.when(F.col("body") != "", F.col("body")))).write.parquet(f"{staging}/asked")
+            asked = self.spark.read.parquet(f"{staging}/asked")
+            if at.segments:
+                live, known = self._vectors(at).select("chunk_id", "entry_id", "embedding"), self._entries(at).select("id")
+            else:
+                live, known = self.spark.createDataFrame([], "chunk_id string, entry_id string, embedding array<float>"), self.spark.createDataFrame([], "id string")
+            found: list[DataFrame] = []
+
+            def resolved(vectors: DataFrame) -> DataFrame:
+                chunks = vectors.join(asked.select("seq", F.col("id").alias("entry_id")), "entry_id")
+                found.append(batch.resolve(asked.select("seq", "id", "supersedes", "embedding"), chunks, live, self.config.search.dedup_threshold, f"{staging}/resolved"))
+                return asked.drop("seq", "embedding", "supersedes").join(found[0].select("id", "supersedes"), "id").select("id", "created_at", "kind", "supersedes", "tags", "body")
+
+            segment, tables, figures = self._written(asked.select("id", "created_at", "kind", "supersedes", "tags", "body"), resolved)
+            named = asked.select("seq", F.explode("supersedes").alias("id"))
+            missing = named.join(known, "id", "left_anti").groupBy("seq").agg(missing_warning(F.array_sort(F.collect_set("id"))).alias("warning"))
+            said = found[0].join(missing, "seq", "left").select(
+                "seq", "id", F.when(F.size("supersedes") > 0, "superseded").otherwise("created").alias("action"), F.col("supersedes").alias("superseded"), "similarity", "warning"
+            )
+            said = self.index.write(segment, {"written": said})["written"]  # beside the segment's tables, gone with them
+            folder = self.entries_dir
+
+            def write(parts):
+                for rows in parts:
+                    for row in rows.to_dict("records"):
+                        source.write_entry(folder, row | {"supersedes": list(row["supersedes"]), "tags": list(row["tags"])})
+                    yield pd.DataFrame({"n": [len(rows)]})
+
+            n = tables["entries"].mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if n:
+                self.index.add(segment, tables, figures, meta=lambda was: {"last_ingest": source.now(), "entry_count": was.get("entry_count", 0) + n})
+            return said
+        finally:
+            fs, path = self.index._file(staging)
+            fs.delete(path, True)
+
     def compact(self) -> Snapshot:
         """Writes what is visible as one segment in the place of all; what is written meanwhile stays beside it."""
         while True:

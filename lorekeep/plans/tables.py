@@ -139,7 +139,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables in SQL; parts that a query doesn't name are not run.
 PRELUDE = r"""
-WITH docs AS (SELECT doc_id, text, lang, source, ['decision','learning','instruction','reference'][(doc_id % 4 + 1)::INT] AS kind, CAST(doc_id AS VARCHAR) AS id,
+WITH RECURSIVE docs AS (SELECT doc_id, text, lang, source, ['decision','learning','instruction','reference'][(doc_id % 4 + 1)::INT] AS kind, CAST(doc_id AS VARCHAR) AS id,
     strftime(to_timestamp(1700000000 + doc_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM documents),
 firsts AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text),
 entries AS (SELECT id, created_at, kind, CASE WHEN f.first < d.doc_id THEN [CAST(f.first AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS supersedes, [lang, source] AS tags, d.text AS body

@@ -100,3 +100,41 @@ def test_an_entry_written_anew(spark, tmp_path):
     kb.index.add(name, tables, figures)
     assert [r["content"] for r in kb.search("words")[0].collect()] == ["new words there"]
     assert kb.index.snapshot(at.version).table("docs").first()["text"] == "old words here"
+
+
+def test_a_batch_of_writes(spark, tmp_path):
+    """The same as one write after the other, seen at once; one version."""
+    said = [
+        (3, "Rivers carry water to the sea.", "learning", None, None), (5, "  Rivers carry water to the sea!\n", "DECISION", ["a"], []), (9, "", None, None, None),
+        (11, "Stones lie on the ground, heavy and grey.", None, ["b"], ["ghost"]), (12, "Rivers carry water to the sea?", "reference", None, None), (2**43, "Stones lie on the ground; heavy and grey", None, [], None),
+    ]
+    writes = spark.createDataFrame(said, "seq long, content string, kind string, tags array<string>, supersedes array<string>")
+    one, all_at_once = KnowledgeBase(spark, str(tmp_path / "one")), KnowledgeBase(spark, str(tmp_path / "all"))
+    first = {"rivers": [kb.write("Rivers carry the water to the sea", "learning")["id"] for kb in (one, all_at_once)]}
+    want, names = [], {first["rivers"][0]: "first"}
+    for seq, content, kind, tags, supersedes in said:
+        done = one.write(content, kind or "learning", tags, supersedes)
+        names[done["id"]] = seq
+        want.append((seq, done["action"], [names.get(i, i) for i in done["superseded"]], done["similarity"] and round(done["similarity"], 6), done["warning"]))
+    before = all_at_once.index.snapshot().version
+    found = all_at_once.write_batch(writes).orderBy("seq").collect()
+    names = {first["rivers"][1]: "first"} | {r["id"]: r["seq"] for r in found}
+    assert [(r["seq"], r["action"], [names.get(i, i) for i in r["superseded"]], r["similarity"] and round(r["similarity"], 6), r["warning"]) for r in found] == want
+    assert [w[2] for w in want] == [["first"], [3], [], ["ghost"], [5], [11]]
+    assert all_at_once.index.snapshot().version == before + 1 and [r["id"] for r in found] == sorted(r["id"] for r in found)
+    state = all_at_once.status().first()
+    assert state["entry_count"] == 7 and not state["stale"]
+    live = {r["id"] for r in all_at_once.search("rivers stones", limit=9)[0].collect()}
+    assert {names[i] for i in live} == {12, 2**43}
+    all_at_once.ingest()  # the files hold the same
+    assert {r["id"] for r in all_at_once.search("rivers stones", limit=9)[0].collect()} == live
+
+
+def test_a_batch_that_is_refused(spark, tmp_path):
+    import pytest
+
+    kb, kind = KnowledgeBase(spark, str(tmp_path)), "seq long, content string, kind string, tags array<string>, supersedes array<string>"
+    for rows in ([(1, "x", "draft", None, None)], [(1, "x", None, None, None), (1, "y", None, None, None)], [(-1, "x", None, None, None)], [(None, "x", None, None, None)]):
+        with pytest.raises(ValueError):
+            kb.write_batch(spark.createDataFrame(rows, kind))
+    assert kb.write_batch(spark.createDataFrame([], kind)).count() == 0 and kb.index.versions() == []
