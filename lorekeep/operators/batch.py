@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from lorekeep.functions.vectors import top_k_per_query
 
 #: Writes that are settled in one task; candidates that are looked up for each ahead.
-BLOCK, DEPTH = 1024, 32
+BLOCK, DEPTH = 2048, 32
 _INDEX, _EARLIER, _INSIDE = 0, 1, 2
 _CANDIDATE = "seq long, entry_id string, chunk_id string, near double, source int, listed int, gone boolean"
 _SETTLED = "seq long, id string, supersedes array<string>, similarity double"
