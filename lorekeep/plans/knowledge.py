@@ -29,6 +29,7 @@ from lorekeep.session import ship
 from lorekeep.sources import entries as source
 from lorekeep.sources.segments import Conflict, Segments, Snapshot
 from lorekeep.sources.traces import read_lines, recent_traces
+from lorekeep.streaming import maintenance
 
 DIM = 256
 
@@ -90,7 +91,9 @@ class KnowledgeBase:
         return at.visible(at.table("entries").withColumnRenamed("id", "entry_id")).withColumnRenamed("entry_id", "id")
 
     def _superseded(self, at: Snapshot) -> DataFrame:
-        return supersede.superseded_ids(self._entries(at)).select(F.col("id").alias("entry_id"))
+        """entry_id of what is superseded: from the links that a stream keeps, if all segments are its own, else from the entries."""
+        found = maintenance.superseded(at.table("links")) if maintenance.stream_of(at) else supersede.superseded_ids(self._entries(at))
+        return found.select(F.col("id").alias("entry_id"))
 
     def _vectors(self, at: Snapshot) -> DataFrame:
         return at.visible(at.table("vectors")).join(self._superseded(at), "entry_id", "left_anti")
@@ -244,7 +247,11 @@ class KnowledgeBase:
                 return at
             docs = at.visible(at.table("docs")).drop("version", "doc", "dl")
             entries = self._entries(at).drop("version")
-            name, tables, figures = postings.write_index(self.index, docs, entries.select(F.col("id").alias("entry_id")), {"entries": entries, "vectors": at.visible(at.table("vectors")).drop("version")})
+            others = {"entries": entries, "vectors": at.visible(at.table("vectors")).drop("version")}
+            if stream := maintenance.stream_of(at):
+                others |= {"links": maintenance.last_links(at), "skipped": at.table("skipped").drop("version")}
+            name, tables, figures = postings.write_index(self.index, docs, entries.select(F.col("id").alias("entry_id")), others)
+            figures |= {"stream": stream} if stream else {}
             try:
                 return self.index.compacted(name, tables, figures, of=at)
             except Conflict:

@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="lorekeep-")
 
 
+def in_copy(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A copy of the session with other settings."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for name, value in settings.items():
+        own.conf.set(name, value)
+    return own
+
+
 def ship(spark: SparkSession) -> None:
     """Adds this package to the application's Python files, once: executors may not have it installed."""
     if spark.sparkContext.applicationId not in _shipped:
