@@ -19,6 +19,8 @@ from lorekeep.plans import tables as t
 from lorekeep.plans.tables import BUDGET, CANDIDATES, LIMIT, PRELUDE, QUERY
 from lorekeep.session import shared_folder
 from lorekeep.sources import traces
+from lorekeep.sources.segments import Segments
+from lorekeep.streaming import maintenance
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -326,6 +328,34 @@ def a4_superseded_set(spark, d):
     return supersede.superseded_ids(t.linked_entries(spark, d))
 
 
+@query("SELECT coalesce(l.id, s.id) AS id, l.created_at, s.id IS NOT NULL AS superseded FROM linked l FULL JOIN (SELECT DISTINCT dst AS id FROM ledges WHERE dst NOT IN (SELECT id FROM lwinners)) s ON l.id = s.id")
+def s9_supersession_stream(spark, d):
+    """The linked entries as a stream that is stopped and started again between two waves; a third of them come in two versions, the older
+    of which names others. Which of an entry's versions and of a pair's halves comes first is left to a hash."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    now = t.linked_entries(spark, d)
+    others = F.array(F.col("id"), (F.col("id").cast("long") + 2).cast("string"))
+    older = now.where(F.col("id").cast("long") % 3 == 1).withColumns({"created_at": F.concat(F.lit("0"), "created_at"), "supersedes": others})
+    fields = {"tags": F.array().cast("array<string>"), "body": F.lit(None).cast("string"), "file": F.col("id"), "error": F.lit(None).cast("string")}
+    rows = now.unionByName(older).withColumns(fields).withColumn("wave", F.pmod(F.xxhash64("id", "created_at"), F.lit(2)))
+    own, log = maintenance.rocks(spark), Segments(spark, f"{folder}/index")
+
+    def write(entries, skipped):
+        name = uuid.uuid4().hex
+        held = entries.select(F.col("id").alias("entry_id"), "created_at")
+        return name, log.write(name, {"entries": held, "ids": held.select("entry_id")}), {}
+
+    for wave in (0, 1):
+        rows.where(F.col("wave") == wave).drop("wave").write.mode("append").parquet(f"{folder}/arrived")
+        arrived = own.readStream.schema(rows.drop("wave").schema).parquet(f"{folder}/arrived")
+        maintenance.start(arrived, maintenance.commits(log, write, f"{folder}/checkpoint"), f"{folder}/checkpoint").awaitTermination()
+    at = log.snapshot()
+    if not at.segments:
+        return spark.createDataFrame([], "id string, created_at string, superseded boolean")
+    held = at.visible(at.table("entries")).select(F.col("entry_id").alias("id"), "created_at")
+    return held.join(maintenance.superseded(at.table("links")).withColumn("superseded", F.lit(True)), "id", "full").select("id", "created_at", F.coalesce("superseded", F.lit(False)).alias("superseded"))
+
+
 @query("SELECT id, 'visible' AS part FROM linked WHERE id NOT IN (SELECT dst FROM ledges) UNION ALL SELECT DISTINCT dst, 'superseded' FROM ledges UNION ALL SELECT DISTINCT dst, 'dangling' FROM ledges WHERE dst NOT IN (SELECT id FROM linked)")
 def a5_visible_partition(spark, d):
     e = t.linked_entries(spark, d)

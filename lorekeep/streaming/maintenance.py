@@ -16,8 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -41,22 +40,17 @@ class Versions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._known = handle.getValueState("known", "created_at string, digest string, targets array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:
-            for part in rows:
-                yield part.assign(was=[[]] * len(part))[[*_FIELDS, "file", "error", "was"]]
+            for row in rows:
+                yield Row(**{f: row[f] for f in [*_FIELDS, "file", "error"]}, was=[])
             return
-        best = None
-        for part in rows:
-            for row in part.to_dict("records"):
-                if best is None or (row["created_at"], row["digest"]) > (best["created_at"], best["digest"]):
-                    best = row
+        best = max(rows, key=lambda row: (row["created_at"], row["digest"]))
         old = self._known.get() if self._known.exists() else None
-        if best is None or (old is not None and (old[0], old[1]) >= (best["created_at"], best["digest"])):
+        if old is not None and (old[0], old[1]) >= (best["created_at"], best["digest"]):
             return
-        targets = list(best["supersedes"])
-        self._known.update((best["created_at"], best["digest"], targets))
-        yield pd.DataFrame([{f: best[f] for f in [*_FIELDS, "file", "error"]} | {"was": list(old[2] or []) if old else []}])
+        self._known.update((best["created_at"], best["digest"], best["supersedes"]))
+        yield Row(**{f: best[f] for f in [*_FIELDS, "file", "error"]}, was=list(old[2] or []) if old else [])
 
     def close(self) -> None:
         pass
@@ -76,30 +70,28 @@ class Pairs(StatefulProcessor):
         both = down is not None and up is not None
         return {(one, other): (up is not None, both and down >= up), (other, one): (down is not None, both and up >= down)}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         linked, one, other = key
-        columns = [c.split()[0] for c in _CHANGES.split(", ")]
         if not linked:
-            for part in rows:
-                yield part.assign(other=None, named=None, wins=None)[columns]
+            for row in rows:
+                yield Row(**{f: row[f] for f in [*_FIELDS, "file", "error"]}, other=None, named=None, wins=None)
             return
         was = tuple(self._said.get()) if self._said.exists() else (None, None)
         down, up = was
-        for part in rows:
+        for row in rows:
             # a batch has one version of an entry at most, so one row for each direction
-            for src, at, present in part[["id", "created_at", "present"]].itertuples(index=False):
-                said = at if present else None
-                down, up = (said, up) if src == one else (down, said)
+            said = row["created_at"] if row["present"] else None
+            down, up = (said, up) if row["id"] == one else (down, said)
         if (down, up) == was:
             return
         if down is None and up is None:
             self._said.clear()
         else:
             self._said.update((down, up))
-        before, after = self._sides(one, other, *was), self._sides(one, other, down, up)
-        changed = [(*side, *state) for side, state in after.items() if before[side] != state]
-        if changed:
-            yield pd.DataFrame(changed, columns=["id", "other", "named", "wins"]).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
+        before = self._sides(one, other, *was)
+        for (name, by), (named, wins) in self._sides(one, other, down, up).items():
+            if before[name, by] != (named, wins):
+                yield Row(**dict.fromkeys([*_FIELDS, "file", "error"]) | {"id": name}, other=by, named=named, wins=wins)
 
     def close(self) -> None:
         pass
@@ -121,7 +113,7 @@ def changes(entries: DataFrame) -> DataFrame:
         "digest": F.sha2(F.to_json(F.struct("kind", "supersedes", "tags", "body")), 256),
         "lane": F.when(F.col("id").isNull(), F.pmod(F.xxhash64("file"), F.lit(LANES)).cast("int")).otherwise(0),
     })
-    versions = e.groupBy("id", "lane").transformWithStateInPandas(Versions(), _VERSIONS, "Append", "None")
+    versions = e.groupBy("id", "lane").transformWithState(Versions(), _VERSIONS, "Append", "None")
     target = lambda t, present: F.struct(F.lit(True).alias("linked"), t.alias("target"), F.lit(present).alias("present"))
     itself = F.array(F.struct(F.lit(False).alias("linked"), F.lit(None).cast("string").alias("target"), F.lit(True).alias("present")))
     links = F.concat(F.transform("supersedes", lambda t: target(t, True)), F.transform(F.array_except("was", "supersedes"), lambda t: target(t, False)))
@@ -131,7 +123,7 @@ def changes(entries: DataFrame) -> DataFrame:
     rows = rows.withColumns({c: F.when(~F.col("linked"), F.col(c)) for c in ("kind", "supersedes", "tags", "body", "file", "error")})
     lane = F.pmod(F.xxhash64("id", "file"), F.lit(LANES)).cast("string")
     rows = rows.withColumns({"one": F.when(F.col("linked"), F.least("id", "target")).otherwise(lane), "another": F.when(F.col("linked"), F.greatest("id", "target")).otherwise("")})
-    return rows.drop("target").groupBy("linked", "one", "another").transformWithStateInPandas(Pairs(), _CHANGES, "Append", "None")
+    return rows.drop("target").groupBy("linked", "one", "another").transformWithState(Pairs(), _CHANGES, "Append", "None")
 
 
 def superseded(links: DataFrame) -> DataFrame:
