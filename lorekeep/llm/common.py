@@ -16,10 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.session import ship
-
-#: Bytes that go to a Python worker at once; a session that sets fewer keeps its own.
-_BATCH_BYTES, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+from lorekeep.session import MOST_BATCH_BYTES, in_small_batches, ship  # noqa: F401  operators import them from here
 
 
 def whole_id(column: str, name: str = "doc_id") -> list[Column]:
@@ -31,16 +28,6 @@ def restored(name: str = "doc_id") -> Column:
     return F.when(~F.col("unnamed"), F.col(name))
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df in a copy of its session where a Python worker gets few bytes at once; the session itself is left as it is."""
-    spark = df.sparkSession
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES)) <= MOST_BATCH_BYTES:
-        return df
-    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    own.conf.set(_BATCH_BYTES, str(MOST_BATCH_BYTES))
-    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return in_small_batches(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
