@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.operators.batch import resolve
 
@@ -88,3 +89,18 @@ def test_nothing_to_do(spark, tmp_path):
     assert sorted((r["id"], r["supersedes"]) for r in resolve(w, c, none[2], 0.85, str(tmp_path / "b")).collect()) == [("a", []), ("b", ["a"]), ("c", ["a"])]
     w = spark.createDataFrame([(1, "a", ["q"], None)], WRITE)
     assert resolve(w, none[1], none[2], 0.85, str(tmp_path / "c")).first()["supersedes"] == ["q"]
+
+
+def test_few_blocks_of_one_table(spark, tmp_path):
+    """Writes, chunks and index from one table, as p3_write_batch has them; thousands of writes are one block, whose size changes nothing."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 8))
+    rows = [(i, str(i), f"{i}:0", (centres[rng.integers(40)] + 0.3 * rng.normal(size=8)).tolist()) for i in range(5000)]
+    spark.createDataFrame(rows, "seq long, id string, chunk_id string, embedding array<double>").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t").withColumn("supersedes", F.when(F.col("seq") % 11 == 5, F.array((F.col("seq") - 4).cast("string"))))
+    new, old = t.where("seq % 5 <> 0"), t.where("seq % 5 = 0").withColumnRenamed("id", "entry_id")
+    run = lambda name, **more: resolve(new, new.withColumnRenamed("id", "entry_id"), old, 0.9, f"{tmp_path}/{name}", **more)
+    whole = {r["seq"]: r["supersedes"] for r in run("a").collect()}
+    assert len(list((tmp_path / "a").glob("settled-*"))) == 1
+    assert whole == {r["seq"]: r["supersedes"] for r in run("b", block=1500).collect()}
+    assert len(whole) == 4000 and sum(len(x) for x in whole.values()) > 3000
